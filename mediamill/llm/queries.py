@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, minhash_dedup, sst, substring_dedup, token_counts
+from . import bpe, decontaminate, fingerprints, minhash_dedup, sst, substring_dedup, token_counts, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), lexicon)
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_minhash_dedup, op5_token_counts, op7_fingerprints, op8_token_shards, op9_bpe_round_trip, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_minhash_dedup, op5_token_counts, op7_fingerprints, op8_token_shards, op9_bpe_round_trip, op10_decontamination)}
 
 
 _OP10 = r"""
