@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, minhash_dedup, sst, substring_dedup, token_counts, toxicity
+from . import bpe, decontaminate, fingerprints, html_extract, minhash_dedup, sst, substring_dedup, token_counts, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_minhash_dedup, op5_token_counts, op7_fingerprints, op8_token_shards, op9_bpe_round_trip, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_minhash_dedup, op5_token_counts, op6_html_extraction, op7_fingerprints, op8_token_shards, op9_bpe_round_trip, op10_decontamination)}
 
 
 _OP10 = r"""
