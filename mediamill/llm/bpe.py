@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .files import mapped, put
 from .lexicon import LONGEST, Lexicon, build
 from .shared import heavy_hitters, scratch, texts_of
-from .wordbpe import ChunkEncoder, Merger, groups
+from .wordbpe import ChunkEncoder, groups
 
 FREQUENT = 32_768
 _encoders: dict[str, "LexiconEncoder"] = {}
@@ -33,8 +33,6 @@ class LexiconEncoder(ChunkEncoder):
     def __init__(self, path: str, lexicon: Lexicon | None):
         super().__init__(path)
         self.lexicon = lexicon
-        self.merger = Merger(self.spec) if self.fast else None
-        self.fast = self.fast and self.merger.whole
 
     def pieces(self, words: list[str]) -> list[bytes]:
         raw = [w.encode() for w in words]
@@ -45,7 +43,7 @@ class LexiconEncoder(ChunkEncoder):
             for i in np.flatnonzero(numbers >= 0).tolist():
                 out[i] = self.lexicon.ids_of(int(numbers[i]))
             rest = np.flatnonzero(numbers < 0).tolist()
-        for i, ids in zip(rest, self.merger.encode([raw[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, super().pieces([words[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
