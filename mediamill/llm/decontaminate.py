@@ -113,29 +113,32 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: i
     yield block
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, least: int = 2, most_windows: int = MOST_WINDOWS, clean_text: bool = False) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, least: int = 2, most_windows: int = MOST_WINDOWS, clean_text: bool = False, rest: bool = False) -> DataFrame:
     """``id_col, n_words, n_hit, n_items, items, contaminated`` for every row of ``docs``, and ``clean`` on demand.
 
     ``items`` are the sorted identifiers (as strings) of test items with a window in the text;
     ``clean`` is the text without its hit words, their borders being those of the words.  A null
     or empty text has no words and is not contaminated; an empty ``benchmark`` hits nothing;
     items without words are never found, and an item's null identifier counts as no item.
-    Rows are kept one for one, repeated identifiers included; other columns are not read.
+    Rows are kept one for one, repeated identifiers included; other columns are not read, but
+    for ``rest``, which carries all but the text in a struct of that name.
     """
     spark = docs.sparkSession
-    rows = texts_of(docs, id_col, text_col).select("id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if rest else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), carried.alias("rest"))
+    tail = f", rest {rows.schema['rest'].dataType.simpleString()}"
     blocks = _blocks(benchmark, item_col, item_text_col, size, most_windows)
-    kind = "id long, text string, hit binary, items array<string>"
+    kind = "id long, text string, hit binary, items array<string>" + tail
     last = None
     for block in blocks:
         if last is not None:  # another block follows: the marks so far are written, so one broadcast is held at a time
             rows = written(rows.mapInArrow(_marker(last, False, False), kind), "overlaps")
             last.unpersist()
         last = spark.sparkContext.broadcast(WindowSet([x for x in block if x[0] is not None], size))
-    kind = "id long, n_words long, n_hit long, items array<string>" + (", clean string" if clean_text else "")
+    kind = "id long, n_words long, n_hit long, items array<string>" + (", clean string" if clean_text else "") + tail
     found = rows.mapInArrow(_marker(last, True, clean_text), kind)
     n_items = F.size("items").cast("long")
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", n_items.alias("n_items"), "items", (n_items >= least).alias("contaminated"), *(["clean"] if clean_text else []))
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", n_items.alias("n_items"), "items", (n_items >= least).alias("contaminated"), *(["clean"] if clean_text else []), *(["rest"] if rest else []))
 
 
 def _marker(block, final: bool, clean_text: bool):
@@ -174,7 +177,7 @@ def _marker(block, final: bool, clean_text: bool):
                     cols.append("clean")
             else:
                 out, cols = [b.column(0), texts, pa.array(marks, pa.binary()), lists], ["id", "text", "hit", "items"]
-            yield pa.RecordBatch.from_arrays(out, cols)
+            yield pa.RecordBatch.from_arrays([*out, b.column(4)], [*cols, "rest"])
 
     return run
 

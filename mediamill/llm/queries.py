@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html_extract, minhash_dedup, sst, substring_dedup, token_counts, toxicity
+from . import bpe, decontaminate, fingerprints, html_extract, language_id, minhash_dedup, sst, substring_dedup, token_counts, toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,17 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = language_id.fit(_table(spark, sf_dir, "documents"))
+    return language_id.identify(_table(spark, sf_dir, "pages"), profiles)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -60,7 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_minhash_dedup, op5_token_counts, op6_html_extraction, op7_fingerprints, op8_token_shards, op9_bpe_round_trip, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_minhash_dedup, op4_language_id, op5_token_counts, op6_html_extraction, op7_fingerprints, op8_token_shards, op9_bpe_round_trip, op10_decontamination, pipeline)}
 
 
 _OP10 = r"""
