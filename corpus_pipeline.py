@@ -35,7 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that stand earlier in the corpus; texts without repeats stay as they are."""
     found = substring_dedup.find_repeats(docs, rest=True, whole=True)
     changed = F.col("n_removed") > 0
-    fields = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars"))}
+    fields = {"text": F.col("kept"), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars"))}
     return found.select(*[fields.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
 
 
@@ -43,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of no benchmark item, or of one: its words are taken out of the text."""
     found = decontaminate.find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean_text=True, rest=True)
     changed = F.col("n_hit") > 0
-    fields = {"text": F.when(changed, F.col("clean")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("rest.n_chars"))}
+    fields = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("rest.n_chars"))}
     return found.where("not contaminated").select(*[fields.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
 
 

@@ -104,8 +104,8 @@ def _window_rows(length: int, seed: int):
     return run
 
 
-def _cut(length: int):
-    """Counts, spans and kept text from the repeated windows of each text."""
+def _cut(length: int, whole: bool):
+    """Counts, spans and kept text from the repeated windows of each text; with ``whole``, texts that lose nothing stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,6 +124,8 @@ def _cut(length: int):
                 run_ = np.concatenate([[0], np.cumsum(gone)])
                 n_removed = run_[w.first[1:]] - run_[w.first[:-1]]
                 texts, spans = _kept(w, gone, hi - lo)
+                if whole:
+                    texts = [t if n else own.as_py() for t, n, own in zip(texts, n_removed.tolist(), b.column(1).slice(lo, hi - lo), strict=True)]
                 columns = [b.column(0).slice(lo, hi - lo), pa.array(w.counts()), pa.array(n_removed), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])))]
                 yield pa.RecordBatch.from_arrays([*columns, *[c.slice(lo, hi - lo) for c in b.columns[3:]]], ["id", "n_words", "n_removed", "kept", "spans", *b.schema.names[3:]])
 
@@ -174,7 +176,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool) -> tuple[Dat
     return rows, "string", F.struct("id", "start"), F.col("place.id"), F.col("place.start")
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, rest: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, rest: bool = False, whole: bool = False) -> DataFrame:
     """``key, n_words, n_removed, kept, spans`` for every row: the text without the words of repeated windows.
 
     Words are runs of anything but ASCII white space, unchanged.  A window of ``length`` words
@@ -185,16 +187,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     identifier are told apart by their text and ordered by its digest; rows equal in both
     count as one place, so neither makes the other a repeat; null identifiers come first.
     ``key`` is the identifier, or a string made of it in tables with repeated or null ones.
-    With ``rest``, a struct of that name carries all columns but the text.
+    With ``rest``, a struct of that name carries all columns but the text; with ``whole``,
+    ``kept`` of a text that loses no word is that text with its own white space, or null.
     """
     rows, kind, place, id_of, start_of = _keyed(docs, id_col, text_col, rest)
     tail = [("rest", rows.schema["rest"].dataType.simpleString())] if rest else []
     more = "".join(f", {n} {t}" for n, t in tail)
     extents_of = rows.select("id", "text").mapInArrow(_extent_rows(length, seed), f"anchor long, content long, id {kind}, start int, n int").withColumn("place", place).drop("id", "start")
     shared = extents_of.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("least"), F.max("content").alias("most"))
-    shared = shared.where("times > 1").select("anchor", (F.col("least") < F.col("most")).alias("mixed"))
+    # sides with one row a key are written before they are joined: a join of two plain exchanges can split a hot key
+    shared = written(shared.where("times > 1").select("anchor", (F.col("least") < F.col("most")).alias("mixed")), "anchors")
     found = written(extents_of.join(shared, "anchor"), "repeats")
-    earliest = found.groupBy("anchor", "content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"), F.first("mixed").alias("mixed"))
+    earliest = written(found.groupBy("anchor", "content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"), F.first("mixed").alias("mixed")), "earliest")
     later = found.join(earliest.where("times > 1").select("anchor", "content", "first"), ["anchor", "content"]).where("place > first")
     later = later.select(id_of.alias("id"), start_of.alias("start"), "n")
 
@@ -204,8 +208,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     laid = laid.mapInArrow(_window_rows(length, seed), f"anchor long, content long, id {kind}, start int").withColumn("place", place).drop("id", "start")
     single = laid
     firsts = single.groupBy("anchor", "content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor", "content", "first")
+    firsts = written(firsts, "windows")
     single = single.join(firsts, ["anchor", "content"]).where("place > first").select(id_of.alias("id"), start_of.alias("start"), F.lit(1).alias("n"))
 
     marks = later.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     joined = rows.join(marks.hint("shuffle_hash"), "id", "left").select("id", "text", "marks", *[n for n, _ in tail])
-    return joined.mapInArrow(_cut(length), f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:int,words:int>>{more}").withColumnRenamed("id", "key")
+    return joined.mapInArrow(_cut(length, whole), f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:int,words:int>>{more}").withColumnRenamed("id", "key")
