@@ -16,9 +16,13 @@ than :data:`MATCHES` is dropped; one that is left is confirmed on its full shing
 *Skipping.*  A list is merged against its smallest member first: one pair a posting, however
 long the list is.  Confirmed links are closed to components.  After that a list whose
 members are in one component is skipped as a whole, and in the others only pairs from
-different components are left; these are found in blocks of postings of like set size,
-inside tasks, by comparing signatures.  Links within a component can't change the
-components, so none that matters is lost.
+different components are left; these are sought in blocks of postings of like set size,
+inside tasks.  A group of near-copies that are mostly *not* alike enough would give a pair
+for each two members there, so blocks carry hashed bitmaps of the full sets: bits that two
+sets share bound their common shingles (but for a chance of about 1e-8), only pairs that
+can reach the similarity come out, each from one of the lists that it shares, and they are
+confirmed on the full sets too.  Links within a component can't change the components, so
+none that matters is lost.
 """
 
 from __future__ import annotations
@@ -41,6 +45,9 @@ LISTED = 64
 POSTED_MATCHES = 29
 POSTED = LISTED - POSTED_MATCHES + 1
 COMMON = 2000
+BITS_A_SHINGLE = 4  # of a bitmap, times the set's size rounded up to a power of two
+SLACK = 5.7  # standard deviations that shared bits may fall short of what is expected
+MOST_FILTER_BITS = 1 << 26
 BLOCK = 256
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -80,6 +87,24 @@ def signatures(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(g: np.ndarray) -> bytes:
+    """Hashed bits of a set."""
+    m = BITS_A_SHINGLE << max(6, (len(g) - 1).bit_length())
+    bits = np.zeros(m, dtype=np.uint8)
+    bits[(mix(g, 3) & U64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def least_shared(m: int, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Bits that bitmaps of ``m`` bits of sets of sizes ``a`` and ``b`` share at the least, if the sets' similarity is ``share`` or more."""
+    common = np.ceil(share / (1 + share) * (a + b))
+    empty = lambda n: np.exp(n * np.log1p(-1 / m))
+    expected = m * (1 - empty(a) - empty(b) + empty(a + b - common))
+    only = np.maximum(a - common, 0) * np.maximum(b - common, 0)
+    spread = common**2 / (2 * m) + only / m + common * (a + b - 2 * common) / m
+    return expected - SLACK * np.sqrt(spread) - 2
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, g, first in shingle_sets(b.column(1)):
@@ -90,9 +115,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one[rows] = np.add.reduceat(mix(g, 1), first[rows])
                 two[rows] = np.add.reduceat(mix(g, 2), first[rows])
             sig: list[bytes | None] = [None] * len(n)
+            bits: list[bytes | None] = [None] * len(n)
             for r, s in zip(rows.tolist(), signatures(g, first), strict=True):
                 sig[r] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary())], ["id", "n_shingles", "one", "two", "sig"])
+                bits[r] = bitmap(g[first[r] : first[r + 1]])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], ["id", "n_shingles", "one", "two", "sig", "bits"])
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -118,8 +145,8 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], ["key", "n"])
 
 
-def _postings(keys: np.ndarray, counts: np.ndarray):
-    """A representative's list keys: the first in the order of commonness, coordinate and value."""
+def _postings(keys: np.ndarray, counts: np.ndarray, once: bool):
+    """A representative's list keys, the first in the order of commonness, coordinate and value: a row each, or with ``once`` all short keys in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,11 +160,19 @@ def _postings(keys: np.ndarray, counts: np.ndarray):
                 order = np.argsort(n, axis=1, kind="stable")[:, :POSTED]
                 k = np.take_along_axis(k, order, axis=1)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids, POSTED))], ["key", "id"])
+                if once:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in np.sort(_short(k), axis=1)], pa.binary())], ["id", "posts"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids, POSTED))], ["key", "id"])
 
     return run
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """List keys in 32 bits."""
+    return (mix(keys.astype(np.uint64), 5) >> U64(32)).astype(np.uint32)
+
+
 def _rows_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
@@ -151,28 +186,46 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs from two blocks of one list's postings: of different components and often agreeing."""
-    for b in batches:
-        found_a: list[np.ndarray] = []
-        found_b: list[np.ndarray] = []
-        for same, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            (ia, ca, sa), (ib, cb, sb) = ((np.array([x["id"] for x in v]), np.array([x["component"] for x in v]), np.frombuffer(b"".join(x["sig"] for x in v), dtype=np.uint32).reshape(-1, COORDINATES)) for v in (left, right))
-            for i in range(len(ia)):
-                other = cb != ca[i]
-                if same:
-                    other &= np.arange(len(ib)) > i
-                j = np.flatnonzero(other)
-                if not len(j):
-                    continue
-                agree = sb[j] == sa[i]
-                j = j[agree.sum(axis=1) >= MATCHES]
-                if len(j):
-                    x, y = np.full(len(j), ia[i]), ib[j]
-                    found_a.append(np.minimum(x, y))
-                    found_b.append(np.maximum(x, y))
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+def _folded(members: list[dict], m: int) -> np.ndarray:
+    """Bitmaps at ``m`` bits, as 64-bit words; larger ones are folded."""
+    out = np.zeros((len(members), m // 64), dtype=np.uint64)
+    for i, x in enumerate(members):
+        w = np.frombuffer(x["bits"], dtype=np.uint64)
+        out[i] = np.bitwise_or.reduce(w.reshape(-1, m // 64), axis=0)
+    return out
+
+
+def _across(share: float):
+    """Pairs from two blocks of one list's postings: of different components, alike enough by their bitmaps, and each in one of their lists alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for key, same, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                here = int(_short(np.array([key]))[0])
+                m = 8 * min(len(x["bits"]) for x in (*left, *right))
+                wa, wb = _folded(left, m), _folded(right, m)
+                ca, cb = (np.array([x["component"] for x in v]) for v in (left, right))
+                na, nb = (np.array([x["n"] for x in v], dtype=float) for v in (left, right))
+                for i in range(len(left)):
+                    ok = cb != ca[i]
+                    if same:
+                        ok[: i + 1] = False
+                    j = np.flatnonzero(ok & (np.minimum(nb, na[i]) >= share * np.maximum(nb, na[i]) - 1e-9))
+                    if not len(j):
+                        continue
+                    shared = np.bitwise_count(wb[j] & wa[i]).sum(axis=1, dtype=np.int64)
+                    j = j[shared >= least_shared(m, na[i], nb[j], share)]
+                    for k in j.tolist():
+                        one, two = (np.frombuffer(x["posts"], dtype=np.uint32) for x in (left[i], right[k]))
+                        both = np.intersect1d(one, two)
+                        if len(both) and int(both[0]) == here:
+                            x, y = left[i]["id"], right[k]["id"]
+                            found.append((min(x, y), max(x, y)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _confirm(numerator: int, denominator: int):
@@ -225,11 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("signatures here are laid out for a similarity of 0.75 or more")
     rows = texts_of(docs, id_col, text_col)
     spark = docs.sparkSession
-    described = written(rows.mapInArrow(_describe, "id long, n_shingles long, one long, two long, sig binary"), "signatures")
+    described = written(rows.mapInArrow(_describe, "id long, n_shingles long, one long, two long, sig binary, bits binary"), "signatures")
     filled = described.where("n_shingles > 0")
-    folded = filled.groupBy("one", "two").agg(F.min("id").alias("rep")).where("rep is not null")
-    reps = filled.join(folded, ["one", "two"]).where("id = rep").groupBy("id", "one", "two").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).select("id", "n", "sig")
-    reps = written(reps, "representatives")
+    folded = written(filled.groupBy("one", "two").agg(F.min("id").alias("rep")).where("rep is not null"), "folded")
+    named = folded.select(F.col("rep").alias("id"), "one", "two")
+    reps = written(filled.join(named, ["id", "one", "two"], "left_semi").dropDuplicates(["id", "one", "two"]).select("id", F.col("n_shingles").alias("n"), "sig", "bits"), "representatives")
 
     # at most LISTED * COMMON keys can be so common
     total = reps.count()
@@ -237,11 +290,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = spark.sparkContext.broadcast((np.array([r.key for r in common], dtype=np.int64), np.array([r.n for r in common], dtype=np.int64)))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _postings(*held.value)(batches)
+        yield from _postings(*held.value, once=False)(batches)
+
+    def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _postings(*held.value, once=True)(batches)
 
-    # lists of several members, each with its smallest
+    # lists of several members, each with its smallest; what has one row a key is written before it is joined, so hot keys can be split
     postings = reps.select("id", "sig").mapInArrow(post, "key long, id long")
-    lists = postings.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    lists = written(postings.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"), "heads")
     listed = written(postings.join(lists, "key").select("key", "id", "a"), "lists")
     stars = listed.where("a < id").select("a", F.col("id").alias("b")).distinct()
     sig_a, sig_b = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
@@ -250,18 +306,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links)
 
     # the lists that are left: members of more than one component
-    placed = reps.join(label, "id", "left").select("id", "sig", F.floor(F.log("n") / float(-np.log(0.75))).cast("int").alias("band"), F.coalesce("component", "id").alias("component"))
+    placed = reps.select("id", "n").join(label, "id", "left").select("id", "n", F.floor(F.log("n") / float(-np.log(numerator / denominator))).cast("int").alias("band"), F.coalesce("component", "id").alias("component"))
+    placed = written(placed, "placed")
     open_ = listed.select("key", "id").join(placed.select("id", "band", "component"), "id")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    mixed = written(open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key"), "mixed")
     left = written(open_.join(mixed, "key"), "open")
-    sizes = left.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = written(left.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "sizes")
     dealt = left.join(sizes, ["key", "band"]).select("key", "band", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "component")
-    blocks = dealt.join(placed.select("id", "sig"), "id").groupBy("key", "band", "block").agg(F.collect_list(F.struct("id", "component", "sig")).alias("members"))
+    sketch = reps.select("id", F.col("n").cast("int").alias("n"), "bits").join(reps.select("id", "sig").mapInArrow(posts, "id long, posts binary"), "id")
+    blocks = dealt.join(sketch, "id").groupBy("key", "band", "block").agg(F.collect_list(F.struct("id", "component", "n", "bits", "posts")).alias("members"))
     blocks = written(blocks, "blocks")
     ours = blocks.select("key", F.col("band").alias("own"), "block", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("members").alias("left"))
     theirs = blocks.select("key", "band", F.col("block").alias("other"), F.col("members").alias("right"))
-    met = ours.join(theirs, ["key", "band"]).where("band > own or other >= block").select((F.expr("band = own and other = block")).alias("same"), "left", "right")
-    rest = written(met.mapInArrow(_across, "a long, b long").distinct(), "pairs")
+    met = ours.join(theirs, ["key", "band"]).where("(band > own or other >= block) and (size(left) > 1 or band > own or other > block)")
+    met = met.select("key", F.expr("band = own and other = block").alias("same"), "left", "right")
+    rest = written(met.mapInArrow(_across(numerator / denominator), "a long, b long").distinct(), "pairs")
     if not rest.isEmpty():
         more = _confirmed(rest, _texts(rows, rest), numerator, denominator)
         label = components(links.union(more))
@@ -273,6 +332,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the representatives in pairs, written once."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return written(rows.join(named.hint("shuffle_hash"), "id"), "texts")
+    """Texts of the representatives in pairs, written once.
+
+    A Bloom filter of their identifiers, of bounded size, keeps most other texts out of the shuffle.
+    """
+    spark = rows.sparkSession
+    named = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "named")
+    bits = 1 << min((16 * max(named.count(), 64)).bit_length(), MOST_FILTER_BITS.bit_length() - 1)
+
+    def places(ids: np.ndarray) -> list[np.ndarray]:
+        h = mix(ids.astype(np.int64).view(np.uint64), 11)
+        return [((h >> U64(s)) & U64(bits - 1)).astype(np.int64) for s in (0, 17, 34)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(places(b.column(0).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.int64(1) << (at & 63)))], ["word", "bit"])
+
+    words = named.mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    table = np.zeros(bits >> 6, dtype=np.uint64)
+    if words:
+        table[[r.word for r in words]] = np.array([r.bits for r in words], dtype=np.int64).view(np.uint64)
+    held = spark.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = held.value
+        for b in batches:
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            ok = np.ones(len(ids), dtype=bool)
+            for p in places(ids):
+                ok &= (t[p >> 6] >> (p & 63).astype(np.uint64) & U64(1)) > 0
+            yield b.filter(pa.array(ok))
+
+    return written(rows.mapInArrow(keep, "id long, text string").join(named, "id", "left_semi"), "texts")
