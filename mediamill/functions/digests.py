@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 _ADLER = 65_521
 
@@ -31,7 +32,7 @@ def sha512(c: Column) -> Column:
     return F.sha2(c, 512)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def adler32(data: pd.Series) -> pd.Series:
     """Adler-32 of each value; null stays null."""
     return data.map(lambda b: None if b is None else zlib.adler32(b)).astype("Int64")
