@@ -55,7 +55,11 @@ def frame_errors(frames: DataFrame, doc: str = "doc") -> DataFrame:
 
 def frame_stream(frames: DataFrame, doc: str = "doc") -> DataFrame:
     """``doc, stream``: the byte form of a document's frames - a magic word, their number, then width, height and samples of each."""
-    word = lambda c: F.hex(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")))
+    def word(c):
+        """Four bytes, the lowest first, as hexadecimal digits."""
+        digits = F.lpad(F.hex(c.cast("long")), 8, "0")
+        return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
+
     one = F.concat(word(F.col("w")), word(F.col("h")), F.hex("rgb"))
     rows = frames.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("page_no", one.alias("body")))).alias("all"))
     # Fixed value: the magic word of the stream.
