@@ -15,7 +15,8 @@ a text that can't be made better by lengthening or shortening it.
 ``E = K n exp(-lambda s)``; ``lambda`` solves the moment equation over the clean tokens'
 scores and ``K`` is fitted to the clean texts' best scores.  A passage is significant when
 its own expectation is below :data:`EXPECT`.  A text's score is a logistic curve, fitted on
-the labelled texts, over ``lambda s - ln(K n)``.
+the labelled texts that have a passage, over ``lambda s - ln(K n)``; a text without any has
+the share of toxic ones among such labelled texts.
 
 The fit uses at most ``fit_rows`` labelled texts (those with the least hash of their
 identifier): a documented bound of the classifier alone.  Scoring reads every whole text.
@@ -71,7 +72,7 @@ class Lexicon:
         self.hashes, self.scores, self.drift = hashes[order], scores[order], drift
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.hashes >> U64(64 - _BITS)).astype(np.int64)] = True
-        self.rate, self.k, self.slope, self.bias = 1.0, 1.0, 1.0, 0.0
+        self.rate, self.k, self.slope, self.bias, self.none = 1.0, 1.0, 1.0, 0.0, 0.0
 
     def token_scores(self, w: Words) -> np.ndarray:
         out = np.full(len(w.hash), -self.drift)
@@ -111,7 +112,7 @@ class Lexicon:
 
     def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         z = np.clip(self.bias + self.slope * self.evidence(best, n), -500, 500)
-        return 1.0 / (1.0 + np.exp(-z))
+        return np.where(best > 0, 1.0 / (1.0 + np.exp(-z)), self.none)
 
 
 def maximal(at: list[int], run: np.ndarray) -> list[tuple[int, int]]:
@@ -205,7 +206,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _empty() -> Lexicon:
     out = Lexicon(np.zeros(0, np.uint64), np.zeros(0), 0.03)
-    out.bias = -20.0
     return out
 
 
@@ -225,7 +225,10 @@ def _calibrate(lexicon: Lexicon, sample: DataFrame) -> None:
     expected = np.exp(-lexicon.rate * best[clean]) * size[clean]
     share = max(clean.sum(), 1) / max((~toxic).sum(), 1)
     lexicon.k = float(np.clip(share / max(expected.mean(), 1e-9) if clean.any() else 1e-3, 1e-6, 1e3))
-    lexicon.slope, lexicon.bias = _logistic(lexicon.evidence(best, size), toxic.astype(float))
+    found = best > 0
+    lexicon.none = min(0.49, (toxic[~found].sum() + 0.5) / ((~found).sum() + 1.0))
+    if found.any():
+        lexicon.slope, lexicon.bias = _logistic(lexicon.evidence(best[found], size[found]), toxic[found].astype(float))
 
 
 def _levels(held):
@@ -280,8 +283,8 @@ def is_held_out(id_: Column) -> Column:
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``' columns but for clashes, with ``score``, ``predicted`` and ``passages`` (first word, words, score, expectation; significant ones) added.
 
-    A null or blank text has no passage and gets the score of a text of one token.  Columns of
-    ``docs`` named like the new ones are replaced.
+    A null or blank text has no passage, like any text without words of the lexicon, and gets
+    the low score of those.  Columns of ``docs`` named like the new ones are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
     kept = [c for c in docs.columns if c not in ("score", "predicted", "passages")]
