@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import Deadline, guarded
-from ..kernels import deflate, icc, jpeg, morph, pdf, pdf_filters, png, qr, sanitize
+from ..errors import Deadline, Invalid, guarded
+from ..kernels import deflate, icc, jpeg, morph, pdf, pdf_filters, pdf_render, png, qr, sanitize
 from ..kernels import meta as meta_kernel
 from ..kernels.image import Image
 
@@ -97,6 +97,13 @@ def _page_layout(data: bytes) -> dict[str, Any]:
     return {"width": img.width, "height": img.height, "ink": int(ink.sum()), "rules": len(morph.boxes(across)) + len(morph.boxes(down)), "parts": [dict(zip(("left", "top", "width", "height"), p, strict=True)) for p in parts]}
 
 
+def _page(data: bytes, number: int) -> dict[str, Any]:
+    doc, pages, sizes = pdf_render.checked(data)
+    if not 1 <= number <= len(pages):
+        raise Invalid("page number")
+    return _image(pdf_render.render(doc, pages[int(number) - 1], _budget(), sizes[int(number) - 1]))
+
+
 def _filter(data: bytes, name: str) -> bytes:
     return pdf_filters.apply(name, data, {})
 
@@ -127,6 +134,8 @@ _KERNELS: dict[str, tuple[str, Callable[..., Any]]] = {
     "pdf_info": ("struct<pages:int,encrypted:boolean>", pdf.inspect),
     "pdf_pages": ("array<struct<w:double,h:double>>", _pdf_pages),
     "pdf_filter": ("binary", _filter),
+    "pdf_page": (IMAGE, _page),
+    "pdf_sanitize": ("binary", lambda d: pdf_render.sanitize(d, _budget())),
     "page_layout": (f"struct<width:int,height:int,ink:bigint,rules:int,parts:array<{_BOX}>>", _page_layout),
 }
 
@@ -171,6 +180,7 @@ probe, verify, metadata, cover, qr_count, qr_scan = (_named(n) for n in ("probe"
 decode, pixels, luma, clean, convert, signature = (_named(n) for n in ("decode", "pixels", "luma", "sanitize", "convert", "signature"))
 png_info, jpeg_info, icc_info, inflate, compress = (_named(n) for n in ("png_info", "jpeg_info", "icc", "inflate", "compress"))
 pdf_info, pdf_pages, pdf_filter, page_layout = (_named(n) for n in ("pdf_info", "pdf_pages", "pdf_filter", "page_layout"))
+pdf_page, pdf_sanitize = (_named(n) for n in ("pdf_page", "pdf_sanitize"))
 
 
 def register(spark) -> None:

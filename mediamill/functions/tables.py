@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql.functions import udtf
 
 from ..errors import MediaError
-from ..kernels import icc, jpeg, meta, pdf, png
+from ..kernels import icc, jpeg, meta, pdf, pdf_render, png
 
 
 @udtf(returnType="idx int, offset int, kind string, length int, crc_ok boolean, data binary")
@@ -107,7 +107,18 @@ class PdfOps:
                 yield i + 1, k, op, [json.dumps(pdf.printable(o)) for o in operands]
 
 
-ALL = {"png_chunks": PngChunks, "jpeg_segments": JpegSegments, "meta_tags": MetaTags, "icc_tags": IccTags, "pdf_objects": PdfObjects, "pdf_pages": PdfPages, "pdf_ops": PdfOps}
+@udtf(returnType="page_no int, w int, h int, rgb binary")
+class PdfFrames:
+    """Pages of a document as pixels; a document that's refused gives no row."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        try:
+            yield from pdf_render.frames(bytes(content or b""))
+        except MediaError:
+            return
+
+
+ALL = {"png_chunks": PngChunks, "jpeg_segments": JpegSegments, "meta_tags": MetaTags, "icc_tags": IccTags, "pdf_objects": PdfObjects, "pdf_pages": PdfPages, "pdf_ops": PdfOps, "pdf_frames": PdfFrames}
 
 
 def register(spark) -> None:

@@ -414,6 +414,15 @@ def pdf_roundtrip(spark, d):
     return info.join(ops, "r_regionkey").join(objects, "r_regionkey").select("r_regionkey", "v.pages", "v.encrypted", "version", "operators", "objects")
 
 
+@query("SELECT r_regionkey, count(*) AS pages, 2048 AS w, 1024 AS h, true AS gray FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey")
+def pdf_sanitized(spark, d):
+    n = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    made = n.select("r_regionkey", synth.n_page_pdf(F.col("n")).alias("content"))
+    frames = made.lateralJoin(tables.PdfFrames(F.col("content").outer()))
+    middle = F.conv(F.hex(F.substring("rgb", 3_000_001, 1)), 16, 10).cast("int")
+    return frames.groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("pages"), F.max("w").alias("w"), F.max("h").alias("h"), F.min(F.abs(middle - 128) <= 2).alias("gray"))
+
+
 @query("SELECT n_regionkey AS doc, (12 + sum(8 + 4 * (n_nationkey % 5 + 1) * 3))::BIGINT AS n_bytes, count(*) AS pages, NULL::VARCHAR AS error_class FROM nation GROUP BY n_regionkey")
 def frame_streams(spark, d):
     n = table(spark, d, "nation")

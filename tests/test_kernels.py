@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from mediamill.errors import Invalid, Limit, MediaError, guarded
-from mediamill.kernels import audio, ccitt, ciphers, deflate, exif, icc, image, jpeg, meta, morph, pdf, pdf_filters, pdf_write, png, postscript, qr, sanitize, skim, xmp
+from mediamill.kernels import audio, ccitt, ciphers, deflate, exif, icc, image, jpeg, meta, morph, pdf, pdf_filters, pdf_render, pdf_write, png, postscript, qr, sanitize, skim, xmp
 from mediamill.kernels.tags import Tags
 
 
@@ -364,6 +364,44 @@ def test_sampled_function():
     assert postscript.sampled(bytes([0, 255]), d, [0.25], [(0, 1)], [(0, 1)]) == [pytest.approx(0.25)]
 
 
+def _page(content, resources=b"<< >>", extra=b"", size=(100, 50)):
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 100 50] /Contents 4 0 R /Resources " + resources + extra + b" >>", b"<< /Length %d >>\nstream\n" % len(content) + content + b"\nendstream"]
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % i + o + b"\nendobj\n" for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>"
+    doc = pdf.Document(data)
+    return pdf_render.render(doc, doc.pages()[0], size=size).samples()
+
+
+def test_pages_are_painted():
+    px = _page(b"1 0 0 rg 10 10 20 20 re f")
+    assert px[25, 20].tolist() == [255, 0, 0] and px[25, 40].tolist() == [255] * 3 and (px[20:40, 10:30] == [255, 0, 0]).all()
+    px = _page(b"0 0 1 RG 4 w 10 25 m 90 25 l S")
+    assert px[25, 50].tolist() == [0, 0, 255] and px[21, 50].tolist() == [255] * 3
+    px = _page(b"q 0 0 50 50 re W n 0 g 0 0 100 50 re f Q")
+    assert px[25, 25].sum() == 0 and px[25, 75].sum() == 765
+    px = _page(b"0 g 0 0 100 50 re 20 10 60 30 re f*")
+    assert px[25, 50].sum() == 765 and px[2, 2].sum() == 0
+    px = _page(b"/G gs 0 g 0 0 100 50 re f", b"<< /ExtGState << /G << /ca 0.5 >> >> >>")
+    assert px[10, 10].tolist() == [128] * 3
+    px = _page(b"1 0 0 rg 0 0 50 50 re f", extra=b" /Rotate 90", size=(50, 100))
+    assert px[10, 25].tolist() == [255, 0, 0] and px[90, 25].tolist() == [255] * 3
+    px = _page(b"/S sh", b"<< /Shading << /S << /ShadingType 2 /ColorSpace /DeviceGray /Coords [0 0 100 0] /Function << /FunctionType 2 /Domain [0 1] /C0 [0] /C1 [1] /N 1 >> >> >> >>")
+    assert px[25, 0, 0] < 5 and abs(int(px[25, 50, 0]) - 128) < 4 and px[25, 99, 0] > 250
+    px = _page(b"q 100 0 0 50 0 0 cm BI /W 2 /H 1 /BPC 8 /CS /G ID \x00\xff EI Q")
+    assert px[25, 10, 0] == 0 and px[25, 90, 0] == 255
+    assert pdf_render.render_size(612, 792) == (1583, 2048) and pdf_render.render_size(842, 595) == (2048, 1448) and pdf_render.render_size(10000, 1) == (2048, 1)
+
+
+def test_document_budget_and_hostile_parts():
+    part = jpeg.encode(gray(16, 8), 85)
+    assert pdf.inspect(pdf_render.sanitize(pdf_write.image_pdf([(16, 8, part)])))["pages"] == 1
+    with pytest.raises(Limit):
+        pdf_render.checked(pdf_write.image_pdf([(16, 8, part)] * 32))
+    with pytest.raises(Invalid):
+        pdf_render.checked(pdf_write.image_pdf([(16, 8, part)] * 33))
+    hostile = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R /OpenAction << /S /JavaScript /JS (app.alert) >> >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 2 0 R] /Count 1 >>\nendobj\n3 0 obj\n<< /Type /Page /MediaBox [0 0 100 100] >>\nendobj\ntrailer << /Root 1 0 R >>"
+    assert b"JavaScript" not in pdf_render.sanitize(hostile)
+
+
 def test_deflate_limits():
     z = zlib.compress(b"a" * 1000)
     assert deflate.inflate(z + b"tail", 1000) == (b"a" * 1000, len(z), True)
