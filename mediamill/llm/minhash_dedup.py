@@ -16,13 +16,13 @@ than :data:`MATCHES` is dropped; one that is left is confirmed on its full shing
 *Skipping.*  A list is merged against its smallest member first: one pair a posting, however
 long the list is.  Confirmed links are closed to components.  After that a list whose
 members are in one component is skipped as a whole, and in the others only pairs from
-different components are left; these are sought in blocks of postings of like set size,
-inside tasks.  A group of near-copies that are mostly *not* alike enough would give a pair
-for each two members there, so blocks carry hashed bitmaps of the full sets: bits that two
-sets share bound their common shingles (but for a chance of about 1e-8), only pairs that
-can reach the similarity come out, each from one of the lists that it shares, and they are
-confirmed on the full sets too.  Links within a component can't change the components, so
-none that matters is lost.
+different components are left.  These are sought inside tasks, in blocks of postings of like
+set size, by comparing signatures, each pair in one of the lists that it shares.  A group
+of near-copies that are mostly *not* alike enough makes long lists and would give a pair
+for each two members; in lists of more than :data:`LONG` members blocks carry the members'
+sets too (32 bits a shingle), so only pairs that are alike come out.  All that come out are
+confirmed on the full sets.  Links within a component can't change the components, so none
+that matters is lost.
 """
 
 from __future__ import annotations
@@ -45,8 +45,7 @@ LISTED = 64
 POSTED_MATCHES = 29
 POSTED = LISTED - POSTED_MATCHES + 1
 COMMON = 2000
-BITS_A_SHINGLE = 4  # of a bitmap, times the set's size rounded up to a power of two
-SLACK = 5.7  # standard deviations that shared bits may fall short of what is expected
+LONG = 48
 MOST_FILTER_BITS = 1 << 26
 BLOCK = 256
 NUMERATOR, DENOMINATOR = 75, 100
@@ -87,24 +86,6 @@ def signatures(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def bitmap(g: np.ndarray) -> bytes:
-    """Hashed bits of a set."""
-    m = BITS_A_SHINGLE << max(6, (len(g) - 1).bit_length())
-    bits = np.zeros(m, dtype=np.uint8)
-    bits[(mix(g, 3) & U64(m - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def least_shared(m: int, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
-    """Bits that bitmaps of ``m`` bits of sets of sizes ``a`` and ``b`` share at the least, if the sets' similarity is ``share`` or more."""
-    common = np.ceil(share / (1 + share) * (a + b))
-    empty = lambda n: np.exp(n * np.log1p(-1 / m))
-    expected = m * (1 - empty(a) - empty(b) + empty(a + b - common))
-    only = np.maximum(a - common, 0) * np.maximum(b - common, 0)
-    spread = common**2 / (2 * m) + only / m + common * (a + b - 2 * common) / m
-    return expected - SLACK * np.sqrt(spread) - 2
-
-
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, g, first in shingle_sets(b.column(1)):
@@ -115,11 +96,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one[rows] = np.add.reduceat(mix(g, 1), first[rows])
                 two[rows] = np.add.reduceat(mix(g, 2), first[rows])
             sig: list[bytes | None] = [None] * len(n)
-            bits: list[bytes | None] = [None] * len(n)
             for r, s in zip(rows.tolist(), signatures(g, first), strict=True):
                 sig[r] = s.tobytes()
-                bits[r] = bitmap(g[first[r] : first[r + 1]])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], ["id", "n_shingles", "one", "two", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary())], ["id", "n_shingles", "one", "two", "sig"])
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -145,8 +124,8 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], ["key", "n"])
 
 
-def _postings(keys: np.ndarray, counts: np.ndarray, once: bool):
-    """A representative's list keys, the first in the order of commonness, coordinate and value: a row each, or with ``once`` all short keys in one."""
+def _postings(keys: np.ndarray, counts: np.ndarray):
+    """A representative's list keys: the first in the order of commonness, coordinate and value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,19 +139,11 @@ def _postings(keys: np.ndarray, counts: np.ndarray, once: bool):
                 order = np.argsort(n, axis=1, kind="stable")[:, :POSTED]
                 k = np.take_along_axis(k, order, axis=1)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                if once:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in np.sort(_short(k), axis=1)], pa.binary())], ["id", "posts"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids, POSTED))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids, POSTED))], ["key", "id"])
 
     return run
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    """List keys in 32 bits."""
-    return (mix(keys.astype(np.uint64), 5) >> U64(32)).astype(np.uint32)
-
-
 def _rows_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
@@ -186,42 +157,56 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _folded(members: list[dict], m: int) -> np.ndarray:
-    """Bitmaps at ``m`` bits, as 64-bit words; larger ones are folded."""
-    out = np.zeros((len(members), m // 64), dtype=np.uint64)
-    for i, x in enumerate(members):
-        w = np.frombuffer(x["bits"], dtype=np.uint64)
-        out[i] = np.bitwise_or.reduce(w.reshape(-1, m // 64), axis=0)
-    return out
+def _lite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures with one byte a coordinate: unequal values agree once in 256, so counts can only be too high."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 4096):
+            p = b.slice(lo, 4096)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array([x.tobytes() for x in _rows_of(p.column(2)).astype(np.uint8)], pa.binary())], ["id", "n", "sig"])
 
 
-def _across(share: float):
-    """Pairs from two blocks of one list's postings: of different components, alike enough by their bitmaps, and each in one of their lists alone."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets at 32 bits a shingle."""
+    for b in batches:
+        for lo, g, first in shingle_sets(b.column(1)):
+            short = (mix(g, 3) >> U64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(first) - 1), pa.array([short[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "set"])
+
+
+def _across(numerator: int, denominator: int):
+    """Pairs from two blocks of one list's postings: of different components, often agreeing, alike where the blocks have sets, and each in one of its lists alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
-            for key, same, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                here = int(_short(np.array([key]))[0])
-                m = 8 * min(len(x["bits"]) for x in (*left, *right))
-                wa, wb = _folded(left, m), _folded(right, m)
-                ca, cb = (np.array([x["component"] for x in v]) for v in (left, right))
-                na, nb = (np.array([x["n"] for x in v], dtype=float) for v in (left, right))
-                for i in range(len(left)):
-                    ok = cb != ca[i]
+            for post, same, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                sa, sb = (np.frombuffer(b"".join(x["sig"] for x in v), dtype=np.uint8).reshape(-1, COORDINATES) for v in (left, right))
+                cb, nb = np.array([x["component"] for x in right]), np.array([x["n"] for x in right])
+                width = max(len(x["posts"]) for x in right)
+                posts = np.array([x["posts"] + [1 << 62] * (width - len(x["posts"])) for x in right], dtype=np.int64)
+                sets = [np.frombuffer(x["set"], dtype=np.uint32) for x in right] if right[0]["set"] is not None else None
+                as_sets: dict[int, set] = {}
+                for i, x in enumerate(left):
+                    ok = (cb != x["component"]) & (denominator * np.minimum(nb, x["n"]) >= numerator * np.maximum(nb, x["n"]))
                     if same:
                         ok[: i + 1] = False
-                    j = np.flatnonzero(ok & (np.minimum(nb, na[i]) >= share * np.maximum(nb, na[i]) - 1e-9))
-                    if not len(j):
-                        continue
-                    shared = np.bitwise_count(wb[j] & wa[i]).sum(axis=1, dtype=np.int64)
-                    j = j[shared >= least_shared(m, na[i], nb[j], share)]
-                    for k in j.tolist():
-                        one, two = (np.frombuffer(x["posts"], dtype=np.uint32) for x in (left[i], right[k]))
-                        both = np.intersect1d(one, two)
-                        if len(both) and int(both[0]) == here:
-                            x, y = left[i]["id"], right[k]["id"]
-                            found.append((min(x, y), max(x, y)))
+                    j = np.flatnonzero(ok)
+                    if len(j):
+                        j = j[(sb[j] == sa[i]).sum(axis=1) >= MATCHES]
+                    if len(j):
+                        shared = np.where(np.isin(posts[j], x["posts"]), posts[j], 1 << 62)
+                        j = j[shared.min(axis=1) == post]
+                    if sets is not None and len(j):
+                        own = set(np.frombuffer(x["set"], dtype=np.uint32).tolist())
+                        keep = []
+                        for k in j.tolist():
+                            if k not in as_sets:
+                                as_sets[k] = set(sets[k].tolist())
+                            common = len(own & as_sets[k]) + 2  # two shingles of a set may share their 32 bits
+                            if denominator * common >= numerator * (x["n"] + nb[k] - common):
+                                keep.append(k)
+                        j = keep
+                    found += [(min(x["id"], right[k]["id"]), max(x["id"], right[k]["id"])) for k in j]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -278,11 +263,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("signatures here are laid out for a similarity of 0.75 or more")
     rows = texts_of(docs, id_col, text_col)
     spark = docs.sparkSession
-    described = written(rows.mapInArrow(_describe, "id long, n_shingles long, one long, two long, sig binary, bits binary"), "signatures")
+    described = written(rows.mapInArrow(_describe, "id long, n_shingles long, one long, two long, sig binary"), "signatures")
     filled = described.where("n_shingles > 0")
     folded = written(filled.groupBy("one", "two").agg(F.min("id").alias("rep")).where("rep is not null"), "folded")
     named = folded.select(F.col("rep").alias("id"), "one", "two")
-    reps = written(filled.join(named, ["id", "one", "two"], "left_semi").dropDuplicates(["id", "one", "two"]).select("id", F.col("n_shingles").alias("n"), "sig", "bits"), "representatives")
+    reps = written(filled.join(named, ["id", "one", "two"], "left_semi").dropDuplicates(["id", "one", "two"]).select("id", F.col("n_shingles").alias("n"), "sig"), "representatives")
 
     # at most LISTED * COMMON keys can be so common
     total = reps.count()
@@ -290,10 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = spark.sparkContext.broadcast((np.array([r.key for r in common], dtype=np.int64), np.array([r.n for r in common], dtype=np.int64)))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _postings(*held.value, once=False)(batches)
-
-    def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _postings(*held.value, once=True)(batches)
+        yield from _postings(*held.value)(batches)
 
     # lists of several members, each with its smallest; what has one row a key is written before it is joined, so hot keys can be split
     postings = reps.select("id", "sig").mapInArrow(post, "key long, id long")
@@ -309,18 +291,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = reps.select("id", "n").join(label, "id", "left").select("id", "n", F.floor(F.log("n") / float(-np.log(numerator / denominator))).cast("int").alias("band"), F.coalesce("component", "id").alias("component"))
     placed = written(placed, "placed")
     open_ = listed.select("key", "id").join(placed.select("id", "band", "component"), "id")
-    mixed = written(open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key"), "mixed")
+    mixed = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most")
+    # a list's place in the order in which a pair looks for the one list that it belongs to: long ones first
+    post = F.when(F.col("size") > LONG, 0).otherwise(1 << 32) + F.xxhash64("key").bitwiseAND((1 << 32) - 1)
+    mixed = written(mixed.select("key", post.alias("post"), (F.col("size") > LONG).alias("long")), "mixed")
     left = written(open_.join(mixed, "key"), "open")
     sizes = written(left.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "sizes")
-    dealt = left.join(sizes, ["key", "band"]).select("key", "band", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "component")
-    sketch = reps.select("id", F.col("n").cast("int").alias("n"), "bits").join(reps.select("id", "sig").mapInArrow(posts, "id long, posts binary"), "id")
-    blocks = dealt.join(sketch, "id").groupBy("key", "band", "block").agg(F.collect_list(F.struct("id", "component", "n", "bits", "posts")).alias("members"))
+    posts = left.groupBy("id").agg(F.collect_list("post").alias("posts"))
+    lite = reps.select("id", "n", "sig").mapInArrow(_lite, "id long, n long, sig binary").join(posts, "id")
+    long = written(left.where("long").select("id").distinct(), "long")
+    sets = _texts(rows, long.select(F.col("id").alias("a"), F.col("id").alias("b"))).mapInArrow(_sets, "id long, set binary")
+    dealt = left.join(sizes, ["key", "band"]).select("key", "post", "long", "band", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "component").join(lite, "id")
+    short = dealt.where("not long").withColumn("set", F.lit(None).cast("binary"))
+    member = F.struct("id", "component", "n", "sig", "posts", "set")
+    blocks = short.unionByName(dealt.where("long").join(sets, "id")).groupBy("key", "post", "band", "block").agg(F.collect_list(member).alias("members"))
     blocks = written(blocks, "blocks")
-    ours = blocks.select("key", F.col("band").alias("own"), "block", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("members").alias("left"))
+    ours = blocks.select("key", "post", F.col("band").alias("own"), "block", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("members").alias("left"))
     theirs = blocks.select("key", "band", F.col("block").alias("other"), F.col("members").alias("right"))
     met = ours.join(theirs, ["key", "band"]).where("(band > own or other >= block) and (size(left) > 1 or band > own or other > block)")
-    met = met.select("key", F.expr("band = own and other = block").alias("same"), "left", "right")
-    rest = written(met.mapInArrow(_across(numerator / denominator), "a long, b long").distinct(), "pairs")
+    met = met.select("post", F.expr("band = own and other = block").alias("same"), "left", "right")
+    rest = written(met.mapInArrow(_across(numerator, denominator), "a long, b long").distinct(), "pairs")
     if not rest.isEmpty():
         more = _confirmed(rest, _texts(rows, rest), numerator, denominator)
         label = components(links.union(more))

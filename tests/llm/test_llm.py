@@ -212,18 +212,6 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_dedup.near_duplicates(rows(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_bits_that_alike_sets_share():
-    rng = np.random.default_rng(7)
-    for n in (3, 40, 500, 3000):
-        for _ in range(40):
-            common = int(np.ceil(0.75 / 1.75 * 2 * n))
-            pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
-            a, b = pool[:n], np.concatenate([pool[:common], pool[n : 2 * n - common]])
-            x, y = (np.frombuffer(minhash_dedup.bitmap(np.unique(s)), np.uint64) for s in (a, b))
-            shared = int(np.bitwise_count(x & y).sum())
-            assert shared >= minhash_dedup.least_shared(len(x) * 64, np.array(float(n)), np.array(float(n)), 0.75)
-
-
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
