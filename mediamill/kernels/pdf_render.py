@@ -2,7 +2,7 @@
 
 The painter covers what pages of scans and drawings use: filled and stroked paths under both
 rules, clips, image and form XObjects, inline images, stencil and soft masks, axial and
-radial shadings, constant alpha and the separable blend modes.  Text is passed over: its
+radial shadings, constant alpha and the blend modes.  Text is passed over: its
 fonts' programs are outside the engine.  Edges are smoothed by four samples a pixel each way.
 """
 
@@ -36,7 +36,7 @@ def matrix(v: list[float]) -> np.ndarray:
 
 
 def blend(mode: str, b: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """A separable blend of backdrop and source, both from 0 to 1."""
+    """A blend of backdrop and source colours, both from 0 to 1."""
     if mode == "Multiply":
         return b * s
     if mode == "Screen":
@@ -60,9 +60,39 @@ def blend(mode: str, b: np.ndarray, s: np.ndarray) -> np.ndarray:
         return np.abs(b - s)
     if mode == "Exclusion":
         return b + s - 2 * b * s
+    if mode == "Luminosity":
+        return _with_light(b, _light(s))
+    if mode == "Color":
+        return _with_light(s, _light(b))
+    if mode == "Hue":
+        return _with_light(_with_range(s, b), _light(b))
+    if mode == "Saturation":
+        return _with_light(_with_range(b, s), _light(b))
     return s
 
 
+_WEIGHTS = np.array([0.3, 0.59, 0.11])
+
+
+def _light(c: np.ndarray) -> np.ndarray:
+    return (c @ _WEIGHTS)[..., None]
+
+
+def _with_light(c: np.ndarray, light: np.ndarray) -> np.ndarray:
+    """A colour moved to a lightness and drawn towards it as far as it leaves 0 to 1."""
+    c = c + light - _light(c)
+    low, high = c.min(axis=-1, keepdims=True), c.max(axis=-1, keepdims=True)
+    c = np.where(low < 0, light + (c - light) * light / np.maximum(light - low, 1e-9), c)
+    return np.where(high > 1, light + (c - light) * (1 - light) / np.maximum(high - light, 1e-9), c)
+
+
+def _with_range(c: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A colour whose components spread as far as another's."""
+    low, high = c.min(axis=-1, keepdims=True), c.max(axis=-1, keepdims=True)
+    spread = of.max(axis=-1, keepdims=True) - of.min(axis=-1, keepdims=True)
+    return np.where(high > low, (c - low) / np.maximum(high - low, 1e-9) * spread, 0)
+
+
 def flatten(path: list[tuple], m: np.ndarray) -> list[np.ndarray]:
     """Sub-paths as polygons in device space; curves in chords."""
     out, current = [], []
@@ -518,6 +548,17 @@ class Painter:
         v = v.reshape(h * w, n)
         return v.reshape(h, w) if mask else np.clip(self.rgb(space, v), 0, 1).reshape(h, w, 3).astype(np.float32)
 
+    def _keyed(self, obj: pdf.Stream, key: list[int]) -> np.ndarray | None:
+        """Coverage under a colour key: samples whose components all lie in its ranges are left out."""
+        get = lambda k: self.doc.get(obj.dict.get(k))
+        w, h, n = int(get("Width")), int(get("Height")), len(key) // 2
+        if int(get("BitsPerComponent") or 8) != 8 or not n:
+            return None
+        raw = self.doc.decode(obj)
+        px = np.frombuffer(raw[: w * h * n].ljust(w * h * n, b"\0"), dtype=np.uint8).reshape(h, w, n)
+        low, high = np.array(key[::2]), np.array(key[1::2])
+        return 1.0 - ((px >= low) & (px <= high)).all(axis=2)
+
     def _image(self, obj: pdf.Stream, resources: dict[str, Any], s: State) -> None:
         stencil = self.doc.get(obj.dict.get("ImageMask")) is True
         px = self.samples(obj, resources, stencil)
@@ -527,6 +568,8 @@ class Painter:
             alpha = self.samples(soft, resources, False)[:, :, 0]
         elif isinstance(hard, pdf.Stream):
             alpha = 1 - self.samples(hard, resources, True)
+        elif isinstance(hard, list) and not stencil:
+            alpha = self._keyed(obj, [int(self.doc.get(x)) for x in hard])
         corners = np.array([[0, 0, 1], [1, 0, 1], [1, 1, 1], [0, 1, 1.0]]) @ s.ctm
         x0, x1 = max(0, int(corners[:, 0].min())), min(self.w, int(math.ceil(corners[:, 0].max())))
         y0, y1 = max(0, int(corners[:, 1].min())), min(self.h, int(math.ceil(corners[:, 1].max())))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from mediamill.errors import Invalid, Limit, MediaError, guarded
-from mediamill.kernels import audio, ccitt, ciphers, deflate, exif, icc, image, jpeg, meta, morph, pdf, pdf_filters, pdf_render, pdf_write, png, postscript, qr, sanitize, skim, xmp
+from mediamill.functions import encodings
+from mediamill.kernels import audio, ccitt, ciphers, cmap, deflate, exif, icc, image, jpeg, meta, morph, pdf, pdf_filters, pdf_render, pdf_write, png, postscript, qr, sanitize, skim, xmp
 from mediamill.kernels.tags import Tags
 
 
@@ -391,6 +392,33 @@ def test_pages_are_painted():
     assert pdf_render.render_size(612, 792) == (1583, 2048) and pdf_render.render_size(842, 595) == (2048, 1448) and pdf_render.render_size(10000, 1) == (2048, 1)
 
 
+def test_blend_modes_keep_to_the_range():
+    b, s = np.random.default_rng(4).random((2, 200, 3))
+    for mode in "Normal Multiply Screen Overlay Darken Lighten ColorDodge ColorBurn HardLight SoftLight Difference Exclusion Hue Saturation Color Luminosity".split():
+        out = pdf_render.blend(mode, b, s)
+        assert out.min() >= -1e-6 and out.max() <= 1 + 1e-6
+    assert np.allclose(pdf_render.blend("Luminosity", b, b), b) and np.allclose(pdf_render.blend("Multiply", b, s), b * s)
+
+
+def test_character_maps():
+    m = cmap.parse(b"/CMapName /Own def /WMode 1 def 1 begincodespacerange <00> <7f> <8140> <9ffc> endcodespacerange 1 begincidrange <20> <7e> 1 endcidrange 1 begincidchar <8141> 900 endcidchar 2 beginbfchar <21> <0041> <22> <00660069> endbfchar 1 beginbfrange <30> <32> <0061> endbfrange")
+    assert (m.name, m.vertical) == ("Own", True) and m.cid(0x22, 1) == 3 and m.cid(0x8141, 2) == 900 and m.cid(0x22, 2) is None
+    assert m.text(0x21, 1) == "A" and m.text(0x22, 1) == "fi" and m.text(0x32, 1) == "c"
+    assert m.split(b"\x21\x81\x41\xff") == [(0x21, 1), (0x8141, 2), (0xFF, 1)]
+    over = cmap.parse(b"/Own usecmap 1 begincidchar <21> 77 endcidchar", {"Own": m})
+    assert over.cid(0x21, 1) == 77 and over.cid(0x22, 1) == 3
+    assert cmap.parse(b"/Identity-H usecmap").cid(0x1234, 2) == 0x1234
+    with pytest.raises(Invalid):
+        cmap.parse(b"/Missing usecmap")
+
+
+def test_glyph_names():
+    standard, win, mac = (encodings.table(n) for n in ("Standard", "WinAnsi", "MacRoman"))
+    assert (standard[0x41], standard[39], standard[96], standard[0x30], standard[0xAE], standard[0xFB], standard[0xE8]) == ("A", "quoteright", "quoteleft", "zero", "fi", "germandbls", "Lslash")
+    assert (win[39], win[0x80], win[0xE9], win[0xC7], win[0x8A], win[0xF8], win[0x7F]) == ("quotesingle", "Euro", "eacute", "Ccedilla", "Scaron", "oslash", "bullet")
+    assert (mac[0x80], mac[0xCA], mac[0xDE], mac[0xB9]) == ("Adieresis", "space", "fi", "pi") and 0xA0 not in standard
+
+
 def test_document_budget_and_hostile_parts():
     part = jpeg.encode(gray(16, 8), 85)
     assert pdf.inspect(pdf_render.sanitize(pdf_write.image_pdf([(16, 8, part)])))["pages"] == 1
