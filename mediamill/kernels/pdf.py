@@ -404,7 +404,9 @@ class Document:
         params = params if isinstance(params, list) else [params]
         for i, name in enumerate(names):
             p = self.get(params[i]) if i < len(params) else None
-            data = pdf_filters.apply(str(self.get(name)), data, {k: self.get(v) for k, v in p.items()} if isinstance(p, dict) else {})
+            given = {k: self.get(v) for k, v in p.items()} if isinstance(p, dict) else {}
+            given = {k: self.decode(v) if isinstance(v, Stream) else v for k, v in given.items()}
+            data = pdf_filters.apply(str(self.get(name)), data, given)
         return data
 
     def objects(self) -> Iterator[tuple[int, Any]]:

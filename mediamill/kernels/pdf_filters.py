@@ -1,4 +1,4 @@
-"""Stream filters of PDF: hexadecimal, base 85, run length, LZW, Flate with predictors, DCT, CCITT fax."""
+"""Stream filters of PDF: hexadecimal, base 85, run length, LZW, Flate with predictors, DCT, CCITT fax, JBIG2."""
 
 from __future__ import annotations
 
@@ -177,6 +177,10 @@ def apply(name: str, data: bytes, params: dict) -> bytes:
         return decode(data)[1].data.tobytes()
     if name == "CCITTFaxDecode":
         return ccitt.decode(data, int(params.get("K", 0)), int(params.get("Columns", 1728)), int(params.get("Rows", 0)), bool(params.get("BlackIs1", False)), bool(params.get("EncodedByteAlign", False)))
+    if name == "JBIG2Decode":
+        from .jbig2 import decode as decode_bilevel
+
+        return np.packbits(~decode_bilevel(data, params.get("JBIG2Globals") or b""), axis=1).tobytes()
     if name == "Crypt":
         return data
     raise Invalid(f"unsupported filter {name}")

@@ -8,7 +8,7 @@ import pytest
 
 from mediamill.errors import Invalid, Limit, MediaError, guarded
 from mediamill.functions import encodings
-from mediamill.kernels import audio, ccitt, ciphers, cmap, deflate, exif, icc, image, jpeg, meta, morph, pdf, pdf_filters, pdf_render, pdf_write, png, postscript, qr, sanitize, skim, xmp
+from mediamill.kernels import audio, ccitt, ciphers, cmap, deflate, exif, icc, image, jbig2, jpeg, meta, morph, pdf, pdf_filters, pdf_render, pdf_write, png, postscript, qr, sanitize, skim, xmp
 from mediamill.kernels.tags import Tags
 
 
@@ -330,6 +330,146 @@ def test_fax_white_and_runs():
     assert ccitt.decode(int(bits.ljust(16, "0"), 2).to_bytes(2, "big"), 0, 8, 1) == bytes([0b11000111])
 
 
+class _Coder:
+    """The arithmetic encoder of the standard, for round trips."""
+
+    def __init__(self):
+        self.a, self.c, self.ct, self.out = 0x8000, 0, 12, bytearray([0])
+
+    def bit(self, contexts, cx, b):
+        state, mps = contexts[cx] >> 1, contexts[cx] & 1
+        q, after, less, change = jbig2._STATES[state]
+        self.a -= q
+        if b == mps:
+            if self.a & 0x8000:
+                self.c += q
+                return
+            if self.a < q:
+                self.a = q
+            else:
+                self.c += q
+            contexts[cx] = after << 1 | mps
+        else:
+            if self.a < q:
+                self.c += q
+            else:
+                self.a = q
+            contexts[cx] = less << 1 | (mps ^ change)
+        while True:
+            self.a, self.c, self.ct = self.a << 1, self.c << 1, self.ct - 1
+            if not self.ct:
+                self._byte()
+            if self.a & 0x8000:
+                return
+
+    def _byte(self):
+        if self.out[-1] != 0xFF and self.c & 0x8000000:
+            self.out[-1] += 1
+            self.c &= 0x7FFFFFF
+        if self.out[-1] == 0xFF:
+            self.out.append(self.c >> 20 & 0xFF)
+            self.c, self.ct = self.c & 0xFFFFF, 7
+        else:
+            self.out.append(self.c >> 19 & 0xFF)
+            self.c, self.ct = self.c & 0x7FFFF, 8
+
+    def done(self):
+        top = self.c + self.a
+        self.c |= 0xFFFF
+        if self.c >= top:
+            self.c -= 0x8000
+        for _ in range(2):
+            self.c <<= self.ct
+            self._byte()
+        return bytes(self.out[1:]) + b"\xff\xac"
+
+    def integer(self, contexts, v):
+        prev = 1
+
+        def put(b):
+            nonlocal prev
+            self.bit(contexts, prev, b)
+            prev = prev << 1 | b if prev < 256 else ((prev << 1 | b) & 511) | 256
+
+        put(int(v is None or v < 0))
+        v = 0 if v is None else abs(v)
+        k = max(i for i, (_, o) in enumerate(jbig2._INTEGERS) if v >= o)
+        for _ in range(k):
+            put(1)
+        if k < 5:
+            put(0)
+        n, o = jbig2._INTEGERS[k]
+        for i in range(n - 1, -1, -1):
+            put(v - o >> i & 1)
+
+
+def _encode_bits(coder, contexts, px, template, adaptive):
+    places = [adaptive[int(p[1])] if isinstance(p, str) else p for p in jbig2._TEMPLATES[template]]
+    at = lambda x, y: bool(px[y, x]) if 0 <= x < px.shape[1] and 0 <= y else False
+    for y in range(px.shape[0]):
+        for x in range(px.shape[1]):
+            coder.bit(contexts, sum(at(x + dx, y + dy) << k for k, (dx, dy) in enumerate(places)), int(px[y, x]))
+
+
+_AT = {0: [(3, -1), (-3, -1), (2, -2), (-2, -2)], 1: [(3, -1)], 2: [(2, -1)], 3: [(2, -1)]}
+
+
+def _segment(number, kind, body, refs=()):
+    return struct.pack(">IBB", number, kind, len(refs) << 5) + bytes(refs) + b"\1" + struct.pack(">I", len(body)) + body
+
+
+def test_arithmetic_decoder_on_the_sequence_of_the_standard():
+    coded = bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")
+    plain = bytes.fromhex("00020051000000C0035287 2AAAAAAAAA82C02000FCD79EF6BF7FED904F46A3BF".replace(" ", ""))
+    d, cx = jbig2.Decoder(coded), bytearray(1)
+    assert int("".join(str(d.bit(cx, 0)) for _ in range(256)), 2).to_bytes(32, "big") == plain
+
+
+@pytest.mark.parametrize("template", [0, 1, 2, 3])
+def test_bilevel_generic_regions(template):
+    px = np.random.default_rng(template).random((19, 33)) < 0.3
+    px[5:9] = True
+    coder = _Coder()
+    _encode_bits(coder, bytearray(1 << 16), px, template, _AT[template])
+    at = b"".join(struct.pack(">bb", *a) for a in _AT[template])
+    region = struct.pack(">IIIIB", 33, 19, 2, 1, 0) + bytes([template << 1]) + at + coder.done()
+    data = _segment(0, 48, struct.pack(">IIIIBH", 40, 21, 0, 0, 0, 0)) + _segment(1, 38, region)
+    got = jbig2.decode(data)
+    assert got.shape == (21, 40) and (got[1:20, 2:35] == px).all() and got.sum() == px.sum()
+    assert len(pdf_filters.apply("JBIG2Decode", data, {})) == 21 * 5
+
+
+def test_bilevel_symbols_and_text():
+    shapes = [np.array([[1, 0, 1], [1, 1, 1]], bool), np.array([[0, 1], [1, 0]], bool)]
+    coder, heights, widths, exports, pixels = _Coder(), bytearray(512), bytearray(512), bytearray(512), bytearray(1 << 16)
+    coder.integer(heights, 2)
+    for step, s in ((3, shapes[0]), (-1, shapes[1])):
+        coder.integer(widths, step)
+        _encode_bits(coder, pixels, s, 0, _AT[0])
+    coder.integer(widths, None)
+    coder.integer(exports, 0)
+    coder.integer(exports, 2)
+    at = b"".join(struct.pack(">bb", *a) for a in _AT[0])
+    symbols = struct.pack(">H", 0) + at + struct.pack(">II", 2, 2) + coder.done()
+    coder = _Coder()
+    t, first, step, names = bytearray(512), bytearray(512), bytearray(512), bytearray(4)
+    coder.integer(t, 0)
+    coder.integer(t, 4)
+    coder.integer(first, 1)
+    coder.bit(names, 1, 0)
+    coder.integer(step, 2)
+    coder.bit(names, 1, 1)
+    coder.integer(step, None)
+    text = struct.pack(">IIIIB", 12, 8, 0, 0, 0) + struct.pack(">HI", 1 << 4, 2) + coder.done()
+    page = struct.pack(">IIIIBH", 12, 8, 0, 0, 0, 0)
+    got = jbig2.decode(_segment(1, 48, page) + _segment(2, 6, text, [0]), _segment(0, 0, symbols))
+    want = np.zeros((8, 12), bool)
+    want[4:6, 1:4], want[4:6, 5:7] = shapes
+    assert (got == want).all()
+    with pytest.raises(Invalid):
+        jbig2.decode(b"junk" * 9)
+
+
 def test_ciphers():
     assert ciphers._encrypt(bytes.fromhex("00112233445566778899aabbccddeeff"), ciphers._schedule(bytes(range(16)))).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
     assert ciphers.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
