@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -121,15 +121,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang").agg(F.collect_list(F.struct("bucket", F.col("n"))).alias("all")).collect()
-    languages = sorted(r.lang for r in rows) or ["und"]
+    # at most one row for each language and bucket
+    rows = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.column("lang").combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+    languages = sorted(found.dictionary.to_pylist()) or ["und"]
     counts = np.zeros((1 << BITS, len(languages)))
-    for r in rows:
-        for bucket, n in r["all"]:
-            counts[bucket, languages.index(r.lang)] += n
+    if rows.num_rows:
+        place = np.array([languages.index(x) for x in found.dictionary.to_pylist()])[found.indices.to_numpy()]
+        counts[rows.column("bucket").to_numpy(), place] = rows.column("n").to_numpy()
     return Profiles(languages, counts)
 
 
+def fuse(ll: np.ndarray, own: np.ndarray, everywhere: np.ndarray, declared_n: np.ndarray, suffix_n: np.ndarray, domain_n: np.ndarray, host_n: np.ndarray) -> np.ndarray:
+    """Logarithms of the posteriors (not normalised) of pages in rows, languages in columns; counts still hold the pages' own shares."""
+    n = ll.shape[1]
+    everywhere, declared_n, suffix_n, domain_n, host_n = (np.maximum(x - own, 0.0) for x in (everywhere, declared_n, suffix_n, domain_n, host_n))
+    total = everywhere.sum(axis=1, keepdims=True)
+    prior = (everywhere + 1.0 / n) / (total + 1.0)
+    for counts in (domain_n, host_n):
+        prior = (counts + STRENGTH * prior) / (counts.sum(axis=1, keepdims=True) + STRENGTH)
+    out = ll + np.log(prior)
+    for counts in (declared_n, suffix_n):
+        rate = (counts.sum(axis=1, keepdims=True) + 0.5) / (total + 1.0)
+        out += np.log((counts + STRENGTH * rate) / (everywhere + STRENGTH))
+    return out
+
+
 def identify(pages: DataFrame, profiles: Profiles, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col, url_col, lang, probability, text_lang, declared, host`` for every page.
 
@@ -167,32 +184,18 @@ def identify(pages: DataFrame, profiles: Profiles, id_col: str = "page_id", url_
     every = F.broadcast(sums())
     joined = base.crossJoin(every).join(F.broadcast(sums("declared")), "declared").join(sums("suffix"), "suffix").join(sums("domain"), "domain").join(sums("host"), "host")
 
-    def without_own(name: str) -> Column:
-        return F.zip_with(name, "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-
-    def smoothed(name: str, towards: Column) -> Column:
-        """Shares of the languages among a group's other pages, drawn towards those of a wider one."""
-        own = without_own(name)
-        return F.zip_with(own, towards, lambda a, b: (a + STRENGTH * b) / (total(own) + STRENGTH))
-
-    def likelihood(name: str, everywhere: Column) -> Column:
-        """Share of a language's other pages that have this value, drawn towards the value's share of all pages."""
-        own = without_own(name)
-        rate = (total(own) + 0.5) / (total(everywhere) + 1)
-        return F.zip_with(own, everywhere, lambda a, b: (a + STRENGTH * rate) / (b + STRENGTH))
-
-    everywhere = without_own("all_n")
-    shares = F.transform(everywhere, lambda a: (a + 1.0 / n) / (total(everywhere) + 1.0))
-    fused = joined.withColumn("everywhere", everywhere).withColumn("p0", shares)
-    fused = fused.withColumn("p1", smoothed("domain_n", F.col("p0"))).withColumn("p2", smoothed("host_n", F.col("p1")))
-    for name in ("declared", "suffix"):
-        fused = fused.withColumn(f"{name}_p", likelihood(f"{name}_n", F.col("everywhere")))
-    log = F.array(*[F.col("ll")[i] + F.log(F.col("p2")[i]) + F.log(F.col("declared_p")[i]) + F.log(F.col("suffix_p")[i]) for i in range(n)])
-    fused = fused.withColumn("log", log).withColumn("top", F.array_max("log"))
-    names = F.array(*[F.lit(x) for x in profiles.languages])
-    weight = F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    pick = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    return fused.select(F.col("id").alias(id_col), F.col("url").alias(url_col), pick(F.col("log")).alias("lang"), (1 / weight).alias("probability"), pick(F.col("ll")).alias("text_lang"), "declared", "host")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = np.array(held.value.languages)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ll, *counts = (b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for k in range(4, 11))
+            log = fuse(ll, *counts)
+            log -= log.max(axis=1, keepdims=True)
+            lang, text = languages[log.argmax(axis=1)], languages[ll.argmax(axis=1)]
+            columns = [*b.columns[:2], pa.array(lang.tolist(), pa.string()), pa.array(1 / np.exp(log).sum(axis=1)), pa.array(text.tolist(), pa.string()), *b.columns[2:4]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "url", "lang", "probability", "text_lang", "declared", "host"])
+
+    ready = joined.select("id", "url", "declared", "host", "ll", "post", "all_n", "declared_n", "suffix_n", "domain_n", "host_n")
+    out = ready.mapInArrow(decide, "id long, url string, lang string, probability double, text_lang string, declared string, host string")
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "lang", "probability", "text_lang", "declared", "host")
