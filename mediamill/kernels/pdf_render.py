@@ -1,8 +1,8 @@
 """Pages as pixels: paths, clips, images, forms, shadings and transparency of a content stream.
 
 The painter covers what pages of scans and drawings use: filled and stroked paths under both
-rules, clips, image and form XObjects, inline images, stencil and soft masks, axial and
-radial shadings, constant alpha and the blend modes.  Text is passed over: its
+rules, clips, image and form XObjects, inline images, stencil and soft masks, axial,
+radial and function shadings, tiling and shading patterns, constant alpha and the blend modes.  Text is passed over: its
 fonts' programs are outside the engine.  Edges are smoothed by four samples a pixel each way.
 """
 
@@ -254,6 +254,7 @@ class State:
         self.fill_alpha = self.line_alpha = 1.0
         self.width, self.cap, self.join, self.dash = 1.0, 0, 0, None
         self.mode, self.mask = "Normal", None
+        self.fill_pattern: str | None = None
 
     def copy(self) -> "State":
         new = State.__new__(State)
@@ -268,6 +269,7 @@ class Painter:
         self.doc, self.w, self.h, self.deadline = doc, w, h, deadline
         self.px = np.ones((h, w, 3), dtype=np.float32)
         self.hidden = 0
+        self.base = np.eye(3)  # from page space to pixels, which patterns refer to
 
     # -- colours -------------------------------------------------------------------------------------------------------
 
@@ -379,7 +381,11 @@ class Painter:
                         path.append(("h",))
                     shape = flatten(path, s.ctm)
                     if op[0] in "fFBb":
-                        self.paint(s, coverage(shape, self.w, self.h, op.endswith("*")), np.array(s.fill), s.fill_alpha)
+                        cover = coverage(shape, self.w, self.h, op.endswith("*"))
+                        if s.fill_pattern is not None:
+                            self._pattern(doc.get(doc.get(resources.get("Pattern"))[s.fill_pattern]), resources, s, cover, depth)
+                        else:
+                            self.paint(s, cover, np.array(s.fill), s.fill_alpha)
                     if op[0] in "BbSs":
                         self.paint(s, self._stroked(path, s), np.array(s.line), s.line_alpha)
                     if clip_rule is not None:
@@ -399,16 +405,20 @@ class Painter:
                     s.dash = (lengths * (1 + len(lengths) % 2), float(v[1])) if lengths and min(lengths) >= 0 else None
                 elif op in ("g", "rg", "k"):
                     s.fill_space = {"g": "DeviceGray", "rg": "DeviceRGB", "k": "DeviceCMYK"}[op]
-                    s.fill = self.colour(s.fill_space, v)
+                    s.fill, s.fill_pattern = self.colour(s.fill_space, v), None
                 elif op in ("G", "RG", "K"):
                     s.line_space = {"G": "DeviceGray", "RG": "DeviceRGB", "K": "DeviceCMYK"}[op]
                     s.line = self.colour(s.line_space, v)
                 elif op == "cs":
-                    s.fill_space, s.fill = self.space(v[0], resources), (0.0, 0.0, 0.0)
+                    s.fill_space, s.fill, s.fill_pattern = self.space(v[0], resources), (0.0, 0.0, 0.0), None
                 elif op == "CS":
                     s.line_space, s.line = self.space(v[0], resources), (0.0, 0.0, 0.0)
                 elif op in ("sc", "scn"):
-                    s.fill = self.colour(s.fill_space, v)
+                    s.fill_pattern = str(v[-1]) if isinstance(v[-1], pdf.Name) else None
+                    space = s.fill_space
+                    if s.fill_pattern is not None and not isinstance(space, str) and len(space) > 1:
+                        space = self.space(space[1], resources)  # the colour of an uncoloured pattern
+                    s.fill = self.colour(space, v)
                 elif op in ("SC", "SCN"):
                     s.line = self.colour(s.line_space, v)
                 elif op == "gs":
@@ -472,6 +482,7 @@ class Painter:
             form = self.doc.get(mask.get("G"))
             inner = Painter(self.doc, self.w, self.h, self.deadline)
             inner.px[:] = 0
+            inner.base = self.base
             t = State()
             t.ctm = s.ctm
             inner._form(form, {}, t, depth + 1)
@@ -502,6 +513,44 @@ class Painter:
         own = self.doc.get(obj.dict.get("Resources"))
         self.run(self.doc.decode(obj), own if isinstance(own, dict) else resources, s, depth)
 
+    def _pattern(self, p: Any, resources: dict[str, Any], s: State, cover: np.ndarray, depth: int) -> None:
+        """A covered area filled with a shading, or with tiles: one is painted over white and over black, which gives its colours and where it is empty."""
+        d = p.dict if isinstance(p, pdf.Stream) else p
+        get = lambda k: self.doc.get(d.get(k))
+        own = get("Matrix")
+        m = (matrix([self.doc.get(x) for x in own]) if isinstance(own, list) else np.eye(3)) @ self.base
+        if get("PatternType") == 2:
+            t = s.copy()
+            t.ctm, t.clip = m, cover if s.clip is None else cover * s.clip
+            self._shading(get("Shading"), resources, t)
+            return
+        if depth > MOST_FORMS or not isinstance(p, pdf.Stream):
+            return
+        x0, y0, x1, y1 = self.doc.box(d, "BBox")
+        across, down = abs(float(get("XStep"))), abs(float(get("YStep")))
+        w = int(min(max(math.ceil((x1 - x0) * np.hypot(*m[0, :2])), 1), SIDE))
+        h = int(min(max(math.ceil((y1 - y0) * np.hypot(*m[1, :2])), 1), SIDE))
+        tiles = []
+        for ground in (1.0, 0.0):
+            inner = Painter(self.doc, w, h, self.deadline)
+            inner.px[:] = ground
+            t = State()
+            t.ctm = np.array([[w / (x1 - x0), 0, 0], [0, -h / (y1 - y0), 0], [-x0 * w / (x1 - x0), y1 * h / (y1 - y0), 1]])
+            inner.base, t.fill, t.line = t.ctm, s.fill, s.fill
+            tile_resources = get("Resources")
+            inner.run(self.doc.decode(p), tile_resources if isinstance(tile_resources, dict) else resources, t, depth + 1)
+            tiles.append(inner.px)
+        alpha = np.clip(1 - (tiles[0] - tiles[1]).mean(axis=2), 0, 1)
+        colour = np.where(alpha[..., None] > 0, tiles[1] / np.maximum(alpha[..., None], 1e-6), 0)
+        yy, xx = np.mgrid[0 : self.h, 0 : self.w]
+        uv = np.column_stack([xx.ravel() + 0.5, yy.ravel() + 0.5, np.ones(xx.size)]) @ np.linalg.inv(m)
+        u, v = np.mod(uv[:, 0] - x0, across), np.mod(uv[:, 1] - y0, down)
+        inside = (u < x1 - x0) & (v < y1 - y0)
+        ix = np.clip((u / (x1 - x0) * w).astype(int), 0, w - 1)
+        iy = np.clip(((1 - v / (y1 - y0)) * h).astype(int), 0, h - 1)
+        part = np.where(inside, alpha[iy, ix], 0).reshape(self.h, self.w)
+        self.paint(s, cover * part.astype(np.float32), np.clip(colour[iy, ix], 0, 1).reshape(self.h, self.w, 3), s.fill_alpha)
+
     # -- images and shadings -------------------------------------------------------------------------------------------------
 
     def samples(self, obj: pdf.Stream, resources: dict[str, Any], mask: bool) -> np.ndarray:
@@ -605,9 +654,12 @@ class Painter:
         d = sh.dict if isinstance(sh, pdf.Stream) else sh
         get = lambda k: self.doc.get(d.get(k))
         kind = get("ShadingType")
-        if kind not in (2, 3):
+        if kind not in (1, 2, 3):
             return
         space = self.space(d.get("ColorSpace"), resources)
+        if kind == 1:
+            self._plane(d, space, s)
+            return
         coords = [float(self.doc.get(x)) for x in get("Coords")]
         lo, hi = [float(self.doc.get(x)) for x in get("Domain") or [0, 1]]
         ext = [self.doc.get(x) is True for x in get("Extend") or [False, False]]
@@ -642,6 +694,23 @@ class Painter:
         self.paint(s, ok.reshape(self.h, self.w).astype(np.float32), colour, s.fill_alpha)
 
 
+    def _plane(self, d: dict[str, Any], space: Any, s: State) -> None:
+        """A shading whose colours are a function of both coordinates, sampled on a grid of its domain."""
+        x0, x1, y0, y1 = [float(self.doc.get(x)) for x in self.doc.get(d.get("Domain")) or [0, 1, 0, 1]]
+        own = self.doc.get(d.get("Matrix"))
+        m = (matrix([self.doc.get(x) for x in own]) if isinstance(own, list) else np.eye(3)) @ s.ctm
+        fn = self.doc.get(d.get("Function"))
+        fns, n = fn if isinstance(fn, list) else [fn], 48
+        grid = [[c for f in fns for c in postscript.evaluate(self.doc, f, [x0 + (x1 - x0) * i / n, y0 + (y1 - y0) * j / n])] for j in range(n + 1) for i in range(n + 1)]
+        table = self.rgb(space, np.array(grid)).reshape(n + 1, n + 1, 3)
+        yy, xx = np.mgrid[0 : self.h, 0 : self.w]
+        p = np.column_stack([xx.ravel() + 0.5, yy.ravel() + 0.5, np.ones(xx.size)]) @ np.linalg.inv(m)
+        u, v = (p[:, 0] - x0) / (x1 - x0), (p[:, 1] - y0) / (y1 - y0)
+        ok = (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1)
+        colour = table[np.clip(np.rint(v * n), 0, n).astype(int), np.clip(np.rint(u * n), 0, n).astype(int)]
+        self.paint(s, ok.reshape(self.h, self.w).astype(np.float32), np.clip(colour, 0, 1).reshape(self.h, self.w, 3), s.fill_alpha)
+
+
 def _averaged(a: np.ndarray, step: list[int]) -> np.ndarray:
     sy, sx = max(1, min(step[0], a.shape[0])), max(1, min(step[1], a.shape[1]))
     if sy == sx == 1:
@@ -667,6 +736,7 @@ def render(doc: pdf.Document, page: dict[str, Any], deadline: Deadline | None =
     s = State()
     s.ctm = unit @ np.array(turned, dtype=float) @ np.diag([w, h, 1.0])
     p = Painter(doc, w, h, deadline or Deadline())
+    p.base = s.ctm
     resources = doc.get(page.get("Resources"))
     p.run(doc.content(page), resources if isinstance(resources, dict) else {}, s)
     out = np.floor(np.clip(p.px, 0, 1) * 255 + 0.5).astype(np.uint8)

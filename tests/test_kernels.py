@@ -532,6 +532,19 @@ def test_pages_are_painted():
     assert pdf_render.render_size(612, 792) == (1583, 2048) and pdf_render.render_size(842, 595) == (2048, 1448) and pdf_render.render_size(10000, 1) == (2048, 1)
 
 
+def test_patterns_and_function_shadings():
+    ramp = b"<< /FunctionType 2 /Domain [0 1] /C0 [0] /C1 [1] /N 1 >>"
+    shade = b"<< /PatternType 2 /Shading << /ShadingType 2 /ColorSpace /DeviceGray /Coords [0 0 100 0] /Function " + ramp + b" >> >>"
+    px = _page(b"/Pattern cs /P scn 0 0 50 50 re f", b"<< /Pattern << /P " + shade + b" >> >>")
+    assert abs(int(px[25, 40, 0]) - 103) < 5 and px[25, 75].sum() == 765
+    tile = b"<< /PatternType 1 /PaintType 1 /TilingType 1 /BBox [0 0 10 10] /XStep 10 /YStep 10 /Resources << >> /Length 27 >>\nstream\n1 0 0 rg 0 0 5 10 re f     \nendstream"
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 100 50] /Contents 4 0 R /Resources << /Pattern << /T 5 0 R >> >> >>", b"<< /Length 35 >>\nstream\n/Pattern cs /T scn 0 0 100 50 re f  \nendstream", tile]
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % i + o + b"\nendobj\n" for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>"
+    doc = pdf.Document(data)
+    px = pdf_render.render(doc, doc.pages()[0], size=(100, 50)).samples()
+    assert px[20, 2].tolist() == px[20, 92].tolist() == [255, 0, 0] and px[20, 7].tolist() == [255] * 3
+
+
 def test_blend_modes_keep_to_the_range():
     b, s = np.random.default_rng(4).random((2, 200, 3))
     for mode in "Normal Multiply Screen Overlay Darken Lighten ColorDodge ColorBurn HardLight SoftLight Difference Exclusion Hue Saturation Color Luminosity".split():
