@@ -35,46 +35,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small tables dealt to all cores before work that costs milliseconds a row."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 # --- containers and probing -------------------------------------------------------------------------------------------
 
 
 @query("SELECT p_partkey, 'png_pipe' AS format, p_size AS width, p_size + 1 AS height FROM part")
 def probe_png(spark, d):
-    made = table(spark, d, "part").select("p_partkey", synth.flat_png(F.col("p_size"), F.col("p_size") + 1, F.lit(200)).alias("content"))
+    made = spread(table(spark, d, "part")).select("p_partkey", synth.flat_png(F.col("p_size"), F.col("p_size") + 1, F.lit(200)).alias("content"))
     got = made.select("p_partkey", media.probe(F.col("content")).alias("r"))
     return got.select("p_partkey", "r.value.format", "r.value.width", "r.value.height")
 
 
 @query("SELECT p_partkey, p_size::BIGINT AS width, (p_size + 1)::BIGINT AS height, 8::BIGINT AS depth, 0::BIGINT AS color_type FROM part")
 def png_header_sql(spark, d):
-    made = table(spark, d, "part").select("p_partkey", synth.flat_png(F.col("p_size"), F.col("p_size") + 1, F.lit(200)).alias("content"))
+    made = spread(table(spark, d, "part")).select("p_partkey", synth.flat_png(F.col("p_size"), F.col("p_size") + 1, F.lit(200)).alias("content"))
     return made.select("p_partkey", detect.png_header(F.col("content")).alias("h")).select("p_partkey", "h.width", "h.height", "h.depth", "h.color_type")
 
 
 @query("SELECT p_partkey, 'jpeg_pipe' AS format, p_size AS width, 9 AS height, true AS verified FROM part")
 def probe_jpeg(spark, d):
-    made = table(spark, d, "part").select("p_partkey", synth.gray_jpeg(F.col("p_size"), F.lit(9), F.lit(90)).alias("content"))
+    made = spread(table(spark, d, "part")).select("p_partkey", synth.gray_jpeg(F.col("p_size"), F.lit(9), F.lit(90)).alias("content"))
     got = made.select("p_partkey", media.verify(F.col("content")).alias("r"))
     return got.select("p_partkey", "r.value.format", "r.value.width", "r.value.height", F.col("r.ok").alias("verified"))
 
 
 @query("SELECT k AS kind, count(*) AS n, true AS all_ok FROM part, (VALUES ('IHDR'), ('iTXt'), ('IDAT'), ('IEND')) AS t(k) GROUP BY k")
 def png_chunks_agg(spark, d):
-    made = table(spark, d, "part").select(synth.text_png(F.lit("Comment"), F.col("p_brand")).alias("content"))
+    made = spread(table(spark, d, "part")).select(synth.text_png(F.lit("Comment"), F.col("p_brand")).alias("content"))
     rows = made.lateralJoin(tables.PngChunks(F.col("content").outer()))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("crc_ok").alias("all_ok"))
 
 
 @query("SELECT doc_id, 'PNG' AS tag_group, 'Software' AS name, lang || ':' || source AS value FROM documents")
 def meta_text_tags(spark, d):
-    made = table(spark, d, "documents").select("doc_id", synth.text_png(F.lit("Software"), F.concat_ws(":", "lang", "source")).alias("content"))
+    made = spread(table(spark, d, "documents")).select("doc_id", synth.text_png(F.lit("Software"), F.concat_ws(":", "lang", "source")).alias("content"))
     got = made.select("doc_id", F.inline(media.metadata(F.col("content"))["value"]["tags"]))
     return got.where("name = 'Software'").select("doc_id", "tag_group", "name", F.col("s").alias("value"))
 
 
 @query("SELECT s_suppkey, s_name AS software, 16::BIGINT AS bits FROM supplier")
 def wave_tags(spark, d):
-    made = table(spark, d, "supplier").select("s_suppkey", synth.wave(F.col("s_name"), F.lit(16)).alias("content"))
+    made = spread(table(spark, d, "supplier")).select("s_suppkey", synth.wave(F.col("s_name"), F.lit(16)).alias("content"))
     got = made.select("s_suppkey", F.inline(media.metadata(F.col("content"))["value"]["tags"]))
     return got.groupBy("s_suppkey").agg(F.max(F.when(F.col("name") == "Software", F.col("s"))).alias("software"), F.max(F.when(F.col("name") == "BitsPerSample", F.col("i"))).alias("bits"))
 
@@ -271,7 +276,7 @@ def otsu(spark, d):
 @query("SELECT vec_id, list_transform(embedding, lambda v: (floor(least(greatest(v, -1), 1) * 127)::INT + 128)) AS samples FROM embeddings")
 def embedding_image(spark, d):
     level = F.transform("embedding", lambda v: F.floor(F.least(F.greatest(v, F.lit(-1.0).cast("float")), F.lit(1.0).cast("float")) * F.lit(127).cast("float")).cast("int") + 128)
-    made = table(spark, d, "embeddings").select("vec_id", synth.gray_png(level).alias("content"))
+    made = spread(table(spark, d, "embeddings")).select("vec_id", synth.gray_png(level).alias("content"))
     data = media.pixels(F.col("content"))["value"]["data"]
     third = F.transform(F.sequence(F.lit(0), (F.octet_length("data") / 3).cast("int") - 1), lambda i: F.conv(F.hex(F.substring(F.col("data"), (i * 3 + 1).cast("int"), F.lit(1))), 16, 10).cast("int"))
     return made.select("vec_id", data.alias("data")).select("vec_id", third.alias("samples"))
@@ -279,7 +284,7 @@ def embedding_image(spark, d):
 
 @query("SELECT p_partkey, p_size AS width, 4 AS height, p_size * 4 * 3 AS n_bytes, (p_size * 5) % 256 AS level FROM part")
 def png_roundtrip(spark, d):
-    made = table(spark, d, "part").select("p_partkey", synth.flat_png(F.col("p_size"), F.lit(4), F.col("p_size") * 5 % 256).alias("content"))
+    made = spread(table(spark, d, "part")).select("p_partkey", synth.flat_png(F.col("p_size"), F.lit(4), F.col("p_size") * 5 % 256).alias("content"))
     cleaned = made.select("p_partkey", media.clean(F.col("content"), F.lit("png"))["value"].alias("content"))
     got = cleaned.select("p_partkey", media.pixels(F.col("content"))["value"].alias("v"))
     return got.select("p_partkey", "v.width", "v.height", F.octet_length("v.data").alias("n_bytes"), F.conv(F.hex(F.substring("v.data", 1, 1)), 16, 10).cast("int").alias("level"))
@@ -287,7 +292,7 @@ def png_roundtrip(spark, d):
 
 @query("SELECT p_partkey, p_size AS width, 12 AS height, true AS close FROM part")
 def jpeg_gray_roundtrip(spark, d):
-    made = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 5 % 256).alias("level"), synth.gray_jpeg(F.col("p_size"), F.lit(12), F.col("p_size") * 5 % 256).alias("content"))
+    made = spread(table(spark, d, "part")).select("p_partkey", (F.col("p_size") * 5 % 256).alias("level"), synth.gray_jpeg(F.col("p_size"), F.lit(12), F.col("p_size") * 5 % 256).alias("content"))
     got = made.select("p_partkey", "level", media.luma(F.col("content"))["value"].alias("v"))
     first = F.conv(F.hex(F.substring("v.data", 1, 1)), 16, 10).cast("int")
     return got.select("p_partkey", "v.width", "v.height", (F.abs(first - F.col("level")) <= 1).alias("close"))
@@ -295,7 +300,7 @@ def jpeg_gray_roundtrip(spark, d):
 
 @query("SELECT n_nationkey, n_nationkey % 5 <> 0 AS ok, CASE WHEN n_nationkey % 5 = 0 THEN 'signature metadata or invalid chunk' END AS error FROM nation")
 def signature_verdict(spark, d):
-    n = table(spark, d, "nation").withColumn("k", F.col("n_nationkey"))
+    n = spread(table(spark, d, "nation")).withColumn("k", F.col("n_nationkey"))
     good, bad = synth.flat_png(F.lit(32), F.lit(10), F.lit(255)), synth.text_png(F.lit("Comment"), F.col("n_name"))
     made = n.select("n_nationkey", F.when(F.col("k") % 5 == 0, bad).otherwise(good).alias("content"))
     return made.select("n_nationkey", media.signature(F.col("content")).alias("r")).select("n_nationkey", "r.ok", "r.error")
@@ -306,13 +311,13 @@ def signature_verdict(spark, d):
 
 @query("SELECT s_suppkey, (s_suppkey % 3)::INT AS symbols FROM supplier")
 def qr_symbols(spark, d):
-    made = table(spark, d, "supplier").select("s_suppkey", synth.qr_png(F.col("s_name"), F.col("s_suppkey") % 3).alias("content"))
+    made = spread(table(spark, d, "supplier")).select("s_suppkey", synth.qr_png(F.col("s_name"), F.col("s_suppkey") % 3).alias("content"))
     return made.select("s_suppkey", media.qr_count(F.col("content"))["value"].alias("symbols"))
 
 
 @query("SELECT s_suppkey, 'png_pipe' AS format, true AS qr_ok, 1 AS symbols, 8::BIGINT AS depth FROM supplier")
 def cover_inspection(spark, d):
-    made = table(spark, d, "supplier").select("s_suppkey", synth.qr_png(F.col("s_name"), F.lit(1)).alias("content"))
+    made = spread(table(spark, d, "supplier")).select("s_suppkey", synth.qr_png(F.col("s_name"), F.lit(1)).alias("content"))
     got = made.select("s_suppkey", media.cover(F.col("content"))["value"].alias("v"))
     depth = F.filter("v.tags", lambda t: t["name"] == "BitDepth")[0]["i"]
     return got.select("s_suppkey", "v.probe.format", F.col("v.qr.ok").alias("qr_ok"), F.col("v.qr.value").alias("symbols"), depth.alias("depth"))
@@ -407,7 +412,7 @@ def pdfinfo_pages(spark, d):
 @query("SELECT r_regionkey, count(*)::INT AS pages, false AS encrypted, '1.4' AS version, (count(*) * 4)::BIGINT AS operators, (count(*) * 3 + 2)::BIGINT AS objects FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey")
 def pdf_roundtrip(spark, d):
     n = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("n"))
-    made = n.select("r_regionkey", synth.n_page_pdf(F.col("n")).alias("content"))
+    made = spread(n).select("r_regionkey", synth.n_page_pdf(F.col("n")).alias("content"))
     info = made.select("r_regionkey", media.pdf_info(F.col("content"))["value"].alias("v"), pages.pdf_version(F.col("content")).alias("version"))
     ops = made.lateralJoin(tables.PdfOps(F.col("content").outer())).groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("operators"))
     objects = made.lateralJoin(tables.PdfObjects(F.col("content").outer())).groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("objects"))
@@ -417,7 +422,7 @@ def pdf_roundtrip(spark, d):
 @query("SELECT r_regionkey, count(*) AS pages, 2048 AS w, 1024 AS h, true AS gray FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey")
 def pdf_sanitized(spark, d):
     n = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("n"))
-    made = n.select("r_regionkey", synth.n_page_pdf(F.col("n")).alias("content"))
+    made = spread(n).select("r_regionkey", synth.n_page_pdf(F.col("n")).alias("content"))
     frames = made.lateralJoin(tables.PdfFrames(F.col("content").outer()))
     middle = F.conv(F.hex(F.substring("rgb", 3_000_001, 1)), 16, 10).cast("int")
     return frames.groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("pages"), F.max("w").alias("w"), F.max("h").alias("h"), F.min(F.abs(middle - 128) <= 2).alias("gray"))
