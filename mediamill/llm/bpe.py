@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from .files import mapped, put
 from .lexicon import LONGEST, Lexicon, build
-from .shared import heavy_hitters, scratch, texts_of
+from .shared import heavy_hitters, scratch, texts_of, worker_cache
 from .wordbpe import ChunkEncoder, groups
 
 FREQUENT = 32_768
-_encoders: dict[str, "LexiconEncoder"] = {}
-_decoders: dict[str, "Decoder"] = {}
 
 
 class LexiconEncoder(ChunkEncoder):
@@ -66,6 +64,22 @@ class Decoder:
         return " ".join(map(self.tokens.__getitem__, numbers))
 
 
+def _encoder(path: str, at: str) -> LexiconEncoder:
+    """The worker's encoder for a lexicon."""
+    kept = worker_cache("bpe")
+    if kept.get("lexicon") != at:
+        kept.clear()
+        kept.update(lexicon=at, encoder=LexiconEncoder(path, Lexicon(mapped(at))))
+    return kept["encoder"]
+
+
+def _decoder(path: str) -> Decoder:
+    kept = worker_cache("bpe")
+    if ("decoder", path) not in kept:
+        kept["decoder", path] = Decoder(path)
+    return kept["decoder", path]
+
+
 def _words(text: str) -> list[str]:
     return [w for w in text.lower().split() if w.isalpha()]
 
@@ -92,10 +106,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     at = lexicon or compile_lexicon(rows, path, frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if at not in _encoders:
-            _encoders.clear()
-            _encoders[at] = LexiconEncoder(path, Lexicon(mapped(at)))
-        coder = _encoders[at]
+        coder = _encoder(path, at)
         for b in batches:
             for lo, texts in groups(b.column(1)):
                 ids = coder.encode(texts)
@@ -108,9 +119,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, n_tokens, ids, decoded`` from the rows of :func:`encode`; null ids decode to an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _decoders:
-            _decoders[path] = Decoder(path)
-        coder = _decoders[path]
+        coder = _decoder(path)
         for b in batches:
             texts = [coder.decode(i or b"") for i in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.large_string()).cast(pa.string())], [*b.schema.names, "decoded"])
@@ -127,12 +136,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     at = compile_lexicon(rows, path, frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if at not in _encoders:
-            _encoders.clear()
-            _encoders[at] = LexiconEncoder(path, Lexicon(mapped(at)))
-        if path not in _decoders:
-            _decoders[path] = Decoder(path)
-        coder, back = _encoders[at], _decoders[path]
+        coder, back = _encoder(path, at), _decoder(path)
         for b in batches:
             n: list[int] = []
             one: list[str] = []

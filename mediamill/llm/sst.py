@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .files import opened, put
-from .shared import scratch, texts_of
+from .shared import scratch, texts_of, worker_cache
 from .wordbpe import ChunkEncoder, groups
 
 BLOCK = 1 << 16
@@ -35,7 +35,6 @@ BITS_A_KEY = 10
 HASHES = 7
 _MAGIC = b"SSTBL\0\1\n"
 _FOOTER = struct.Struct("<QQQQQQI8s")
-_coders: dict[str, ChunkEncoder] = {}
 
 
 def key_of(value: int | None) -> bytes:
@@ -222,9 +221,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _coders:
-            _coders[path] = encoder(path)
-        coder, shard, n = _coders[path], Writer(), 0
+        kept = worker_cache("sst")
+        if path not in kept:
+            kept[path] = encoder(path)
+        coder, shard, n = kept[path], Writer(), 0
         for b in batches:
             ids = b.column(0).to_pylist()
             for lo, texts in groups(b.column(1)):

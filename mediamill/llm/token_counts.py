@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import heavy_hitters, texts_of
+from .shared import heavy_hitters, texts_of, worker_cache
 
 FREQUENT = 65_536
 CACHE = 400_000
@@ -29,7 +29,6 @@ _GROUP_BYTES = 1 << 20
 
 split = re.compile(r" *[^ \n]+|\n| +").findall
 _ODD = re.compile("[▁\x00]")
-_models: dict[str, "PieceCounter"] = {}
 
 
 def _pretokens(text: str) -> list[str]:
@@ -118,10 +117,11 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = f"{model_path}#{table._jbroadcast.id() if hasattr(table, '_jbroadcast') and table._jbroadcast else id(table)}"
-        if key not in _models:
-            _models.clear()
-            _models[key] = PieceCounter(model_path, table.value)
-        counter = _models[key]
+        kept = worker_cache("token_counts")
+        if key not in kept:
+            kept.clear()
+            kept[key] = PieceCounter(model_path, table.value)
+        counter = kept[key]
         for b in batches:
             ids, column = b.column(0), b.column(1)
             n_bytes = [len(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.binary())]

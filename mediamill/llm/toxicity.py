@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import worker_cache, written
 from .textkit import _BYTE_CODE, _BYTES, ALNUM, LOWER, U64, Words, mix, slices
 
 FIT_ROWS = 12_000
@@ -138,6 +138,7 @@ def maximal(at: list[int], run: np.ndarray) -> list[tuple[int, int]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and texts of each unit in toxic and other texts, and the totals under a null unit."""
+    worker_cache("toxicity")
     for b in batches:
         label = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi, buf, off in slices(b.column(1)):
@@ -161,6 +162,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _best(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         lex = lexicon.value
         for b in batches:
             for lo, hi, buf, off in slices(b.column(1)):
@@ -288,12 +290,14 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     """
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
     kept = [c for c in docs.columns if c not in ("score", "predicted", "passages")]
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         lex = held.value
         for b in batches:
-            for lo, hi, buf, off in slices(b.column(1)):
+            texts = b.column(0).field(text_col).cast(pa.string())
+            for lo, hi, buf, off in slices(texts):
                 w = Words(buf, off, ALNUM, True)
                 found = lex.passages(w)
                 n = w.counts()

@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Python splits at these four controls and the library doesn't; both treat a capital sigma by different rules.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ")
-CACHE = 500_000
+CACHE = 300_000
 
 # The split pattern and the byte-to-character table that the file's pre-tokeniser names.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
