@@ -5,24 +5,31 @@ equal sets are folded first: their representative stands for all.  A representat
 signature has :data:`COORDINATES` minimum hashes; in the inverted lists it is posted under
 a *prefix* of its first :data:`LISTED` (coordinate, value) pairs.
 
-*Prefix.*  Of a pair at the similarity asked for, :data:`POSTED_MATCHES` or more of those
+*Prefix.*  Of a pair at the similarity asked for, :data:`LISTED_MATCHES` or more of those
 coordinates agree (but for a chance of about 1e-7), so in any order of all (coordinate,
-value) pairs their first ``LISTED - POSTED_MATCHES + 1`` have one in common, and the others
-need no lists.  The order puts the values last that more than one in :data:`COMMON` texts
-have, commonest last: a passage that many texts share makes long lists only among texts
-that consist of it.  *Counting.*  A pair whose agreements over all coordinates are fewer
-than :data:`MATCHES` is dropped; one that is left is confirmed on its full shingle sets.
-
-*Skipping.*  A list is merged against its smallest member first: one pair a posting, however
-long the list is.  Confirmed links are closed to components.  After that a list whose
-members are in one component is skipped as a whole, and in the others only pairs from
-different components are left.  These are sought inside tasks, in blocks of postings of like
-set size, by comparing signatures, each pair in one of the lists that it shares.  A group
-of near-copies that are mostly *not* alike enough makes long lists and would give a pair
-for each two members; in lists of more than :data:`LONG` members blocks carry the members'
-sets too (32 bits a shingle), so only pairs that are alike come out.  All that come out are
-confirmed on the full sets.  Links within a component can't change the components, so none
-that matters is lost.
+value) pairs their first :data:`POSTED` have :data:`SHARED` in common, and the others need
+no lists.  The order puts the values last that more than one in :data:`COMMON` texts have,
+commonest last: a passage that many texts share makes long lists only among texts that
+consist of it.  Lists are divided by *bands* of set size, so wide that alike sets lie in the
+same band or in two that follow one another.
+
+*Counting.*  Each list's smallest member is a centre: it collides once with every other
+member.  Collisions are counted by pair, and pairs that collide :data:`COLLISIONS` times or
+more have their whole signatures compared; those that agree in :data:`MATCHES` of all
+coordinates are confirmed on their full shingle sets, and confirmed links are closed to
+components.
+
+*Skipping.*  Links within a component can't change the components, so a list whose members
+are in one component is skipped as a whole.  A member that stands in fewer than
+:data:`SHARED` of the lists left can't be of a pair that collides that often, and goes; of
+its lists in one order of all, shortest first, it leaves out the last ``SHARED - 1``, as the
+first that a pair has in common is never among those.  In what is left, pairs from different
+components are sought inside tasks by comparing whole signatures, whose agreements are the
+pair's collisions.  A group of near-copies that are mostly *not* alike enough makes long
+lists and would give a pair for each two members; lists of more than :data:`LONG` members
+are compared in blocks that carry the members' sets too (32 bits a shingle), so only pairs
+that are alike come out, each from one of its lists.  All that come out are confirmed on the
+full sets, so no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -35,16 +42,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import texts_of, written
+from .shared import dropped, texts_of, written
 from .textkit import SPACED, U64, Words, grams, inside_one, mix, slices, span_hash
 
 WIDTH = 5
 COORDINATES = 128
 MATCHES = 70
 LISTED = 64
-POSTED_MATCHES = 29
-POSTED = LISTED - POSTED_MATCHES + 1
+LISTED_MATCHES = 29
+SHARED = 8
+POSTED = LISTED - LISTED_MATCHES + SHARED
+COLLISIONS = 4
 COMMON = 2000
+ROUNDS = 2
+PASSES = 2
 LONG = 48
 MOST_FILTER_BITS = 1 << 26
 BLOCK = 256
@@ -86,24 +97,38 @@ def signatures(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two sums of mixed hashes of each row's set: 128 bits that equal sets share."""
+    n = np.diff(first)
+    rows = np.flatnonzero(n > 0)
+    one, two = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+    if len(rows):
+        one[rows] = np.add.reduceat(mix(g, 1), first[rows])
+        two[rows] = np.add.reduceat(mix(g, 2), first[rows])
+    return n, one, two
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, g, first in shingle_sets(b.column(1)):
-            n = np.diff(first)
-            rows = np.flatnonzero(n > 0)
-            one, two = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
-            if len(rows):
-                one[rows] = np.add.reduceat(mix(g, 1), first[rows])
-                two[rows] = np.add.reduceat(mix(g, 2), first[rows])
+            n, one, two = _digests(g, first)
             sig: list[bytes | None] = [None] * len(n)
-            for r, s in zip(rows.tolist(), signatures(g, first), strict=True):
+            for r, s in zip(np.flatnonzero(n > 0).tolist(), _packed(signatures(g, first)), strict=True):
                 sig[r] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary())], ["id", "n_shingles", "one", "two", "sig"])
+            columns = [b.column(0).slice(lo, len(n)), b.column(2).slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n_shingles", "one", "two", "sig"])
+
+
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """Signatures as bytes: one of every coordinate (unequal values agree once in 256, so counts can only be too high), then all four of the listed ones."""
+    return np.concatenate([sig.astype(np.uint8), np.ascontiguousarray(sig[:, :LISTED]).view(np.uint8)], axis=1)
 
 
 def _keys(column: pa.Array) -> np.ndarray:
     """Coordinate and value of each listed coordinate in one number, row by row."""
-    return _rows_of(column)[:, :LISTED].astype(np.int64) + (np.arange(LISTED, dtype=np.int64) << 32)[None, :]
+    packed = _rows_of(column, COORDINATES + 4 * LISTED)
+    values = np.ascontiguousarray(packed[:, COORDINATES:]).view(np.uint32)
+    return values.astype(np.int64) + (np.arange(LISTED, dtype=np.int64) << 32)[None, :]
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,21 +156,21 @@ def _postings(keys: np.ndarray, counts: np.ndarray):
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                k = _keys(part.column(1))
+                k = _keys(part.column(2))
                 n = np.zeros(k.shape, dtype=np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                     n = np.where(keys[at] == k, counts[at], 0)
                 order = np.argsort(n, axis=1, kind="stable")[:, :POSTED]
                 k = np.take_along_axis(k, order, axis=1)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids, POSTED))], ["key", "id"])
+                ids, band = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), POSTED) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(band), pa.array(ids)], ["key", "band", "node"])
 
     return run
 
 
-def _rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+def _rows_of(column: pa.Array, width: int = COORDINATES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,34 +182,53 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _lite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures with one byte a coordinate: unequal values agree once in 256, so counts can only be too high."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 4096):
-            p = b.slice(lo, 4096)
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array([x.tobytes() for x in _rows_of(p.column(2)).astype(np.uint8)], pa.binary())], ["id", "n", "sig"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets at 32 bits a shingle."""
     for b in batches:
         for lo, g, first in shingle_sets(b.column(1)):
             short = (mix(g, 3) >> U64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(first) - 1), pa.array([short[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(first) - 1), pa.array([short[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["node", "set"])
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs of identifiers, the smaller first."""
+    both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    both = np.unique(np.sort(both, axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def _within(numerator: int, denominator: int):
+    """Pairs of a short list's members: of different components, sizes alike, often agreeing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for members in b.column(0):
+                m = members.values
+                ids, component, n = (m.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                sig = _rows_of(m.field(3))
+                i, j = np.triu_indices(len(ids), 1)
+                ok = (component[i] != component[j]) & (denominator * np.minimum(n[i], n[j]) >= numerator * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                ok = (sig[i] == sig[j]).sum(axis=1) >= MATCHES
+                if ok.any():
+                    found.append(np.column_stack([ids[i[ok]], ids[j[ok]]]))
+            yield _pairs(found)
+
+    return run
 
 
 def _across(numerator: int, denominator: int):
-    """Pairs from two blocks of one list's postings: of different components, often agreeing, alike where the blocks have sets, and each in one of its lists alone."""
+    """Pairs from two blocks of a long list: of different components, often agreeing, sets alike, and each in one of its lists alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found: list[np.ndarray] = []
             for post, same, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 sa, sb = (np.frombuffer(b"".join(x["sig"] for x in v), dtype=np.uint8).reshape(-1, COORDINATES) for v in (left, right))
-                cb, nb = np.array([x["component"] for x in right]), np.array([x["n"] for x in right])
+                ids, cb, nb = (np.array([x[f] for x in right]) for f in ("node", "component", "n"))
                 width = max(len(x["posts"]) for x in right)
                 posts = np.array([x["posts"] + [1 << 62] * (width - len(x["posts"])) for x in right], dtype=np.int64)
-                sets = [np.frombuffer(x["set"], dtype=np.uint32) for x in right] if right[0]["set"] is not None else None
                 as_sets: dict[int, set] = {}
                 for i, x in enumerate(left):
                     ok = (cb != x["component"]) & (denominator * np.minimum(nb, x["n"]) >= numerator * np.maximum(nb, x["n"]))
@@ -196,19 +240,17 @@ def _across(numerator: int, denominator: int):
                     if len(j):
                         shared = np.where(np.isin(posts[j], x["posts"]), posts[j], 1 << 62)
                         j = j[shared.min(axis=1) == post]
-                    if sets is not None and len(j):
+                    if len(j):
                         own = set(np.frombuffer(x["set"], dtype=np.uint32).tolist())
                         keep = []
                         for k in j.tolist():
                             if k not in as_sets:
-                                as_sets[k] = set(sets[k].tolist())
+                                as_sets[k] = set(np.frombuffer(right[k]["set"], dtype=np.uint32).tolist())
                             common = len(own & as_sets[k]) + 2  # two shingles of a set may share their 32 bits
                             if denominator * common >= numerator * (x["n"] + nb[k] - common):
                                 keep.append(k)
-                        j = keep
-                    found += [(min(x["id"], right[k]["id"]), max(x["id"], right[k]["id"])) for k in j]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                        found.append(np.column_stack([np.full(len(keep), x["node"]), ids[keep]]).reshape(-1, 2).astype(np.int64))
+            yield _pairs(found)
 
     return run
 
@@ -243,31 +285,39 @@ def _confirm(numerator: int, denominator: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_confirm(numerator, denominator), "a long, b long")
+def _confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs whose whole texts are alike, written."""
+    texts = _texts(rows, reps, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    links = written(both.mapInArrow(_confirm(numerator, denominator), "a long, b long"), "links")
+    dropped(texts)
+    return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR, detail: bool = False) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for every row.
 
     Texts are linked when ``denominator`` times their common shingles is at least ``numerator``
     times all of theirs (the constants of this module fit a similarity of 0.75 or more);
     ``component_id`` is the smallest identifier reachable over links, ``kept`` says that it is
     the row's own.  Null, empty and blank texts have no shingles and are linked with nothing.
-    Rows that share an identifier are all kept in the result; each takes the component of its
-    own text, and a null identifier stays null and is never a component's name.
+    Rows that share an identifier are told apart by their texts, each takes the component of
+    its own; a null identifier stays null, is never a component's name and is always kept.
+    With ``detail`` there are also ``text_hash`` (of the text, to name a row) and ``group``,
+    a number of the component that rows without identifiers have too (null without shingles).
     """
     if numerator * 100 < 75 * denominator:
         raise ValueError("signatures here are laid out for a similarity of 0.75 or more")
     rows = texts_of(docs, id_col, text_col)
     spark = docs.sparkSession
-    described = written(rows.mapInArrow(_describe, "id long, n_shingles long, one long, two long, sig binary"), "signatures")
-    filled = described.where("n_shingles > 0")
-    folded = written(filled.groupBy("one", "two").agg(F.min("id").alias("rep")).where("rep is not null"), "folded")
-    named = folded.select(F.col("rep").alias("id"), "one", "two")
-    reps = written(filled.join(named, ["id", "one", "two"], "left_semi").dropDuplicates(["id", "one", "two"]).select("id", F.col("n_shingles").alias("n"), "sig"), "representatives")
+    described = written(rows.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_describe, "id long, text_hash long, n_shingles long, one long, two long, sig binary"), "signatures")
+    # one shuffle folds equal sets; a set's signature is the same in all its rows, and its node is a number that the written table fixes
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("n_shingles").alias("n"), "sig")).alias("least")
+    folded = described.where("n_shingles > 0").groupBy("one", "two").agg(least).select("one", "two", "least.id", "least.n", "least.sig")
+    band = F.floor(F.log("n") / float(-np.log(numerator / denominator) * 1.001)).cast("int")
+    reps = written(folded.select("*", band.alias("band"), F.monotonically_increasing_id().alias("node")), "representatives")
+    lite = reps.select("node", "n", F.substring("sig", 1, COORDINATES).alias("sig"))
 
     # at most LISTED * COMMON keys can be so common
     total = reps.count()
@@ -277,69 +327,124 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _postings(*held.value)(batches)
 
-    # lists of several members, each with its smallest; what has one row a key is written before it is joined, so hot keys can be split
-    postings = reps.select("id", "sig").mapInArrow(post, "key long, id long")
-    lists = written(postings.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"), "heads")
-    listed = written(postings.join(lists, "key").select("key", "id", "a"), "lists")
-    stars = listed.where("a < id").select("a", F.col("id").alias("b")).distinct()
-    sig_a, sig_b = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    pairs = written(stars.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "pairs")
-    links = written(_confirmed(pairs, _texts(rows, pairs), numerator, denominator), "links")
-    label = components(links)
-
-    # the lists that are left: members of more than one component
-    placed = reps.select("id", "n").join(label, "id", "left").select("id", "n", F.floor(F.log("n") / float(-np.log(numerator / denominator))).cast("int").alias("band"), F.coalesce("component", "id").alias("component"))
-    placed = written(placed, "placed")
-    open_ = listed.select("key", "id").join(placed.select("id", "band", "component"), "id")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most")
-    # a list's place in the order in which a pair looks for the one list that it belongs to: long ones first
-    post = F.when(F.col("size") > LONG, 0).otherwise(1 << 32) + F.xxhash64("key").bitwiseAND((1 << 32) - 1)
-    mixed = written(mixed.select("key", post.alias("post"), (F.col("size") > LONG).alias("long")), "mixed")
-    left = written(open_.join(mixed, "key"), "open")
-    sizes = written(left.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "sizes")
-    posts = left.groupBy("id").agg(F.collect_list("post").alias("posts"))
-    lite = reps.select("id", "n", "sig").mapInArrow(_lite, "id long, n long, sig binary").join(posts, "id")
-    long = written(left.where("long").select("id").distinct(), "long")
-    sets = _texts(rows, long.select(F.col("id").alias("a"), F.col("id").alias("b"))).mapInArrow(_sets, "id long, set binary")
-    dealt = left.join(sizes, ["key", "band"]).select("key", "post", "long", "band", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "component").join(lite, "id")
-    short = dealt.where("not long").withColumn("set", F.lit(None).cast("binary"))
-    member = F.struct("id", "component", "n", "sig", "posts", "set")
-    blocks = short.unionByName(dealt.where("long").join(sets, "id")).groupBy("key", "post", "band", "block").agg(F.collect_list(member).alias("members"))
-    blocks = written(blocks, "blocks")
-    ours = blocks.select("key", "post", F.col("band").alias("own"), "block", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("members").alias("left"))
-    theirs = blocks.select("key", "band", F.col("block").alias("other"), F.col("members").alias("right"))
-    met = ours.join(theirs, ["key", "band"]).where("(band > own or other >= block) and (size(left) > 1 or band > own or other > block)")
-    met = met.select("post", F.expr("band = own and other = block").alias("same"), "left", "right")
-    rest = written(met.mapInArrow(_across(numerator, denominator), "a long, b long").distinct(), "pairs")
-    if not rest.isEmpty():
-        more = _confirmed(rest, _texts(rows, rest), numerator, denominator)
+    # lists of several members; what has one row a key is written before it is joined, so hot keys can be split
+    postings = reps.select("node", "band", "sig").mapInArrow(post, "key long, band int, node long")
+    several = written(postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key"), "several")
+    open_ = written(postings.join(several, "key").select("key", "band", "node", F.col("node").alias("component")), "lists")
+    dropped(several)
+
+    links: DataFrame | None = None
+    for _ in range(ROUNDS):
+        now = _star_links(open_, rows, reps, lite, numerator, denominator)
+        links = now if links is None else written(links.union(now), "links")
+        label = components(links)
+        placed = written(open_.drop("component").join(label.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "placed")
+        dropped(open_)
+        open_ = _open(placed)
+
+    # of a member's lists, shortest first, the last are not needed
+    size = written(open_.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    ranked = open_.join(size, "key").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("size", "key", "band"))).alias("lists"))
+    ranked = ranked.select("node", "component", F.explode(F.expr(f"slice(lists, 1, greatest(size(lists) - {SHARED - 1}, 0))")).alias("l")).select("l.key", "l.band", "node", "component")
+    ranked = written(ranked, "ranked")
+    left, windows = _windows(ranked)
+    short = left.join(windows.where(F.col("size") <= LONG).select("key", "window"), ["key", "window"]).join(lite, "node")
+    met = short.groupBy("key", "window").agg(F.collect_list(F.struct("node", "component", "n", "sig")).alias("members")).select("members")
+    met = written(met.mapInArrow(_within(numerator, denominator), "a long, b long").distinct(), "pairs")
+    more = _confirmed(met, rows, reps, numerator, denominator)
+    long = _long(left.join(windows.where(F.col("size") > LONG), ["key", "window"]), rows, reps, lite, numerator, denominator)
+    if long is not None:
+        more = more.union(long)
+    if not more.isEmpty():
         label = components(links.union(more))
-
-    final = folded.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
-    out = described.select("id", "n_shingles", "one", "two").join(final, ["one", "two"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the representatives in pairs, written once.
+    dropped(open_, size, ranked, windows, met)
+
+    grouped = reps.select("one", "two", "id", "node").join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("one", "two", "id", F.coalesce("component", "node").alias("group"))
+    names = written(grouped.groupBy("group").agg(F.min("id").alias("component")), "names")
+    final = written(grouped.select("one", "two", "group").join(names, "group"), "components")
+    dropped(reps, names)
+    out = described.select("id", "text_hash", "n_shingles", "one", "two").join(final, ["one", "two"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    more_columns = ["text_hash", "group"] if detail else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *more_columns)
+
+
+def _star_links(posts: DataFrame, rows: DataFrame, reps: DataFrame, lite: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Confirmed links of windows' centres: members of other components that collide with one often enough."""
+    members, windows = _windows(posts)
+    # the centre is the member of the least component, of these the first
+    centre = members.groupBy("key", "window").agg(F.min(F.struct("component", "node")).alias("c")).select("key", "window", F.col("c.node").alias("a"), F.col("c.component").alias("own"))
+    centre = written(centre.join(windows.select("key", "window"), ["key", "window"]), "centres")
+    collisions = members.join(centre, ["key", "window"]).where("component != own").groupBy("a", F.col("node").alias("b")).agg(F.count_distinct("key").alias("times"))
+    met = collisions.where(F.col("times") >= COLLISIONS).select("a", "b")
+    one, two = (lite.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
+    alike = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
+    pairs = written(met.join(two, "b").join(one, "a").where(alike).select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "pairs")
+    links = _confirmed(pairs, rows, reps, numerator, denominator)
+    dropped(windows, centre, pairs)
+    return links
+
+
+def _windows(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members by window (a band of a list and the next one), and the windows in which members of different components may be alike, with their sizes."""
+    members = posts.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("window"), "band", "node", "component")
+    found = members.groupBy("key", "window").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.col("band") == F.col("window")).alias("own"), F.count(F.lit(1)).alias("size"))
+    return members, written(found.where("own and least < most").select("key", "window", "size"), "windows")
+
+
+def _open(posts: DataFrame) -> DataFrame:
+    """Postings of members that may be of a pair that shares :data:`SHARED` lists and isn't of one component."""
+    for _ in range(PASSES):
+        members, windows = _windows(posts)
+        now = members.join(windows.select("key", "window"), ["key", "window"])
+        lists = F.bit_count(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))"))
+        often = written(now.groupBy("node").agg(lists.alias("lists")).where(F.col("lists") >= SHARED).select("node"), "often")
+        after = written(now.join(often, "node").select("key", "band", "node", "component").distinct(), "open")
+        dropped(posts, windows, often)
+        posts = after
+    return posts
+
+
+def _long(left: DataFrame, rows: DataFrame, reps: DataFrame, lite: DataFrame, numerator: int, denominator: int) -> DataFrame | None:
+    """Confirmed links in windows of many members, block by block."""
+    post = F.xxhash64("key", "window").bitwiseAND((1 << 61) - 1).alias("post")
+    left = written(left.select("key", "window", post, "node", "component", F.ceil(F.col("size") / BLOCK).alias("blocks")), "long")
+    if left.isEmpty():
+        return None
+    named = written(left.groupBy("node").agg(F.collect_set("post").alias("posts")), "posts")
+    sets = _texts(rows, reps, named.select("node")).mapInArrow(_sets, "node long, set binary")
+    carried = written(named.join(sets, "node").join(lite, "node"), "carried")
+    member = F.struct("node", "component", "n", "sig", "posts", "set")
+    dealt = left.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(carried, "node")
+    blocks = written(dealt.groupBy("post", "block", "blocks").agg(F.collect_list(member).alias("members")), "blocks")
+    ours = blocks.select("post", "block", F.explode(F.expr("sequence(block, cast(blocks as int) - 1)")).alias("other"), F.col("members").alias("left"))
+    theirs = blocks.select("post", F.col("block").alias("other"), F.col("members").alias("right"))
+    met = ours.join(theirs, ["post", "other"]).select("post", (F.col("block") == F.col("other")).alias("same"), "left", "right")
+    found = written(met.mapInArrow(_across(numerator, denominator), "a long, b long").distinct(), "pairs")
+    links = _confirmed(found, rows, reps, numerator, denominator)
+    dropped(left, named, carried, blocks, found)
+    return links
+
+
+def _texts(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts of the representatives named, written once as ``node, text``.
 
     A Bloom filter of their identifiers, of bounded size, keeps most other texts out of the shuffle.
     """
     spark = rows.sparkSession
-    named = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "named")
+    named = written(reps.join(nodes.distinct(), "node", "left_semi").select("node", "id", "one", "two"), "named")
     bits = 1 << min((16 * max(named.count(), 64)).bit_length(), MOST_FILTER_BITS.bit_length() - 1)
 
-    def places(ids: np.ndarray) -> list[np.ndarray]:
-        h = mix(ids.astype(np.int64).view(np.uint64), 11)
+    def places(ids: pa.Array) -> list[np.ndarray]:
+        h = mix(ids.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 11)
         return [((h >> U64(s)) & U64(bits - 1)).astype(np.int64) for s in (0, 17, 34)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(np.concatenate(places(b.column(0).to_numpy(zero_copy_only=False))))
+            at = np.unique(np.concatenate(places(b.column(0))))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.int64(1) << (at & 63)))], ["word", "bit"])
 
-    words = named.mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    words = named.select("id").mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
     table = np.zeros(bits >> 6, dtype=np.uint64)
     if words:
         table[[r.word for r in words]] = np.array([r.bits for r in words], dtype=np.int64).view(np.uint64)
@@ -348,10 +453,18 @@ def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = held.value
         for b in batches:
-            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            ok = np.ones(len(ids), dtype=bool)
-            for p in places(ids):
+            ok = np.ones(b.num_rows, dtype=bool)
+            for p in places(b.column(0)):
                 ok &= (t[p >> 6] >> (p & 63).astype(np.uint64) & U64(1)) > 0
-            yield b.filter(pa.array(ok))
-
-    return written(rows.mapInArrow(keep, "id long, text string").join(named, "id", "left_semi"), "texts")
+            b = b.filter(pa.array(ok))
+            for lo, g, first in shingle_sets(b.column(1)):
+                n, one, two = _digests(g, first)
+                part = pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), b.column(1).slice(lo, len(n))], ["id", "one", "two", "text"])
+                yield part.filter(pa.array(n > 0))
+
+    # the identifier and the set tell which rows a representative stands for; of repeated rows one is enough
+    found = rows.mapInArrow(keep, "id long, one long, two long, text string")
+    same = (found.one == named.one) & (found.two == named.two) & found.id.eqNullSafe(named.id)
+    texts = written(found.join(named, same).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    dropped(named)
+    return texts

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -17,35 +18,67 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset and the master is local, as in tests on one machine, a temporary
+    folder is made and set; a cluster must name one, as its machines share no temporary folder.
     """
     here = spark.conf.get("spark.checkpoint.dir", None)
     if not here:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         here = jvm.get() if jvm.isDefined() else None
     if not here:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         here = "file://" + tempfile.mkdtemp(prefix="mediamill-shared-")
         spark.conf.set("spark.checkpoint.dir", here)
     return here.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/mediamill/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/mediamill/{name}-{uuid.uuid4().hex}"
+    """A new folder name below this session's part of the shared folder."""
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_places: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts lineage and is computed once."""
+    """``df`` written as Parquet in the shared folder and read back: cuts lineage and is computed once.
+
+    The shuffle files behind it are deleted when it is written, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` gave, once everything made of them is written itself."""
+    for t in tables:
+        if path := _places.pop(t, None):
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, where: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> bool:
-    """Delete all scratch tables of this subpackage in the shared folder; results that are still to be computed from them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mediamill")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete this session's scratch tables in the shared folder; results that are still to be computed from them are lost."""
+    return _delete(spark, _home(spark))
 
 
 _caches: dict[str, dict] = {}

@@ -16,7 +16,8 @@ anchor's *extent*, its seed extended both ways as far as windows reach it.
 
 Both groupings combine on the map side, so a passage that a third of all texts share costs
 one row a task, and the joins back to the occurrences have one row a key on one side, so
-their hot keys can be split.  Nothing is paired within a group.
+their hot keys can be split.  Nothing is paired within a group.  Two different passages are
+mistaken for one only if they share an anchor and all 64 bits of a hash besides.
 """
 
 from __future__ import annotations
@@ -161,23 +162,23 @@ def _kept(w: Words, gone: np.ndarray, rows: int) -> tuple[list[str], list[list[t
 def _keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool) -> tuple[DataFrame, str, Column, Column, Column]:
     """Rows with a key that no two different texts share, and an order of places that one number holds where the keys allow it."""
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    seen = docs.agg(F.count(id_), F.count(F.lit(1)), F.min(id_), F.max(id_), F.max(F.octet_length(text))).first()
-    distinct = docs.select(id_.alias("i")).distinct().count()
+    by_id = docs.groupBy(id_.alias("i")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.octet_length(text)).alias("longest"))
+    seen = by_id.agg(F.count_if(F.expr("rows > 1 or i is null")).alias("odd"), F.min("i").alias("low"), F.max("i").alias("high"), F.max("longest").alias("longest")).first()
     keep = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if rest else []
-    low, high, longest = seen[2] or 0, seen[3] or 0, seen[4] or 0
+    low, high, longest = seen.low or 0, seen.high or 0, seen.longest or 0
     bits = max(1, int(longest // 2 + 1).bit_length())
-    if seen[0] == seen[1] == distinct and (high - low + 1).bit_length() + bits < 63:
-        rows = docs.select(id_.alias("id"), text.alias("text"), *keep)
+    if not seen.odd and (high - low + 1).bit_length() + bits < 63:
+        rows = docs.select(id_.alias("id"), text.alias("text"), id_.alias("own"), *keep)
         place = F.shiftleft(F.col("id") - F.lit(low), bits) + F.col("start")
         return rows, "long", place, F.shiftright(F.col("place"), bits) + F.lit(low), F.col("place").bitwiseAND((1 << bits) - 1).cast("int")
     # null or repeated identifiers, or a range too wide: the key is the identifier and the text's digest
     ordered = F.coalesce(F.lpad(F.hex(id_.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(" " * 16))
-    rows = docs.select(F.concat(ordered, F.md5(F.coalesce(text, F.lit("")))).alias("id"), text.alias("text"), *keep)
+    rows = docs.select(F.concat(ordered, F.md5(F.coalesce(text, F.lit("")))).alias("id"), text.alias("text"), id_.alias("own"), *keep)
     return rows, "string", F.struct("id", "start"), F.col("place.id"), F.col("place.start")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, rest: bool = False, whole: bool = False) -> DataFrame:
-    """``key, n_words, n_removed, kept, spans`` for every row: the text without the words of repeated windows.
+    """``id_col, n_words, n_removed, kept, spans`` for every row: the text without the words of repeated windows.
 
     Words are runs of anything but ASCII white space, unchanged.  A window of ``length`` words
     is repeated when its words also start earlier, in a smaller identifier or before it in
@@ -186,12 +187,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has no words; texts of fewer than ``length`` words lose none.  Rows that share an
     identifier are told apart by their text and ordered by its digest; rows equal in both
     count as one place, so neither makes the other a repeat; null identifiers come first.
-    ``key`` is the identifier, or a string made of it in tables with repeated or null ones.
     With ``rest``, a struct of that name carries all columns but the text; with ``whole``,
     ``kept`` of a text that loses no word is that text with its own white space, or null.
     """
     rows, kind, place, id_of, start_of = _keyed(docs, id_col, text_col, rest)
-    tail = [("rest", rows.schema["rest"].dataType.simpleString())] if rest else []
+    tail = [("own", "long")] + ([("rest", rows.schema["rest"].dataType.simpleString())] if rest else [])
     more = "".join(f", {n} {t}" for n, t in tail)
     extents_of = rows.select("id", "text").mapInArrow(_extent_rows(length, seed), f"anchor long, content long, id {kind}, start int, n int").withColumn("place", place).drop("id", "start")
     shared = extents_of.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("least"), F.max("content").alias("most"))
@@ -204,13 +204,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     asked = earliest.where("mixed").select(F.col("first").alias("place")).select(id_of.alias("id"), start_of.alias("start")).groupBy("id").agg(F.collect_list("start").alias("starts"))
     # both joins of the texts are left joins over the same columns, so one exchange of the texts serves both
-    laid = rows.join(asked.hint("shuffle_hash"), "id", "left").select("id", "text", "starts", *[n for n, _ in tail])
+    laid = rows.join(asked, "id", "left").select("id", "text", "starts", *[n for n, _ in tail])
     laid = laid.mapInArrow(_window_rows(length, seed), f"anchor long, content long, id {kind}, start int").withColumn("place", place).drop("id", "start")
-    single = laid
-    firsts = single.groupBy("anchor", "content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor", "content", "first")
+    firsts = laid.groupBy("anchor", "content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor", "content", "first")
     firsts = written(firsts, "windows")
-    single = single.join(firsts, ["anchor", "content"]).where("place > first").select(id_of.alias("id"), start_of.alias("start"), F.lit(1).alias("n"))
+    single = laid.join(firsts, ["anchor", "content"]).where("place > first").select(id_of.alias("id"), start_of.alias("start"), F.lit(1).alias("n"))
 
     marks = later.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    joined = rows.join(marks.hint("shuffle_hash"), "id", "left").select("id", "text", "marks", *[n for n, _ in tail])
-    return joined.mapInArrow(_cut(length, whole), f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:int,words:int>>{more}").withColumnRenamed("id", "key")
+    joined = rows.join(marks, "id", "left").select("id", "text", "marks", *[n for n, _ in tail])
+    out = joined.mapInArrow(_cut(length, whole), f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:int,words:int>>{more}")
+    return out.select(F.col("own").alias(id_col), "n_words", "n_removed", "kept", "spans", *(["rest"] if rest else []))

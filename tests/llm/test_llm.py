@@ -84,7 +84,7 @@ def test_substring_dedup_equals_brute_force(spark):
         texts.append(" \n".join(parts))
     texts += [texts[-1]] * 5 + ["aa bb " * 40]
     want = brute_repeats(list(enumerate(texts)))
-    got = {r.key: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.find_repeats(rows(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.find_repeats(rows(spark, texts)).collect()}
     assert got == want and sum(v[1] for v in want.values()) > 1000
     whole = {r.rest.doc_id: (r.kept, r.rest.id) for r in substring_dedup.find_repeats(rows(spark, texts), rest=True, whole=True).collect()}
     assert all(whole[i] == ((t if not want[i][1] else want[i][2]), "clash") for i, t in enumerate(texts))
@@ -92,10 +92,12 @@ def test_substring_dedup_equals_brute_force(spark):
 
 def test_substring_dedup_spans_and_odd_keys(spark):
     a = prose(random.Random(2), 30, 900)
-    got = substring_dedup.find_repeats(rows(spark, [a, "x " + a + " y"])).orderBy("key").collect()
+    got = substring_dedup.find_repeats(rows(spark, [a, "x " + a + " y"])).orderBy("doc_id").collect()
     assert [(s.first, s.words) for s in got[1].spans] == [(1, 30)] and got[1].kept == "x y"
     again = substring_dedup.find_repeats(rows(spark, [a, a, a + " z", a], [5, 5, 5, None])).collect()
     assert len(again) == 4 and sorted(r.n_removed for r in again) == [0, 30, 30, 30]
+    odd = substring_dedup.find_repeats(rows(spark, [a, a + " z", "q"], [5, 5, -(1 << 60)]))
+    assert dict(odd.dtypes)["doc_id"] == "bigint" and sorted((r.doc_id, r.n_words) for r in odd.collect()) == [(-(1 << 60), 1), (5, 30), (5, 31)]
     assert substring_dedup.find_repeats(rows(spark, ["a"]).limit(0)).count() == 0
 
 
@@ -208,7 +210,13 @@ def test_a_group_of_mostly_unlike_copies(spark):
 
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash_dedup.near_duplicates(rows(spark, ["a b", "a b", "c", None], [3, None, 3, None])).collect()
-    assert len(got) == 4 and {r.component_id for r in got if r.n_shingles} == {3}
+    assert len(got) == 4 and sorted((r.doc_id, r.component_id) for r in got if r.n_shingles and r.doc_id) == [(3, 3), (3, 3)]
+    long = prose(random.Random(8), 40, 900)
+    data = [(5, long), (5, "other text of five words more"), (1, long + " end"), (None, long), (None, "nobody else has this one"), (7, ""), (7, long)]
+    got = minhash_dedup.near_duplicates(rows(spark, [t for _, t in data], [i for i, _ in data]), detail=True)
+    named = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()}
+    assert named == {(5, 36, 1, False), (5, 2, 5, True), (1, 37, 1, True), (None, 36, 1, True), (None, 1, None, True), (7, 0, 7, True), (7, 36, 1, False)}
+    assert len({r.group for r in got.collect() if r.component_id == 1}) == 1
     assert minhash_dedup.near_duplicates(rows(spark, ["a"]).limit(0)).count() == 0
 
 
@@ -472,3 +480,30 @@ def test_pipeline_equals_brute_force_stages(spark):
     last = corpus_pipeline.encode(spark, clean, DATA)
     assert last.count() == clean.count()
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    """Repeated and null identifiers, null texts, equal rows and columns named like an operator's."""
+    import corpus_pipeline
+
+    for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    data = [
+        (5, "a b c"), (5, "other text"), (1, "a b c"), (5, "other text"), (None, "a b c"), (None, "only here"), (None, None), (7, None), (7, ""), (8, " ")
+    ]
+    fields = [(i, t, None, "s", len(t or ""), 42.0, 9, ["x"], "rest", -1, "k", 3) for i, t in data]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, passages array<string>, rest string, n_words int, `id` string, `group` int"
+    docs = spark.createDataFrame(fields, kind)
+
+    def texts(df):
+        assert df.columns == docs.columns and all((r.score, r.predicted, r.passages, r.rest, r.n_words, r.id, r.group) == (42.0, 9, ["x"], "rest", -1, "k", 3) for r in df.collect())
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    assert texts(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) == sorted(data, key=str)
+    near = [(1, "a b c"), (5, "other text"), (None, "only here"), (None, None), (7, None), (7, ""), (8, " ")]
+    assert texts(corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))) == sorted(near, key=str)
+    assert texts(corpus_pipeline.cut_repeats(spark, docs, str(tmp_path))) == sorted(data, key=str)
+    assert texts(corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))) == sorted(data, key=str)
+    assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == len(data)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
