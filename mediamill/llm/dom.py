@@ -27,6 +27,32 @@ _CLOSES_P = frozenset("address article aside blockquote center details dialog di
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"datalist"})}
 
 
+_P_BARRIERS = ("td", "th", "table", "li")
+
+
+class _Open:
+    """The open elements from the root down, and where those of each tag stand, so that none is searched for."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        """End the element at a place and all in it; the root never ends."""
+        while place and len(self.nodes) > place:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
+
+
 class Node:
     __slots__ = ("tag", "words", "parent", "depth", "start", "order", "text", "link", "links", "commas", "pieces", "controls", "children")
 
@@ -48,20 +74,20 @@ class Page:
 
     def _read(self, source: str) -> None:
         nodes, pieces = self.nodes, self.pieces
-        open_ = [0]
+        open_ = _Open()
         block = 0
         in_link = False
         in_head = False
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at and not in_head:
-                self._text(open_[-1], block, source[at : m.start()], in_link)
+                self._text(open_.nodes[-1], block, source[at : m.start()], in_link)
             at = m.end()
             tag = m["tag"]
             if tag is None:
                 raw = m["raw"]
                 if raw and raw.lower() in ("textarea", "select", "button"):
-                    nodes[open_[-1]].controls += 1
+                    nodes[open_.nodes[-1]].controls += 1
                 continue
             tag = tag.lower()
             if m["end"]:
@@ -70,10 +96,7 @@ class Page:
                 elif tag == "a":
                     in_link = False
                 elif tag not in INLINE and tag != "br":
-                    for i in range(len(open_) - 1, 0, -1):
-                        if nodes[open_[i]].tag == tag:
-                            del open_[i:]
-                            break
+                    open_.close(open_.last((tag,)))
                     block += 1
                     in_link = False
                 continue
@@ -87,43 +110,31 @@ class Page:
                     continue
                 in_head = False
             if tag == "br":
-                pieces.append((open_[-1], block, " "))
+                pieces.append((open_.nodes[-1], block, " "))
                 continue
             if tag == "input":
-                nodes[open_[-1]].controls += 1
+                nodes[open_.nodes[-1]].controls += 1
             if tag in INLINE:
                 if tag == "a":
                     in_link = True
-                    nodes[open_[-1]].links += 1
+                    nodes[open_.nodes[-1]].links += 1
                 continue
             block += 1
             in_link = False
             if tag in VOID or tag in ("html", "body"):
                 continue
-            if tag in _CLOSES_P:
-                for i in range(len(open_) - 1, 0, -1):
-                    if nodes[open_[i]].tag == "p":
-                        del open_[i:]
-                        break
-                    if nodes[open_[i]].tag in ("td", "th", "table", "li"):
-                        break
-            elif tag in _SIBLINGS:
-                ends, barriers = _SIBLINGS[tag]
-                for i in range(len(open_) - 1, 0, -1):
-                    if nodes[open_[i]].tag in ends:
-                        del open_[i:]
-                        break
-                    if nodes[open_[i]].tag in barriers:
-                        break
-            parent = open_[-1]
+            ends, barriers = (("p",), _P_BARRIERS) if tag in _CLOSES_P else _SIBLINGS.get(tag, ((), ()))
+            if (place := open_.last(ends)) > open_.last(barriers):
+                open_.close(place)
+            parent = open_.nodes[-1]
             attrs = m["attrs"]
             words = attribute_words(attrs) if attrs else ()
             nodes[parent].children += 1
             nodes.append(Node(tag, words, parent, nodes[parent].depth + 1, m.start(), nodes[parent].children))
             if not attrs.endswith("/"):
-                open_.append(len(nodes) - 1)
+                open_.push(len(nodes) - 1, tag)
         if at < len(source) and not in_head:
-            self._text(open_[-1], block, source[at:], in_link)
+            self._text(open_.nodes[-1], block, source[at:], in_link)
 
     def _text(self, node: int, block: int, text: str, in_link: bool) -> None:
         self.pieces.append((node, block, text))

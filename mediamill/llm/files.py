@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -18,6 +19,13 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def created(folder: str, name: str) -> tuple[str, pa.NativeFile]:
+    """A new file's address and a stream to write it; the name must be new, so nothing is moved or written over."""
+    store, path = opened(folder)
+    store.create_dir(path, recursive=True)
+    return f"{folder}/{name}", store.open_output_stream(f"{path}/{name}")
+
+
 def put(folder: str, name: str, body: bytes) -> str:
     """Write a file whole: under another name first, then moved, so that a reader never sees a part of it."""
     store, path = opened(folder)

@@ -33,6 +33,7 @@ from .shared import written
 from .textkit import LOWER, U64, slices
 
 FIT_ROWS = 8_000
+MOST_LANGUAGES = 200
 BITS = 15
 SMOOTHING = 0.5
 EVIDENCE = 64
@@ -100,13 +101,20 @@ class Profiles:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Profiles:
-    """Profiles of all languages among at most ``fit_rows`` documents; without any, one language "und"."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, most_languages: int = MOST_LANGUAGES) -> Profiles:
+    """Profiles of the languages of at most ``fit_rows`` documents, at most the ``most_languages`` that have most of them (ties by name); without any, one language "und".
+
+    Null identifiers and languages are passed over, a null text counts as empty; rows that share
+    an identifier are all used.
+    """
     spark = docs.sparkSession
     id_ = F.col(id_col).cast("long")
     chosen = docs.where(F.col(lang_col).isNotNull() & id_.isNotNull()).select(id_.alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     chosen = spark.createDataFrame([(r[0],) for r in chosen.collect()], "id long")  # at most fit_rows numbers
     sample = docs.select(id_.alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null").join(F.broadcast(chosen), "id").select("lang", "text")
+    sample = written(sample, "profiled")
+    named = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+    sample = sample.join(F.broadcast(named), "lang").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -181,8 +189,11 @@ def identify(pages: DataFrame, profiles: Profiles, id_col: str = "page_id", url_
         return grouped.agg(*[F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(n)]).select(*by, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(n)]).alias("_".join(by or ("all",)) + "_n"))
 
     # overall: one row; declared: subtags of two or three letters, so at most 26**2 + 26**3 + 1 rows
-    every = F.broadcast(sums())
-    joined = base.crossJoin(every).join(F.broadcast(sums("declared")), "declared").join(sums("suffix"), "suffix").join(sums("domain"), "domain").join(sums("host"), "host")
+    every = F.array(*[F.lit(float(x)) for x in sums().first()[0]])
+    joined = base.withColumn("all_n", every).join(F.broadcast(sums("declared")), "declared")
+    # one row a key, written first: joins of two plain exchanges, in which the rows of a hot host can be split
+    for by in ("suffix", "domain", "host"):
+        joined = joined.join(written(sums(by), by), by)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = np.array(held.value.languages)

@@ -9,27 +9,34 @@ their places, the number of entries and a magic word.  A lookup tests the filter
 its block by binary search in the index, and its entry by binary search over the block's
 whole keys.
 
-Rows are range-partitioned by key, so shards follow one another, and each is written whole
-under a temporary name and then moved, so a task that runs twice does no harm.
+Rows are range-partitioned by key, so shards follow one another.  A task writes block by
+block and rolls on to a new shard at :data:`SHARD` bytes, so its memory follows neither the
+partition nor the shard but a block and 16 bytes a key.  Each attempt of a task gives its
+shards names of its own, and only those of the attempt that ended get into the manifest, so
+a task that runs twice does no harm, and nothing is ever moved or written over.
 """
 
 from __future__ import annotations
 
 import bisect
 import struct
+import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .files import opened, put
+from .files import created, opened
 from .shared import scratch, texts_of, worker_cache
 from .wordbpe import ChunkEncoder, groups
 
 BLOCK = 1 << 16
+SHARD = 1 << 28
 RESTART = 16
 BITS_A_KEY = 10
 HASHES = 7
@@ -66,25 +73,32 @@ def _unvarint(data, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def _hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key), xxhash.xxh64_intdigest(key, 1) | 1
+
+
 def _probes(key: bytes, bits: int) -> list[int]:
-    a, b = xxhash.xxh64_intdigest(key), xxhash.xxh64_intdigest(key, 1) | 1
+    a, b = _hashes(key)
     return [(a + i * b) % bits for i in range(HASHES)]
 
 
 class Writer:
-    """A shard in memory: entries are added in the order of their keys, :meth:`finish` gives the file's bytes."""
+    """A shard that is written as it grows: entries are added in the order of their keys, blocks go to ``out`` when they are full."""
 
-    def __init__(self) -> None:
-        self.done = bytearray()
-        self.keys: list[bytes] = []
+    def __init__(self, out) -> None:
+        self.out, self.size, self.entries = out, 0, 0
         self.index: list[tuple[bytes, int, int]] = []
+        self.hashes = array("Q")
+        self.first = self.last = b""
         self._start()
 
     def _start(self) -> None:
-        self.block, self.places, self.inside, self.last = bytearray(), [], 0, b""
+        self.block, self.places, self.inside = bytearray(), [], 0
 
     def add(self, key: bytes, value: bytes) -> None:
-        if self.keys and key < self.keys[-1]:
+        if not self.entries:
+            self.first = key
+        elif key < self.last:
             raise ValueError("keys must come in order")
         shared = 0
         if self.inside % RESTART == 0:
@@ -97,31 +111,37 @@ class Writer:
         self.block += value
         self.last = key
         self.inside += 1
-        self.keys.append(key)
+        self.entries += 1
+        self.hashes.extend(_hashes(key))
         if len(self.block) >= BLOCK:
             self._close()
 
+    def _write(self, body: bytes) -> None:
+        self.out.write(body)
+        self.size += len(body)
+
     def _close(self) -> None:
         if self.inside:
             self.block += struct.pack(f"<{len(self.places)}II", *self.places, len(self.places))
-            self.index.append((self.last, len(self.done), len(self.block)))
-            self.done += self.block + struct.pack("<I", zlib.crc32(self.block))
+            self.index.append((self.last, self.size, len(self.block)))
+            self._write(bytes(self.block) + struct.pack("<I", zlib.crc32(self.block)))
         self._start()
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
+        """Write the last block, the filter, the index and the footer."""
         self._close()
-        bits = max(64, len(self.keys) * BITS_A_KEY)
+        bits = max(64, self.entries * BITS_A_KEY)
         filter_ = np.zeros((bits + 7) // 8, dtype=np.uint8)
-        for k in self.keys:
-            for p in _probes(k, bits):
-                filter_[p >> 3] |= 1 << (p & 7)
-        at_filter = len(self.done)
-        self.done += filter_.tobytes()
-        at_index = len(self.done)
+        pairs = np.frombuffer(self.hashes, dtype=np.uint64).reshape(-1, 2) % np.uint64(bits)
+        for i in range(HASHES):
+            at = ((pairs[:, 0] + np.uint64(i) * pairs[:, 1]) % np.uint64(bits)).astype(np.int64)
+            np.bitwise_or.at(filter_, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        at_filter = self.size
+        self._write(filter_.tobytes())
+        at_index = self.size
         index = b"".join(_varint(len(k)) + k + struct.pack("<QQ", at, n) for k, at, n in self.index)
-        self.done += index
-        self.done += _FOOTER.pack(at_filter, bits, at_index, len(index), len(self.index), len(self.keys), zlib.crc32(index), _MAGIC)
-        return bytes(self.done)
+        self._write(index)
+        self._write(_FOOTER.pack(at_filter, bits, at_index, len(index), len(self.index), self.entries, zlib.crc32(index), _MAGIC))
 
 
 class Reader:
@@ -207,16 +227,20 @@ def _wide(value: bytes) -> bytes:
     return value[1:] if value[:1] == b"\4" else np.frombuffer(value, dtype="<u2", offset=1).astype("<u4").tobytes()
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[[str], ChunkEncoder] = ChunkEncoder) -> list[dict]:
+def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[[str], ChunkEncoder] = ChunkEncoder, most: int = SHARD) -> list[dict]:
     """Write shards of all texts' ids (with ``end_id`` after each) in the order of the identifiers; returns the manifest.
 
     The manifest has a row for each shard: its address, first and last identifier, entries,
-    ids, and ids in all shards before it.  It grows with the number of shards alone.
+    ids, and ids in all shards before it.  It grows with the number of shards alone, and a
+    shard is full at ``most`` bytes.  Rows of one identifier come in the order of their texts'
+    hashes, which is a part of the range that rows are dealt by, so one identifier (or none)
+    in many rows is spread over tasks.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "sst")
     end = np.array([end_id], dtype="<u4").tobytes()
-    rows = texts_of(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = texts_of(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -224,21 +248,33 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         kept = worker_cache("sst")
         if path not in kept:
             kept[path] = encoder(path)
-        coder, shard, n = kept[path], Writer(), 0
+        coder, part, attempt = kept[path], TaskContext.get().partitionId(), uuid.uuid4().hex
+        shard, done, n, at = None, [], 0, ""
+
+        def close() -> None:
+            shard.finish()
+            shard.out.close()
+            done.append({"part": part, "number": len(done), "path": at, "first": value_of(shard.first), "last": value_of(shard.last), "entries": shard.entries, "ids": n})
+
         for b in batches:
             ids = b.column(0).to_pylist()
             for lo, texts in groups(b.column(1)):
                 for key, tokens in zip(ids[lo : lo + len(texts)], coder.encode(texts), strict=True):
+                    if shard is None:
+                        at, out = created(folder, f"shard-{part:06d}-{len(done):06d}-{attempt}.sst")
+                        shard, n = Writer(out), 0
                     tokens += end
                     n += len(tokens) // 4
                     shard.add(key_of(key), _narrow(tokens))
-        if shard.keys:
-            number = TaskContext.get().partitionId()
-            at = put(folder, f"shard-{number:06d}.sst", shard.finish())
-            yield pa.RecordBatch.from_pylist([{"shard": number, "path": at, "first": value_of(shard.keys[0]), "last": value_of(shard.keys[-1]), "entries": len(shard.keys), "ids": n}], schema=_MANIFEST)
-
-    manifest = [r.asDict() for r in rows.mapInArrow(run, "shard int, path string, first long, last long, entries long, ids long").collect()]
-    manifest.sort(key=lambda r: r["shard"])
+                    if shard.size >= most:
+                        close()
+                        shard = None
+        if shard is not None:
+            close()
+        yield pa.RecordBatch.from_pylist(done, schema=_MANIFEST)
+
+    manifest = [r.asDict() for r in rows.mapInArrow(run, "part int, number int, path string, first long, last long, entries long, ids long").collect()]
+    manifest.sort(key=lambda r: (r["part"], r["number"]))
     start = 0
     for r in manifest:
         r["start"] = start
@@ -246,7 +282,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = N
     return manifest
 
 
-_MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("entries", pa.int64()), ("ids", pa.int64())])
+_MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("entries", pa.int64()), ("ids", pa.int64())])
 
 
 def read_tokens(spark, manifest: list[dict], id_col: str = "doc_id", digest: bool = False) -> DataFrame:
@@ -299,7 +335,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_
     """``id_col, start, n_tokens, ids_crc32`` of every text, read back from the shards it was written to.
 
     A null or empty text has the end id alone; rows of one identifier follow one another in the
-    order of their texts (nulls first), a null identifier comes before all others, an empty
+    order of their texts' hashes, a null identifier comes before all others, an empty
     table gives no shard and no row.  Other columns are not read.
     """
     return read_tokens(docs.sparkSession, write_tokens(docs, path, end_id, None, id_col, text_col, encoder), id_col, digest=True)

@@ -1,9 +1,11 @@
 """The text operators against brute force on small tables, with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import io
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -106,20 +108,28 @@ def test_substring_dedup_spans_and_odd_keys(spark):
 
 def test_maximal_segments_by_brute_force():
     rng = random.Random(3)
-    for _ in range(60):
-        s = [rng.choice((-2.0, -1.0, -0.5, 1.0, 2.0)) for _ in range(rng.randint(1, 14))]
+    for _ in range(200):
+        s = [rng.gauss(-0.2, 1.0) for _ in range(rng.randint(1, 25))]
         run = np.concatenate([[0], np.cumsum(s)])
 
-        def recurse(lo, hi, s=s, run=run):
-            best = max(((run[b] - run[a], -(b - a), -a) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+        def recurse(lo, hi, run=run):
+            best = max(((run[b] - run[a], a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
             if best[0] <= 0:
                 return []
-            a = -best[2]
-            b = a - best[1]
-            return [*recurse(lo, a), (a, b), *recurse(b, hi)]
+            return [*recurse(lo, best[1]), best[1:], *recurse(best[2], hi)]
+
+        assert toxicity.maximal([i for i, x in enumerate(s) if x > 0], run) == recurse(0, len(s))
+
+
+def test_maximal_segments_take_linear_time():
+    def seconds(n):
+        s = np.tile([2.0, -1.5, -1.5], n)
+        run = np.concatenate([[0], np.cumsum(s)])
+        start = time.perf_counter()
+        assert len(toxicity.maximal(range(0, 3 * n, 3), run)) == n
+        return time.perf_counter() - start
 
-        got = toxicity.maximal([i for i, x in enumerate(s) if x > 0], run)
-        assert abs(sum(run[b] - run[a] for a, b in got) - sum(run[b] - run[a] for a, b in recurse(0, len(s)))) < 1e-9
+    assert seconds(200_000) < 15 * max(seconds(20_000), 0.01)
 
 
 def test_toxicity_learns_words_and_prefixes(spark):
@@ -252,6 +262,13 @@ def test_pages_are_read_as_browsers_do():
     assert Page("").content([True]) == "" and Page("<").content([True]) == "<" and Page("text <p").content([True]) == "text"
 
 
+def test_unclosed_elements_take_linear_time():
+    start = time.perf_counter()
+    assert len(Page("<div>" * 200_000).nodes) == 200_001
+    page = Page("<li><p>" * 70_000 + "</ul>" * 70_000 + "end")
+    assert time.perf_counter() - start < 10 and page.content([True] * len(page.nodes)) == "end"
+
+
 def test_extraction_on_pages_not_trained_on(spark):
     exact = total = 0
     for i in range(150):
@@ -335,15 +352,24 @@ def test_token_shards(spark):
         assert sst.lookup(manifest, ids[i]) == [np.array([*library.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()]
     assert sst.lookup(manifest, 12345) == [] and sst.lookup(manifest, None)
     assert sst.token_table(docs.limit(0), WORD).count() == 0
+    big = rows(spark, [prose(random.Random(i), 20_000) for i in range(12)], list(range(12))).coalesce(1)
+    one, many = sst.write_tokens(big, WORD, 2), sst.write_tokens(big, WORD, 2, most=1)
+    assert len(many) >= 6 > len(one) and len({r["path"] for r in many}) == len(many) and sst.lookup(many, 7) == sst.lookup(one, 7) != []
+    assert sorted(tuple(r) for r in sst.read_tokens(spark, many, digest=True).collect()) == sorted(tuple(r) for r in sst.read_tokens(spark, one, digest=True).collect())
+    again = rows(spark, ["one"] * 30 + ["two"] * 10, [4] * 30 + [None] * 10)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in sst.token_table(again, WORD).collect()) == [(0, 2)] * 10 + [(4, 2)] * 30
 
 
 def test_table_format(tmp_path):
-    w = sst.Writer()
+    path = tmp_path / "a.sst"
+    file = path.open("wb")
+    w = sst.Writer(file)
     entries = [(sst.key_of(i // 2 - 500), bytes([i % 251]) * (i % 400)) for i in range(3000)]
     for k, v in entries:
         w.add(k, v)
-    path = tmp_path / "a.sst"
-    path.write_bytes(w.finish())
+        assert len(w.block) < 2 * sst.BLOCK
+    w.finish()
+    file.close()
     r = sst.Reader(str(path))
     assert list(r.scan()) == entries and len(r.where) > 3
     assert r.get(sst.key_of(-500)) == [b"", bytes([1])] and r.get(sst.key_of(10**6)) == []
@@ -355,7 +381,7 @@ def test_table_format(tmp_path):
     with pytest.raises(ValueError, match="damaged"):
         list(sst.Reader(str(path)).scan())
     with pytest.raises(ValueError, match="order"):
-        w = sst.Writer()
+        w = sst.Writer(io.BytesIO())
         w.add(b"b", b"")
         w.add(b"a", b"")
 
