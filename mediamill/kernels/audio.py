@@ -5,10 +5,10 @@ from __future__ import annotations
 import struct
 
 from ..errors import Invalid
-from . import deflate, xmp
-from .tags import MOST_VALUE, Tags, clean, tag_name, zero_ended
+from . import deflate, parts, xmp
+from .tags import MOST_TAGS, MOST_VALUE, Tags, clean, tag_name, zero_ended
 
-MOST_CHUNKS, MOST_ATOMS, MOST_DEPTH = 65_536, 65_536, 16
+MOST_ATOMS, MOST_DEPTH = 65_536, 16
 
 # Names of the tags of each container.
 RIFF_NAMES = {"IARL": "ArchivalLocation", "IART": "Artist", "ICMS": "Commissioned", "ICMT": "Comment", "ICOP": "Copyright", "ICRD": "DateCreated", "IENG": "Engineer", "IGNR": "Genre", "IKEY": "Keywords", "IMED": "Medium", "INAM": "Title", "IPRD": "Product", "ISBJ": "Subject", "ISFT": "Software", "ISRC": "Source", "ISRF": "SourceForm", "ITCH": "Technician", "ITRK": "TrackNumber", "IPRT": "TrackNumber"}
@@ -19,6 +19,11 @@ ID3_NAMES = {"TIT2": "Title", "TPE1": "Artist", "TPE2": "Band", "TALB": "Album",
 ID3_SHORT = {"TT2": "TIT2", "TP1": "TPE1", "TP2": "TPE2", "TAL": "TALB", "TCM": "TCOM", "TCO": "TCON", "TYE": "TYER", "TRK": "TRCK", "TCR": "TCOP", "TPB": "TPUB", "TRC": "TSRC", "TEN": "TENC", "TSS": "TSSE", "TT3": "TIT3", "TXT": "TEXT", "TXX": "TXXX", "COM": "COMM"}
 ID3_ALIASES = {"encoder": "Encoder", "encoded_by": "Encoder", "encodedby": "Encoder", "software": "Software", "writing_library": "Software", "creator_tool": "CreatorTool", "creatortool": "CreatorTool", "comment": "Comment", "description": "Description"}
 MP4_NAMES = {b"\xa9too": "Encoder", b"\xa9cmt": "Comment", b"desc": "Description", b"\xa9des": "Description", b"\xa9swr": "SoftwareVersion", b"\xa9enc": "EncodedBy", b"\xa9nam": "Title", b"\xa9ART": "Artist", b"aART": "AlbumArtist", b"\xa9alb": "Album", b"\xa9wrt": "Composer", b"\xa9day": "ContentCreateDate", b"\xa9gen": "Genre", b"cprt": "Copyright", b"\xa9lyr": "Lyrics"}
+#: First byte and end of each text of a broadcast chunk.
+BEXT_FIELDS = {"Description": (0, 256), "Originator": (256, 288), "OriginatorReference": (288, 320), "CodingHistory": (602, None)}
+RIFF_HEAD, RIFF_TRAILER = b"\x21", b"\x22"
+MP4_FOLDERS = (b"moov", b"udta", b"trak", b"mdia", b"minf", b"meta")
+MP4_TEXT = {1: "utf-8", 2: "utf-16-be"}
 XMP_UUID = bytes.fromhex("BE7ACFCB97A942E89C71999491E3AFAC")
 
 
@@ -177,210 +182,205 @@ def _tail(d: bytes, out: Tags) -> None:
     ape(d, len(d) - id3v1(d, out), out)
 
 
-# --- chunks -----------------------------------------------------------------------------------------------------------
+# --- containers: what is read of which part ----------------------------------------------------------------------------
 
 
-def _chunks(d: bytes, at: int, order: str, data_id: bytes, out: Tags, what: str):
-    """Name and body of each chunk; a cut-off one ends the walk, with a warning unless it holds the samples."""
-    for _ in range(MOST_CHUNKS):
-        if at + 8 > len(d):
-            return
-        name, size = d[at : at + 4], struct.unpack_from(order + "I", d, at + 4)[0]
-        if at + 8 + size > len(d):
-            if name != data_id:
-                out.warn(f"truncated {what} chunk")
-            return
-        yield name, d[at + 8 : at + 8 + size]
-        at += 8 + size + (size & 1)
-
-
-def _riff_body(d: bytes, out: Tags) -> None:
-    for name, body in _chunks(d, 0, "<", b"data", out, "RIFF"):
-        if name == b"LIST" and body[:4] == b"INFO":
-            for sub, value in _chunks(body, 4, "<", body[:0], Tags(), ""):
-                key = sub.decode("latin-1")
-                out.text("RIFF", RIFF_NAMES.get(key) or tag_name(key), zero_ended(value))
-        elif name == b"bext" and len(body) >= 602:
-            for tag, part in (("Description", body[:256]), ("Originator", body[256:288]), ("OriginatorReference", body[288:320]), ("CodingHistory", body[602:])):
-                out.text("RIFF", tag, zero_ended(part))
-        elif name in (b"id3 ", b"ID3 "):
-            id3v2(body, out)
-        elif name == b"_PMX":
-            xmp.read(body, out)
-        elif name == b"fmt " and len(body) >= 16:
-            out.push("RIFF", "BitsPerSample", struct.unpack_from("<H", body, 14)[0])
+def _cut_off(out: Tags, samples: bytes = b""):
+    """Warn of a part that the file's end cuts off, unless it holds the samples, which metadata don't need."""
+    return lambda name: None if name == samples else out.warn(f"part {name.decode('latin-1')!r} is cut off")
+
+
+def _each(d: bytes, at: int, head: parts.Head, readers: dict, out: Tags, samples: bytes = b"") -> None:
+    for name, body in parts.walk(d, at, head, _cut_off(out, samples)):
+        if read := readers.get(name):
+            read(body, out)
+
+
+def _riff_list(body: bytes, out: Tags) -> None:
+    if body[:4] != b"INFO":
+        return
+    for key, value in parts.walk(body, 4, parts.iff("little")):
+        name = key.decode("latin-1")
+        out.text("RIFF", RIFF_NAMES.get(name) or tag_name(name), zero_ended(value))
+
+
+def _riff_broadcast(body: bytes, out: Tags) -> None:
+    if len(body) < BEXT_FIELDS["CodingHistory"][0]:
+        return
+    for name, (first, end) in BEXT_FIELDS.items():
+        out.text("RIFF", name, zero_ended(body[first:end]))
+
+
+def _riff_format(body: bytes, out: Tags) -> None:
+    if len(body) >= 16:
+        out.push("RIFF", "BitsPerSample", int.from_bytes(body[14:16], "little"))
+
+
+def _xmp(body: bytes, out: Tags) -> None:
+    xmp.read(body, out)
+
+
+RIFF_PARTS = {b"LIST": _riff_list, b"bext": _riff_broadcast, b"fmt ": _riff_format, b"id3 ": id3v2, b"ID3 ": id3v2, b"_PMX": _xmp}
+
+
+def _riff_parts(d: bytes, out: Tags) -> None:
+    _each(d, 0, parts.iff("little"), RIFF_PARTS, out, b"data")
 
 
 def riff(d: bytes, out: Tags) -> None:
     if d[:4] not in (b"RIFF", b"RF64") or d[8:12] != b"WAVE":
         raise Invalid("not a WAVE file")
-    _riff_body(d[12:], out)
+    _riff_parts(d[12:], out)
+
+
+def _aiff_comments(body: bytes, out: Tags) -> None:
+    """A count, then for each comment a time, a marker, a length and its text, padded to an even length."""
+    at = 2
+    for _ in range(int.from_bytes(body[:2], "big")):
+        end = at + 8 + int.from_bytes(body[at + 6 : at + 8], "big")
+        if at + 8 > len(body) or end > len(body):
+            return
+        out.text("AIFF", "Comment", zero_ended(body[at + 8 : end]))
+        at = end + (end - at & 1)
+
+
+AIFF_PARTS = {chunk: (lambda body, out, name=name: out.text("AIFF", name, zero_ended(body))) for chunk, name in AIFF_NAMES.items()} | {b"COMT": _aiff_comments, b"ID3 ": id3v2}
 
 
 def aiff(d: bytes, out: Tags) -> None:
-    if len(d) < 12 or d[:4] != b"FORM":
+    if d[:4] != b"FORM" or len(d) < 12:
         raise Invalid("not an AIFF file")
-    for name, body in _chunks(d, 12, ">", b"SSND", out, "AIFF"):
-        if name in AIFF_NAMES:
-            out.text("AIFF", AIFF_NAMES[name], zero_ended(body))
-        elif name == b"COMT" and len(body) >= 2:
-            at = 2
-            for _ in range(min(struct.unpack_from(">H", body)[0], 256)):
-                if at + 8 > len(body):
-                    break
-                size = struct.unpack_from(">H", body, at + 6)[0]
-                if at + 8 + size > len(body):
-                    break
-                out.text("AIFF", "Comment", zero_ended(body[at + 8 : at + 8 + size]))
-                at += 8 + size + (size & 1)
-        elif name == b"ID3 ":
-            id3v2(body, out)
+    _each(d, 12, parts.iff("big"), AIFF_PARTS, out, b"SSND")
 
 
 def vorbis(b: bytes, out: Tags) -> None:
-    def sized(at: int) -> tuple[bytes, int] | None:
-        if at + 4 > len(b):
+    """The maker, then a count of lines ``KEY=value``; every text has a 32-bit length in front."""
+    at = 0
+
+    def number() -> int | None:
+        nonlocal at
+        at += 4
+        return int.from_bytes(b[at - 4 : at], "little") if at <= len(b) else None
+
+    def text() -> str | None:
+        nonlocal at
+        size = number()
+        if size is None:
             return None
-        n = struct.unpack_from("<I", b, at)[0]
-        if at + 4 + n > len(b):
-            out.warn("truncated Vorbis comment")
+        at += size
+        if at > len(b):
+            out.warn("a Vorbis comment is cut off")
             return None
-        return b[at + 4 : at + 4 + n], at + 4 + n
+        return b[at - size : at].decode("utf-8", "replace")
 
-    got = sized(0)
-    if got is None:
-        return
-    vendor, at = got
-    out.text("Vorbis", "Vendor", clean(vendor.decode("utf-8", "replace")))
-    if at + 4 > len(b):
+    maker = text()
+    if maker is None:
         return
-    count = struct.unpack_from("<I", b, at)[0]
-    at += 4
-    for _ in range(min(count, 4096)):
-        got = sized(at)
-        if got is None:
+    out.text("Vorbis", "Vendor", clean(maker))
+    for _ in range(min(number() or 0, MOST_TAGS)):
+        line = text()
+        if line is None:
             return
-        line, at = got
-        key, sep, value = line.decode("utf-8", "replace").partition("=")
-        if sep:
+        key, equals, value = line.partition("=")
+        if equals:
             out.text("Vorbis", VORBIS_NAMES.get(key.upper()) or tag_name(key.lower()), clean(value))
 
 
-def flac(d: bytes, out: Tags) -> None:
+def _flac_stream(body: bytes, out: Tags) -> None:
+    """Bits a sample, less one, are the five bits from bit 103 on of the stream's head."""
+    if len(body) >= 18:
+        out.push("FLAC", "BitsPerSample", (int.from_bytes(body[12:14], "big") >> 4 & 31) + 1)
+
+
+FLAC_PARTS = {b"\x00": _flac_stream, b"\x04": vorbis}
+
+
+def _behind_id3(d: bytes, magic: bytes, what: str, out: Tags) -> int:
+    """Where a file begins behind the ID3 tag that it may have in front, whose tags come first."""
     at = id3_size(d)
-    if at:
-        id3v2(d, out)
-    if d[at : at + 4] != b"fLaC":
-        raise Invalid("not a FLAC file")
-    at += 4
-    for _ in range(MOST_CHUNKS):
-        if at + 4 > len(d):
-            return
-        kind, size = d[at], int.from_bytes(d[at + 1 : at + 4], "big")
-        body = d[at + 4 : at + 4 + size]
-        if len(body) < size:
-            out.warn("truncated FLAC block")
-            return
-        if kind & 127 == 0 and size >= 18:
-            out.push("FLAC", "BitsPerSample", ((body[12] & 1) << 4 | body[13] >> 4) + 1)
-        elif kind & 127 == 4:
-            vorbis(body, out)
-        at += 4 + size
-        if kind & 128:
-            return
+    id3v2(d, out)
+    if not d.startswith(magic, at):
+        raise Invalid(f"not a {what} file")
+    return at + len(magic)
+
+
+def flac(d: bytes, out: Tags) -> None:
+    _each(d, _behind_id3(d, b"fLaC", "FLAC", out), parts.flac_block, FLAC_PARTS, out)
+
+
+def tta(d: bytes, out: Tags) -> None:
+    _behind_id3(d, b"TTA1", "TTA", out)
+    _tail(d, out)
 
 
 def wavpack(d: bytes, out: Tags) -> None:
-    at, blocks, trailer = 0, 0, b""
-    while d[at : at + 4] == b"wvpk" and at + 32 <= len(d) and blocks < 1 << 20:
-        end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
-        if end > len(d):
-            break
-        p = at + 32
-        while p + 2 <= end:
-            kind, head = d[p], 4 if d[p] & 0x80 else 2
-            if p + head > end:
-                break
-            words = int.from_bytes(d[p + 1 : p + head], "little")
-            body = d[p + head : p + head + words * 2 - (1 if kind & 0x40 and words else 0)]
-            if kind & 0x3F == 0x21 and not blocks and body[:4] == b"RIFF":
-                _riff_body(body[12:], out)
-            elif kind & 0x3F == 0x22:
-                trailer = body
-            p += head + words * 2
-        at, blocks = end, blocks + 1
+    """The RIFF head kept in the first block, the last RIFF trailer, and the tags behind the blocks."""
+    blocks = [{kind: body for kind, body in parts.walk(block, 24, parts.wavpack_sub_block)} for _, block in _ends(d)]
     if not blocks:
         raise Invalid("not a WavPack file")
-    _riff_body(trailer, out)
+    head = blocks[0].get(RIFF_HEAD, b"")
+    if head.startswith(b"RIFF"):
+        _riff_parts(head[12:], out)
+    _riff_parts(next((b[RIFF_TRAILER] for b in reversed(blocks) if RIFF_TRAILER in b), b""), out)
     _tail(d, out)
 
 
-def tta(d: bytes, out: Tags) -> None:
-    at = id3_size(d)
-    if at:
-        id3v2(d, out)
-    if d[at : at + 4] != b"TTA1":
-        raise Invalid("not a TTA file")
-    _tail(d, out)
+def _ends(d: bytes) -> list[tuple[bytes, bytes]]:
+    """The first and the last block: others hold samples alone."""
+    first = last = None
+    for part in parts.walk(d, 0, parts.wavpack_block):
+        first, last = first or part, part
+    return [x for x in (first, last if last is not first else None) if x]
 
 
 # --- MP4 --------------------------------------------------------------------------------------------------------------
 
 
 class _Atoms:
+    """Atoms below atoms, bounded in number and depth."""
+
     def __init__(self, out: Tags):
         self.out, self.left = out, MOST_ATOMS
 
     def each(self, d: bytes):
-        at = 0
-        while at + 8 <= len(d) and self.left:
-            self.left -= 1
-            size, kind, head = struct.unpack_from(">I", d, at)[0], d[at + 4 : at + 8], 8
-            if size == 1:
-                if at + 16 > len(d):
-                    return
-                size, head = struct.unpack_from(">Q", d, at + 8)[0], 16
-            elif size == 0:
-                size = len(d) - at
-            if size < head or at + size > len(d):
+        for part in parts.walk(d, 0, parts.atom):
+            if not self.left:
                 return
-            yield kind, d[at + head : at + size]
-            at += size
+            self.left -= 1
+            yield part
 
-    def walk(self, d: bytes, depth: int, parent: bytes) -> None:
-        if depth > MOST_DEPTH:
-            return
+    def read(self, d: bytes, path: tuple[bytes, ...] = ()) -> None:
         for kind, body in self.each(d):
-            if kind in (b"moov", b"udta", b"trak", b"mdia", b"minf"):
-                self.walk(body, depth + 1, kind)
-            elif kind == b"meta":
-                self.walk(body if body[4:8] == b"hdlr" else body[4:], depth + 1, kind)
+            if kind in MP4_FOLDERS and len(path) < MOST_DEPTH:
+                # a meta atom has four bytes of flags in front of its atoms, but some writers leave them out
+                flags = 4 if kind == b"meta" and body[4:8] != b"hdlr" else 0
+                self.read(body[flags:], (*path, kind))
             elif kind == b"ilst":
-                self.items(body)
+                for item, inner in self.each(body):
+                    self.item(item, dict(self.each(inner)))
             elif kind == b"XMP_":
                 xmp.read(body, self.out)
-            elif kind == b"uuid" and body[:16] == XMP_UUID:
-                xmp.read(body[16:], self.out)
-            elif parent == b"udta" and kind[:1] == b"\xa9" and kind in MP4_NAMES and len(body) >= 4:
-                n = struct.unpack_from(">H", body)[0]
-                if 4 + n <= len(body):
-                    self.out.text("UserData", MP4_NAMES[kind], clean(body[4 : 4 + n].decode("utf-8", "replace")))
-
-    def items(self, d: bytes) -> None:
-        for kind, body in self.each(d):
-            name, value = MP4_NAMES.get(kind), None
-            for sub, b in self.each(body):
-                if sub == b"name" and len(b) >= 4:
-                    name = tag_name(b[4:].decode("latin-1"))
-                elif sub == b"data" and len(b) >= 8:
-                    form = struct.unpack_from(">I", b)[0] & 0xFFFFFF
-                    if form in (1, 2):
-                        value = clean(b[8:].decode("utf-8", "replace") if form == 1 else b[8 : 8 + (len(b) - 8) // 2 * 2].decode("utf-16-be", "replace"))
-            if name and value is not None:
-                self.out.text("ItemList", name, value)
+            elif kind == b"uuid" and body.startswith(XMP_UUID):
+                xmp.read(body[len(XMP_UUID) :], self.out)
+            elif path[-1:] == (b"udta",) and kind.startswith(b"\xa9"):
+                self.user_text(kind, body)
+
+    def user_text(self, kind: bytes, body: bytes) -> None:
+        """A 16-bit length and a language in front of the text."""
+        size = int.from_bytes(body[:2], "big")
+        if kind in MP4_NAMES and 4 + size <= len(body):
+            self.out.text("UserData", MP4_NAMES[kind], clean(body[4 : 4 + size].decode("utf-8", "replace")))
+
+    def item(self, kind: bytes, inner: dict[bytes, bytes]) -> None:
+        """An item's text, named by its own name atom if it has one."""
+        named, data = inner.get(b"name", b""), inner.get(b"data", b"")
+        name = tag_name(named[4:].decode("latin-1")) if len(named) >= 4 else MP4_NAMES.get(kind)
+        code = MP4_TEXT.get(int.from_bytes(data[1:4], "big")) if len(data) >= 8 else None
+        if name and code:
+            self.out.text("ItemList", name, clean(data[8:].decode(code, "replace")))
 
 
 def mp4(d: bytes, out: Tags) -> None:
-    if len(d) < 12 or d[4:8] != b"ftyp":
+    if d[4:8] != b"ftyp" or len(d) < 12:
         raise Invalid("not an MP4 file")
-    _Atoms(out).walk(d, 0, b"")
+    _Atoms(out).read(d)

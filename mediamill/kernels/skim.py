@@ -6,7 +6,7 @@ import struct
 from typing import BinaryIO
 
 from ..errors import Limit
-from . import audio, meta
+from . import audio, meta, parts
 from .tags import Tags
 
 # The largest part that is read, and the most of a file.
@@ -60,7 +60,7 @@ def _id3(s: Source) -> int:
 def _chunks(s: Source, order: str, samples: bytes) -> bytes:
     """All chunks but the samples, whose header stays with no length; a 64-bit length comes from the chunk that holds it."""
     out, at, long_size = bytearray(s.at(0, 12)), 12, None
-    for _ in range(audio.MOST_CHUNKS):
+    for _ in range(parts.MOST_PARTS):
         if at + 8 > s.size:
             break
         name, size = s.at(at, 4), struct.unpack(order + "I", s.at(at + 4, 4))[0]
