@@ -8,17 +8,33 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names of characters that are no letters or digits, by character.
-_SIGNS = dict(zip(
-    " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¢£⁄¥ƒ§¤“«‹›ﬁﬂ–†‡·¶•‚„”»…‰¿´ˆ˜¯˘˙¨˚¸˝˛ˇ—ªºı‘’€™©®°±²³¹×÷µ¬¦¼½¾√∞≠≤≥∂∑∏π∫Ω≈∆◊�",
-    "space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash colon semicolon less equal greater question at bracketleft backslash bracketright "
-    "asciicircum underscore grave braceleft bar braceright asciitilde exclamdown cent sterling fraction yen florin section currency quotedblleft guillemotleft guilsinglleft guilsinglright fi fl endash dagger daggerdbl "
-    "periodcentered paragraph bullet quotesinglbase quotedblbase quotedblright guillemotright ellipsis perthousand questiondown acute circumflex tilde macron breve dotaccent dieresis ring cedilla hungarumlaut ogonek caron "
-    "emdash ordfeminine ordmasculine dotlessi quoteleft quoteright Euro trademark copyright registered degree plusminus twosuperior threesuperior onesuperior multiply divide mu logicalnot brokenbar onequarter onehalf "
-    "threequarters radical infinity notequal lessequal greaterequal partialdiff summation product pi integral Omega approxequal Delta lozenge apple".split(), strict=True,
-))
-# Characters of the standard encoding from 161 up, codes without one as a space.
-_STANDARD = "¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ –†‡· ¶•‚„”»…‰ ¿ `´ˆ˜¯˘˙¨ ˚¸ ˝˛ˇ—" + " " * 16 + "Æ ª    ŁØŒº     æ   ı  łøœß"
+# Glyph names of characters that are no letters or digits.
+_SIGNS = {
+    " ": "space", "!": "exclam", '"': "quotedbl", "#": "numbersign", "$": "dollar", "%": "percent", "&": "ampersand", "'": "quotesingle", "(":
+    "parenleft", ")": "parenright", "*": "asterisk", "+": "plus", ",": "comma", "-": "hyphen", ".": "period", "/": "slash", ":": "colon", ";":
+    "semicolon", "<": "less", "=": "equal", ">": "greater", "?": "question", "@": "at", "[": "bracketleft", "\\": "backslash", "]": "bracketright", "^":
+    "asciicircum", "_": "underscore", "`": "grave", "{": "braceleft", "|": "bar", "}": "braceright", "~": "asciitilde", "¡": "exclamdown", "¢": "cent",
+    "£": "sterling", "⁄": "fraction", "¥": "yen", "ƒ": "florin", "§": "section", "¤": "currency", "“": "quotedblleft", "«": "guillemotleft", "‹":
+    "guilsinglleft", "›": "guilsinglright", "ﬁ": "fi", "ﬂ": "fl", "–": "endash", "†": "dagger", "‡": "daggerdbl", "·": "periodcentered", "¶": "paragraph",
+    "•": "bullet", "‚": "quotesinglbase", "„": "quotedblbase", "”": "quotedblright", "»": "guillemotright", "…": "ellipsis", "‰": "perthousand", "¿":
+    "questiondown", "´": "acute", "ˆ": "circumflex", "˜": "tilde", "¯": "macron", "˘": "breve", "˙": "dotaccent", "¨": "dieresis", "˚": "ring", "¸":
+    "cedilla", "˝": "hungarumlaut", "˛": "ogonek", "ˇ": "caron", "—": "emdash", "ª": "ordfeminine", "º": "ordmasculine", "ı": "dotlessi", "‘":
+    "quoteleft", "’": "quoteright", "€": "Euro", "™": "trademark", "©": "copyright", "®": "registered", "°": "degree", "±": "plusminus", "²":
+    "twosuperior", "³": "threesuperior", "¹": "onesuperior", "×": "multiply", "÷": "divide", "µ": "mu", "¬": "logicalnot", "¦": "brokenbar", "¼":
+    "onequarter", "½": "onehalf", "¾": "threequarters", "√": "radical", "∞": "infinity", "≠": "notequal", "≤": "lessequal", "≥": "greaterequal", "∂":
+    "partialdiff", "∑": "summation", "∏": "product", "π": "pi", "∫": "integral", "Ω": "Omega", "≈": "approxequal", "∆": "Delta", "◊": "lozenge", "�":
+    "apple",
+}
+# Glyph names of the standard encoding's codes from 161 up.
+_STANDARD = {
+    161: "exclamdown", 162: "cent", 163: "sterling", 164: "fraction", 165: "yen", 166: "florin", 167: "section", 168: "currency", 169: "quotesingle", 170:
+    "quotedblleft", 171: "guillemotleft", 172: "guilsinglleft", 173: "guilsinglright", 174: "fi", 175: "fl", 177: "endash", 178: "dagger", 179:
+    "daggerdbl", 180: "periodcentered", 182: "paragraph", 183: "bullet", 184: "quotesinglbase", 185: "quotedblbase", 186: "quotedblright", 187:
+    "guillemotright", 188: "ellipsis", 189: "perthousand", 191: "questiondown", 193: "grave", 194: "acute", 195: "circumflex", 196: "tilde", 197:
+    "macron", 198: "breve", 199: "dotaccent", 200: "dieresis", 202: "ring", 203: "cedilla", 205: "hungarumlaut", 206: "ogonek", 207: "caron", 208:
+    "emdash", 225: "AE", 227: "ordfeminine", 232: "Lslash", 233: "Oslash", 234: "OE", 235: "ordmasculine", 241: "ae", 245: "dotlessi", 248: "lslash", 249:
+    "oslash", 250: "oe", 251: "germandbls",
+}
 _MARKS = {"GRAVE": "grave", "ACUTE": "acute", "CIRCUMFLEX": "circumflex", "TILDE": "tilde", "DIAERESIS": "dieresis", "RING ABOVE": "ring", "CEDILLA": "cedilla", "CARON": "caron", "STROKE": "slash"}
 _LETTERS = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "germandbls", "Ð": "Eth", "ð": "eth", "Þ": "Thorn", "þ": "thorn"}
 
@@ -47,7 +63,7 @@ def table(encoding: str) -> dict[int, str]:
     out = {}
     for code in range(32, 256):
         if encoding == "Standard":
-            char = {39: "’", 96: "‘"}.get(code, chr(code)) if code < 127 else _STANDARD[code - 161] if 161 <= code < 161 + len(_STANDARD) and _STANDARD[code - 161] != " " else None
+            char = {39: "’", 96: "‘"}.get(code, chr(code)) if code < 127 else None
         else:
             try:
                 char = bytes([code]).decode("cp1252" if encoding == "WinAnsi" else "mac_roman")
@@ -62,7 +78,7 @@ def table(encoding: str) -> dict[int, str]:
                 char = "¤"
             elif code == 0xF0:
                 char = "�"
-        name = glyph(char) if char is not None else None
+        name = glyph(char) if char is not None else _STANDARD.get(code) if encoding == "Standard" else None
         if name:
             out[code] = name
     return out
