@@ -14,8 +14,8 @@ consist of it.  Lists are divided by *bands* of set size, so wide that alike set
 same band or in two that follow one another.
 
 *Counting.*  Each list's smallest member is a centre: it collides once with every other
-member.  Collisions are counted by pair, and pairs that collide :data:`COLLISIONS` times or
-more have their whole signatures compared; those that agree in :data:`MATCHES` of all
+member.  Collisions are counted by pair; a member's pair that collides most often, and
+:data:`COLLISIONS` times or more, has its whole signatures compared; those that agree in :data:`MATCHES` of all
 coordinates are confirmed on their full shingle sets, and confirmed links are closed to
 components.
 
@@ -55,7 +55,7 @@ POSTED = LISTED - LISTED_MATCHES + SHARED
 COLLISIONS = 4
 COMMON = 2000
 ROUNDS = 2
-PASSES = 2
+PASSES = 1
 LONG = 48
 MOST_FILTER_BITS = 1 << 26
 BLOCK = 256
@@ -376,7 +376,9 @@ def _star_links(posts: DataFrame, rows: DataFrame, reps: DataFrame, lite: DataFr
     centre = members.groupBy("key", "window").agg(F.min(F.struct("component", "node")).alias("c")).select("key", "window", F.col("c.node").alias("a"), F.col("c.component").alias("own"))
     centre = written(centre.join(windows.select("key", "window"), ["key", "window"]), "centres")
     collisions = members.join(centre, ["key", "window"]).where("component != own").groupBy("a", F.col("node").alias("b")).agg(F.count_distinct("key").alias("times"))
-    met = collisions.where(F.col("times") >= COLLISIONS).select("a", "b")
+    # a member meets the one centre that it collides with most often, so pairs are no more than members
+    most = F.max(F.struct("times", (-F.col("a")).alias("least")))
+    met = collisions.where(F.col("times") >= COLLISIONS).groupBy("b").agg(most.alias("m")).select((-F.col("m.least")).alias("a"), "b")
     one, two = (lite.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
     alike = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
     pairs = written(met.join(two, "b").join(one, "a").where(alike).select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "pairs")
