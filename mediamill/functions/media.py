@@ -7,6 +7,7 @@ several of its fields cost one evaluation.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from functools import cache
 from typing import Any
@@ -17,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Deadline, Invalid, guarded
-from ..kernels import deflate, icc, jpeg, morph, pdf, pdf_filters, pdf_render, png, qr, sanitize
+from ..kernels import deflate, frames, icc, image, jpeg, morph, pdf, pdf_filters, pdf_render, png, qr, sanitize, skim
 from ..kernels import meta as meta_kernel
 from ..kernels.image import Image
 
@@ -59,6 +60,30 @@ def _meta(data: bytes) -> dict[str, Any]:
     return {"tags": t.tags, "warnings": t.warnings, "icc": t.icc}
 
 
+def _lean(data: bytes) -> dict[str, Any]:
+    source = skim.Source(io.BytesIO(data))
+    t = meta_kernel.read(skim.compact(source))
+    return {"tags": t.tags, "warnings": t.warnings, "icc": t.icc, "bytes_read": source.used}
+
+
+def _resampled(data: bytes, how: str, x: float, y: float) -> dict[str, Any]:
+    """Gray pixels after one of the steps of page scaling."""
+    gray = image.luma(sanitize.decoded(data)[0])
+    out = {"halve": lambda: image.halve(gray), "linear": lambda: image.scale_linear(gray, x, y), "area": lambda: image.scale_area(gray, x, y), "smooth": lambda: image.smooth(gray, int(x)), "unsharp": lambda: image.unsharp(gray, int(x), y), "scale": lambda: image.scale_gray(gray, x, y)}[how]()
+    return {"width": out.shape[1], "height": out.shape[0], "data": np.ascontiguousarray(out).tobytes()}
+
+
+def _ink(data: bytes) -> dict[str, int]:
+    """Counts of a binary page after each step of morphology."""
+    a = morph.binarise([image.page_luminance(sanitize.decoded(data)[0])])
+    labels = [morph.components(a, k)[1] for k in (4, 8)]
+    seed = np.zeros_like(a)
+    first = np.argwhere(a)[:1]
+    seed[tuple(first.T)] = True
+    facts = {"dilated": morph.dilate(a, 3, 3), "eroded": morph.erode(a, 3, 3), "opened": morph.opened(a, 3, 3), "closed": morph.closed(a, 3, 3), "filled": morph.seed_fill(seed, a), "reduced": morph.reduce_rank(a, 1)}
+    return {"ink": int(a.sum()), **{k: int(v.sum()) for k, v in facts.items()}, "parts_4": labels[0], "parts_8": labels[1], "deepest": int(morph.distance(a).max()), "outlines": len(morph.outlines(a))}
+
+
 def _icc(data: bytes) -> dict[str, Any]:
     p = icc.Profile(data)
     return {"description": p.description, "id": p.id_hex, "space": p.space.decode("latin-1"), "version": p.version, "v4": p.is_v4, "tags": [k.decode("latin-1") for k in p.tags]}
@@ -79,6 +104,12 @@ def _inflate(data: bytes, limit: int) -> dict[str, Any]:
     return {"data": out, "consumed": used, "complete": whole}
 
 
+def _pdf_facts(data: bytes) -> dict[str, Any]:
+    d = pdf.Document(data)
+    info = d.info()
+    return {"version": d.version(), "title": info.get("Title"), "author": info.get("Author"), "repaired": d.repaired}
+
+
 def _pdf_pages(data: bytes) -> list[dict[str, float]]:
     d = pdf.Document(data)
     return [dict(zip(("w", "h"), d.size(p), strict=True)) for p in d.pages()]
@@ -117,6 +148,14 @@ _KERNELS: dict[str, tuple[str, Callable[..., Any]]] = {
     "probe": ("struct<format:string,width:int,height:int>", sanitize.probe),
     "verify": ("struct<format:string,width:int,height:int>", lambda d: sanitize.verify(d, _budget())),
     "metadata": (f"struct<tags:array<{TAG}>,warnings:array<string>,icc:binary>", _meta),
+    "metadata_lean": (f"struct<tags:array<{TAG}>,warnings:array<string>,icc:binary,bytes_read:bigint>", _lean),
+    "resampled": ("struct<width:int,height:int,data:binary>", _resampled),
+    "ink": ("struct<ink:int,dilated:int,eroded:int,opened:int,closed:int,filled:int,reduced:int,parts_4:int,parts_8:int,deepest:int,outlines:int>", _ink),
+    "page_gray": ("struct<width:int,height:int,data:binary>", lambda d: (lambda y: {"width": y.shape[1], "height": y.shape[0], "data": np.ascontiguousarray(y).tobytes()})(image.page_luminance(sanitize.decoded(d)[0]))),
+    "pdf_facts": ("struct<version:string,title:string,author:string,repaired:boolean>", _pdf_facts),
+    "frame_stream": ("array<struct<page_no:int,w:int,h:int,rgb:binary>>", frames.read),
+    "inflate_exact": ("binary", lambda d, n: deflate.inflate_exact(d, int(n))),
+    "compress_pieces": ("binary", lambda d, n: deflate.compress_pieces(d, int(n))),
     "cover": (f"struct<probe:struct<format:string,width:int,height:int>,tags:array<{TAG}>,warnings:array<string>,qr:struct<ok:boolean,error:string,value:int>>", lambda d: sanitize.inspect(d, _budget())),
     "qr_count": ("int", lambda d: sanitize.qr_count(d, _budget())),
     "qr_scan": ("struct<candidates:int,decoded:int>", lambda d: qr.scan(sanitize.intensity(d, _budget()), _budget())),
@@ -180,6 +219,8 @@ probe, verify, metadata, cover, qr_count, qr_scan = (_named(n) for n in ("probe"
 decode, pixels, luma, clean, convert, signature = (_named(n) for n in ("decode", "pixels", "luma", "sanitize", "convert", "signature"))
 png_info, jpeg_info, icc_info, inflate, compress = (_named(n) for n in ("png_info", "jpeg_info", "icc", "inflate", "compress"))
 pdf_info, pdf_pages, pdf_filter, page_layout = (_named(n) for n in ("pdf_info", "pdf_pages", "pdf_filter", "page_layout"))
+metadata_lean, resampled, ink, page_gray, pdf_facts = (_named(n) for n in ("metadata_lean", "resampled", "ink", "page_gray", "pdf_facts"))
+inflate_exact, compress_pieces, frame_stream = (_named(n) for n in ("inflate_exact", "compress_pieces", "frame_stream"))
 pdf_page, pdf_sanitize = (_named(n) for n in ("pdf_page", "pdf_sanitize"))
 
 

@@ -10,6 +10,7 @@ import __spark_entry__
 from mediamill.functions import detect, media, pixels
 from mediamill.kernels import image, jpeg, pdf_write, png
 from mediamill.operators import documents, pixel_stats, reports
+from mediamill.plans import composed  # noqa: F401
 from mediamill.plans.queries import ORACLES, QUERIES
 from mediamill.streaming import ingest
 
