@@ -95,7 +95,7 @@ _ODD_TEXT = "(SELECT s_suppkey, '<' || s_name || ' & \"' || s_acctbal::BIGINT ||
 
 def _odd_text_files(spark, d, compose):
     rows = spread(table(spark, d, "supplier"))
-    text = F.concat(F.lit("<"), "s_name", F.lit(' & "'), F.round("s_acctbal").cast("long").cast("string"), F.lit('"'))
+    text = F.concat(F.lit("<"), "s_name", F.lit(' & "'), F.floor("s_acctbal").cast("long").cast("string"), F.lit('"'))
     return rows.select("s_suppkey", composers.column(compose)(text, F.col("s_suppkey")).alias("content"))
 
 
