@@ -13,9 +13,10 @@ commonest last: a passage that many texts share makes long lists only among text
 consist of it.  Lists are divided by *bands* of set size, so wide that alike sets lie in the
 same band or in two that follow one another.
 
-*Counting.*  Each list's smallest member is a centre: it collides once with every other
-member.  Collisions are counted by pair; a member's pair that collides most often, and
-:data:`COLLISIONS` times or more, has its whole signatures compared; those that agree in :data:`MATCHES` of all
+*Counting.*  One member of each list is its centre, the first in one of :data:`ORDERS` orders
+that all lists share: it collides once with every other member.  Collisions are counted by
+pair; the pairs of a member that collide most often (as many as there are orders), and
+:data:`COLLISIONS` times or more, have their whole signatures compared; those that agree in :data:`MATCHES` of all
 coordinates are confirmed on their full shingle sets, and confirmed links are closed to
 components.
 
@@ -27,9 +28,9 @@ first that a pair has in common is never among those.  In what is left, pairs fr
 components are sought inside tasks by comparing whole signatures, whose agreements are the
 pair's collisions.  A group of near-copies that are mostly *not* alike enough makes long
 lists and would give a pair for each two members; lists of more than :data:`LONG` members
-are compared in blocks that carry the members' sets too (32 bits a shingle), so only pairs
-that are alike come out, each from one of its lists.  All that come out are confirmed on the
-full sets, so no link that matters is lost.
+are compared in blocks that carry the members' full sets too, each pair in one of its lists,
+and only links come out, one for each two components that a task joins.  Pairs from short
+lists are confirmed on the full sets, so no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -52,13 +53,14 @@ LISTED = 64
 LISTED_MATCHES = 29
 SHARED = 8
 POSTED = LISTED - LISTED_MATCHES + SHARED
-COLLISIONS = 4
+COLLISIONS = 2
+ORDERS = 4
 COMMON = 2000
 ROUNDS = 2
 PASSES = 1
 LONG = 48
 MOST_FILTER_BITS = 1 << 26
-BLOCK = 256
+BLOCK_BYTES = 1 << 20
 NUMERATOR, DENOMINATOR = 75, 100
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -183,11 +185,10 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets at 32 bits a shingle."""
+    """Shingle sets in ascending order, 64 bits a shingle."""
     for b in batches:
         for lo, g, first in shingle_sets(b.column(1)):
-            short = (mix(g, 3) >> U64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(first) - 1), pa.array([short[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(first) - 1), pa.array([g[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["node", "set"])
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -219,42 +220,58 @@ def _within(numerator: int, denominator: int):
 
 
 def _across(numerator: int, denominator: int):
-    """Pairs from two blocks of a long list: of different components, often agreeing, sets alike, and each in one of its lists alone."""
+    """Links between two blocks of a long list, decided on the members' full sets; of those that join the same components one is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[np.ndarray] = []
-            for post, same, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                sa, sb = (np.frombuffer(b"".join(x["sig"] for x in v), dtype=np.uint8).reshape(-1, COORDINATES) for v in (left, right))
-                ids, cb, nb = (np.array([x[f] for x in right]) for f in ("node", "component", "n"))
-                width = max(len(x["posts"]) for x in right)
-                posts = np.array([x["posts"] + [1 << 62] * (width - len(x["posts"])) for x in right], dtype=np.int64)
-                as_sets: dict[int, set] = {}
-                for i, x in enumerate(left):
-                    ok = (cb != x["component"]) & (denominator * np.minimum(nb, x["n"]) >= numerator * np.maximum(nb, x["n"]))
-                    if same:
-                        ok[: i + 1] = False
-                    j = np.flatnonzero(ok)
-                    if len(j):
-                        j = j[(sb[j] == sa[i]).sum(axis=1) >= MATCHES]
-                    if len(j):
-                        shared = np.where(np.isin(posts[j], x["posts"]), posts[j], 1 << 62)
-                        j = j[shared.min(axis=1) == post]
-                    if len(j):
-                        own = set(np.frombuffer(x["set"], dtype=np.uint32).tolist())
-                        keep = []
-                        for k in j.tolist():
-                            if k not in as_sets:
-                                as_sets[k] = set(np.frombuffer(right[k]["set"], dtype=np.uint32).tolist())
-                            common = len(own & as_sets[k]) + 2  # two shingles of a set may share their 32 bits
-                            if denominator * common >= numerator * (x["n"] + nb[k] - common):
-                                keep.append(k)
-                        found.append(np.column_stack([np.full(len(keep), x["node"]), ids[keep]]).reshape(-1, 2).astype(np.int64))
+            found = [_block_links(b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].values, b.column(3)[k].values, numerator, denominator) for k in range(b.num_rows)]
             yield _pairs(found)
 
     return run
 
 
+def _block_links(post: int, same: bool, left: pa.Array, right: pa.Array, numerator: int, denominator: int) -> np.ndarray:
+    ids, component, size = (right.field(k).to_numpy(zero_copy_only=False) for k in ("node", "component", "n"))
+    sig = _rows_of(right.field("sig"))
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in right.field("set").to_pylist()]
+    posts = [frozenset(x) for x in right.field("posts").to_pylist()]
+    own_ids, own_component, own_size = (left.field(k).to_numpy(zero_copy_only=False) for k in ("node", "component", "n"))
+    own_sig, own_sets, own_posts = _rows_of(left.field("sig")), left.field("set"), left.field("posts")
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    found: list[tuple[int, int]] = []
+    now = component.copy()
+    for i in range(len(own_ids)):
+        me = find(int(own_component[i]))
+        ok = (now != me) & (denominator * np.minimum(size, own_size[i]) >= numerator * np.maximum(size, own_size[i]))
+        if same:
+            ok[: i + 1] = False
+        j = np.flatnonzero(ok)
+        if len(j):
+            j = j[(sig[j] == own_sig[i]).sum(axis=1) >= MATCHES]
+        if len(j):
+            mine = frozenset(own_posts[i].as_py())
+            j = np.array([k for k in j.tolist() if min(mine & posts[k]) == post], dtype=np.int64)
+        if not len(j):
+            continue
+        own = np.frombuffer(own_sets[i].as_py(), dtype=np.uint64)
+        flat, bounds = np.concatenate([sets[k] for k in j]), np.cumsum([0, *[len(sets[k]) for k in j]])[:-1]
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        common = np.add.reduceat((own[at] == flat).astype(np.int64), bounds)
+        for k in j[denominator * common >= numerator * (own_size[i] + size[j] - common)].tolist():
+            other = find(int(now[k]))
+            if other != me:
+                found.append((int(own_ids[i]), int(ids[k])))
+                root[other] = me
+                now[now == other] = me
+    return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+
 def _confirm(numerator: int, denominator: int):
     """Pairs whose full shingle sets are alike enough."""
 
@@ -334,8 +351,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dropped(several)
 
     links: DataFrame | None = None
-    for _ in range(ROUNDS):
-        now = _star_links(open_, rows, reps, lite, numerator, denominator)
+    for number in range(ROUNDS):
+        now = _star_links(open_, number, rows, reps, lite, numerator, denominator)
         links = now if links is None else written(links.union(now), "links")
         label = components(links)
         placed = written(open_.drop("component").join(label.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "placed")
@@ -369,16 +386,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *more_columns)
 
 
-def _star_links(posts: DataFrame, rows: DataFrame, reps: DataFrame, lite: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _star_links(posts: DataFrame, number: int, rows: DataFrame, reps: DataFrame, lite: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Confirmed links of windows' centres: members of other components that collide with one often enough."""
     members, windows = _windows(posts)
-    # the centre is the member of the least component, of these the first
-    centre = members.groupBy("key", "window").agg(F.min(F.struct("component", "node")).alias("c")).select("key", "window", F.col("c.node").alias("a"), F.col("c.component").alias("own"))
+    # the centre comes first in one of a few orders that all lists share, other ones each round
+    turn = F.xxhash64("node", F.pmod(F.shiftright("key", 32), F.lit(ORDERS)), F.lit(number)).alias("turn")
+    centre = members.groupBy("key", "window").agg(F.min(F.struct(turn, "node", "component")).alias("c")).select("key", "window", F.col("c.node").alias("a"), F.col("c.component").alias("own"))
     centre = written(centre.join(windows.select("key", "window"), ["key", "window"]), "centres")
     collisions = members.join(centre, ["key", "window"]).where("component != own").groupBy("a", F.col("node").alias("b")).agg(F.count_distinct("key").alias("times"))
-    # a member meets the one centre that it collides with most often, so pairs are no more than members
-    most = F.max(F.struct("times", (-F.col("a")).alias("least")))
-    met = collisions.where(F.col("times") >= COLLISIONS).groupBy("b").agg(most.alias("m")).select((-F.col("m.least")).alias("a"), "b")
+    # a member meets the few centres that it collides with most often, so pairs grow with members
+    met = collisions.where(F.col("times") >= COLLISIONS).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a")), asc=False), 1, ORDERS).alias("c"))
+    met = met.select(F.explode("c").alias("c"), "b").select("c.a", "b")
     one, two = (lite.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
     alike = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
     pairs = written(met.join(two, "b").join(one, "a").where(alike).select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "pairs")
@@ -408,9 +426,15 @@ def _open(posts: DataFrame) -> DataFrame:
 
 
 def _long(left: DataFrame, rows: DataFrame, reps: DataFrame, lite: DataFrame, numerator: int, denominator: int) -> DataFrame | None:
-    """Confirmed links in windows of many members, block by block."""
+    """Links in windows of many members, block by block.
+
+    A block has so many members that their sets, whose sizes the window bounds, take about
+    :data:`BLOCK_BYTES`; a task holds two blocks at a time.
+    """
     post = F.xxhash64("key", "window").bitwiseAND((1 << 61) - 1).alias("post")
-    left = written(left.select("key", "window", post, "node", "component", F.ceil(F.col("size") / BLOCK).alias("blocks")), "long")
+    largest = F.pow(F.lit(denominator / numerator), F.col("window") + 2) * 8 + 200
+    blocks = F.ceil(F.col("size") * largest / BLOCK_BYTES).cast("int").alias("blocks")
+    left = written(left.select(post, "node", "component", blocks), "long")
     if left.isEmpty():
         return None
     named = written(left.groupBy("node").agg(F.collect_set("post").alias("posts")), "posts")
@@ -418,13 +442,12 @@ def _long(left: DataFrame, rows: DataFrame, reps: DataFrame, lite: DataFrame, nu
     carried = written(named.join(sets, "node").join(lite, "node"), "carried")
     member = F.struct("node", "component", "n", "sig", "posts", "set")
     dealt = left.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(carried, "node")
-    blocks = written(dealt.groupBy("post", "block", "blocks").agg(F.collect_list(member).alias("members")), "blocks")
-    ours = blocks.select("post", "block", F.explode(F.expr("sequence(block, cast(blocks as int) - 1)")).alias("other"), F.col("members").alias("left"))
-    theirs = blocks.select("post", F.col("block").alias("other"), F.col("members").alias("right"))
+    members = written(dealt.groupBy("post", "block", "blocks").agg(F.collect_list(member).alias("members")), "blocks")
+    ours = members.select("post", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.col("members").alias("left"))
+    theirs = members.select("post", F.col("block").alias("other"), F.col("members").alias("right"))
     met = ours.join(theirs, ["post", "other"]).select("post", (F.col("block") == F.col("other")).alias("same"), "left", "right")
-    found = written(met.mapInArrow(_across(numerator, denominator), "a long, b long").distinct(), "pairs")
-    links = _confirmed(found, rows, reps, numerator, denominator)
-    dropped(left, named, carried, blocks, found)
+    links = written(met.mapInArrow(_across(numerator, denominator), "a long, b long").distinct(), "links")
+    dropped(left, named, carried, members)
     return links
 
 
