@@ -504,3 +504,179 @@ def _hash_6(salt: bytes) -> bytes:
         i += 1
         if i >= 64 and e[-1] <= i - 32:
             return k[:32]
+
+
+# --- fonts and painted pages ------------------------------------------------------------------------------------------
+
+#: Every test font has one visible glyph, for the letter A: a box half an em wide and an em high; it advances 600 thousandths.
+_BOX = [(0, 0), (500, 0), (500, 1000), (0, 1000)]
+
+
+def truetype(composite: bool = False) -> bytes:
+    """A program with the box as glyph 1, or as a part of glyph 2, moved and halved twice over."""
+    x = struct.pack(">4h", 0, 500, 0, -500)
+    y = struct.pack(">4h", 0, 0, 1000, 0)
+    box = struct.pack(">5h", 1, 0, 0, 500, 1000) + struct.pack(">HH", 3, 0) + b"\1\1\1\1" + x + y
+    part = struct.pack(">5h", -1, 0, 0, 500, 1000) + struct.pack(">HHhh", 0x0003, 1, 0, 0)
+    glyphs = [b"", box, part]
+    places = [0]
+    for g in glyphs:
+        places.append(places[-1] + len(g) + (-len(g) % 4))
+    glyf = b"".join(g + b"\0" * (-len(g) % 4) for g in glyphs)
+    letter = 2 if composite else 1
+    segments = struct.pack(">HHHHHHH", 4, 32, 0, 4, 4, 1, 0) + struct.pack(">HH", 65, 0xFFFF) + b"\0\0" + struct.pack(">HH", 65, 0xFFFF) + struct.pack(">HH", (letter - 65) & 0xFFFF, 1) + struct.pack(">HH", 0, 0)
+    tables = {b"cmap": struct.pack(">HHHHI", 0, 1, 3, 1, 12) + segments, b"glyf": glyf, b"head": bytes(18) + struct.pack(">H", 1000) + bytes(30) + struct.pack(">hh", 1, 0), b"loca": struct.pack(">4I", *places), b"maxp": struct.pack(">IH", 0x10000, 3)}
+    out, body, at = struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0), b"", 12 + 16 * len(tables)
+    for name, d in sorted(tables.items()):
+        out += struct.pack(">4sIII", name, 0, at, len(d))
+        d += b"\0" * (-len(d) % 4)
+        body, at = body + d, at + len(d)
+    return out + body
+
+
+def _operand(n: int) -> bytes:
+    """A number of a charstring or dictionary."""
+    if -107 <= n <= 107:
+        return bytes([n + 139])
+    return b"\x1c" + struct.pack(">h", n)
+
+
+def compact_font(by_cid: bool = False) -> bytes:
+    """A CFF program with the box as glyph 1, by lines of alternating direction; its name is A, or its identifier 34."""
+
+    def index(items: list[bytes]) -> bytes:
+        if not items:
+            return b"\0\0"
+        places = [1]
+        for i in items:
+            places.append(places[-1] + len(i))
+        return struct.pack(">HB", len(items), 2) + struct.pack(f">{len(places)}H", *places) + b"".join(items)
+
+    box = _operand(0) + _operand(0) + b"\x15" + _operand(500) + _operand(1000) + _operand(-500) + b"\x06\x0e"
+    glyphs, names = index([b"\x0e", box]), b"\0" + struct.pack(">H", 34)
+    long = lambda n: b"\x1d" + struct.pack(">i", n)
+    head = b"\1\0\4\2" + index([b"Box"])
+
+    def build(charset: int, glyph_at: int, private: int, fonts: int, select: int) -> bytes:
+        top = (long(0) + long(0) + long(0) + b"\x0c\x1e" if by_cid else b"") + long(charset) + b"\x0f" + long(glyph_at) + b"\x11"
+        top += long(fonts) + b"\x0c\x24" + long(select) + b"\x0c\x25" if by_cid else long(0) + long(private) + b"\x12"
+        return head + index([top]) + index([]) + index([])
+
+    at = len(build(0, 0, 0, 0, 0))
+    inner = index([long(0) + long(0) + b"\x12"])
+    first = at + len(names)
+    fonts = first + len(glyphs)
+    return build(at, first, fonts, fonts, fonts + len(inner)) + names + glyphs + (inner + b"\0\0\0" if by_cid else b"")
+
+
+def type1_font() -> bytes:
+    """A Type 1 program whose letter A draws the box, its last side left to the closing, by way of a subroutine."""
+    from .kernels.outlines import encrypted
+
+    n = lambda v: bytes([v + 139]) if -107 <= v <= 107 else b"\xff" + struct.pack(">i", v)
+    sealed = lambda d: encrypted(b"lenI" + d, 4330)
+    side = sealed(n(500) + b"\x06" + b"\x0b")
+    glyph = sealed(n(0) + n(600) + b"\x0d" + n(0) + b"\x16" + n(0) + b"\x0a" + n(1000) + b"\x07" + n(-500) + b"\x06" + b"\x09\x0e")
+    none = sealed(n(0) + n(600) + b"\x0d\x0e")
+    private = b"dup /Private 5 dict dup begin /lenIV 4 def /Subrs 1 array\ndup 0 %d RD " % len(side) + side + b" NP\nND\n2 index /CharStrings 2 dict dup begin\n/.notdef %d RD " % len(none) + none + b" ND\n/A %d RD " % len(glyph) + glyph + b" ND\nend end\n"
+    return b"%!PS-AdobeFont-1.0: Box\n/FontMatrix [0.001 0 0 0.001 0 0] readonly def\n/Encoding StandardEncoding def\ncurrentfile eexec\n" + encrypted(b"seed" + private, 55665) + b"\n" + b"0" * 64 + b"\ncleartomark"
+
+
+def _descriptor(key: bytes, at: int, flags: int = 32) -> bytes:
+    return b"<< /Type /FontDescriptor /FontName /Box /Flags %d /" % flags + key + b" %d 0 R >>" % at
+
+
+def font_objects(kind: str) -> list[bytes]:
+    """The font as object 5 and what belongs to it."""
+    simple = b"<< /Type /Font /Subtype /%s /BaseFont /Box /FirstChar 65 /LastChar 65 /Widths [600] /FontDescriptor 6 0 R /Encoding /WinAnsiEncoding >>"
+    if kind in ("truetype", "composite"):
+        return [simple % b"TrueType", _descriptor(b"FontFile2", 7), stream(truetype(kind == "composite"))]
+    if kind == "compact":
+        return [simple % b"Type1", _descriptor(b"FontFile3", 7), stream(compact_font(), b"/Subtype /Type1C")]
+    if kind == "type1":
+        return [simple % b"Type1", _descriptor(b"FontFile", 7), stream(type1_font())]
+    if kind == "type3":
+        glyph = b"600 0 0 0 500 1000 d1 1 0 0 rg 0 0 500 1000 re f"
+        return [b"<< /Type /Font /Subtype /Type3 /FontBBox [0 0 500 1000] /FontMatrix [0.001 0 0 0.001 0 0] /FirstChar 65 /LastChar 65 /Widths [600] /Encoding << /Differences [65 /box] >> /CharProcs << /box 6 0 R >> >>", stream(glyph)]
+    below = b"<< /Type /Font /Subtype /%s /BaseFont /Box /DW 1000 /W [%d [600]] /FontDescriptor 7 0 R >>"
+    top = b"<< /Type /Font /Subtype /Type0 /BaseFont /Box /Encoding /Identity-H /DescendantFonts [6 0 R] >>"
+    if kind == "cid truetype":
+        return [top, below % (b"CIDFontType2", 1), _descriptor(b"FontFile2", 8), stream(truetype())]
+    return [top, below % (b"CIDFontType0", 34), _descriptor(b"FontFile3", 8), stream(compact_font(True), b"/Subtype /CIDFontType0C")]
+
+
+FONT_KINDS = ("truetype", "composite", "compact", "type1", "type3", "cid truetype", "cid compact")
+
+
+def text_page(kind: str, x: int, size: int, spread: int) -> bytes:
+    """Two letters A and, a line below, a third one, in a font of some kind, in green."""
+    code = {"cid truetype": "<0001>", "cid compact": "<0022>"}.get(kind, "(A)")
+    both = code[:-1] + code[1:]
+    content = f"0 1 0 rg BT /F1 {size} Tf {spread} Tc {size + 10} TL {x} 60 Td {both} Tj T* [-1000 {code}] TJ ET"
+    return page(content.encode(), b"/Font << /F1 5 0 R >>", font_objects(kind))
+
+
+def text_mode_page(mode: int, size: int) -> bytes:
+    """A letter in a text mode, then a red area over all: it shows where the letter clips, or else everywhere."""
+    content = f"q 0 0 1 RG 2 w BT /F1 {size} Tf {mode} Tr 20 20 Td (A) Tj ET 1 0 0 rg 60 0 40 100 re f 20 0 10 100 re f Q"
+    return page(content.encode(), b"/Font << /F1 5 0 R >>", font_objects("truetype"))
+
+
+def blended_page(mode: str, back: tuple[int, int, int], front: tuple[int, int, int], alpha: float) -> bytes:
+    """A colour over another in a blend mode and with an alpha."""
+    colour = lambda c: " ".join(f"{v / 255:.6f}" for v in c)
+    content = f"{colour(back)} rg 0 0 100 100 re f /G gs {colour(front)} rg 10 20 30 40 re f"
+    return page(content.encode(), f"/ExtGState << /G << /BM /{mode} /ca {alpha} >> >>".encode())
+
+
+def drawn_page(how: str, a: int, b: int) -> bytes:
+    """An area painted in one of many ways: always a box of ``a`` by ``b`` points at (20, 30), in a colour known beforehand."""
+    box, extra, resources, content = f"20 30 {a} {b} re", [], b"", ""
+    ramp = b"<< /FunctionType 2 /Domain [0 1] /C0 [0 1 0] /C1 [0 1 0] /N 1 >>"
+    if how == "fill":
+        content = f"0 1 0 rg {box} f"
+    elif how == "even-odd":
+        content = f"0 1 0 rg {box} 0 0 100 100 re 0 0 100 100 re f*"
+    elif how == "clip":
+        content = f"{box} W n 0 1 0 rg 0 0 100 100 re f"
+    elif how == "stroke":
+        content = f"0 1 0 RG {a} w {20 + a / 2} 30 m {20 + a / 2} {30 + b} l S"
+    elif how == "form":
+        content, resources = "q 1 0 0 1 20 30 cm /X Do Q", b"/XObject << /X 5 0 R >>"
+        extra = [stream(b"0 1 0 rg 0 0 100 100 re f", b"/Type /XObject /Subtype /Form /BBox [0 0 %d %d]" % (a, b))]
+    elif how == "image":
+        content, resources = f"q {a} 0 0 {b} 20 30 cm /X Do Q", b"/XObject << /X 5 0 R >>"
+        extra = [stream(zlib.compress(b"\0\xff\0"), b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Filter /FlateDecode")]
+    elif how == "indexed":
+        content, resources = f"q {a} 0 0 {b} 20 30 cm /X Do Q", b"/XObject << /X 5 0 R >>"
+        extra = [stream(b"\x80", b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /BitsPerComponent 1 /ColorSpace [/Indexed /DeviceRGB 1 <FF000000FF00>]")]
+    elif how == "stencil":
+        content, resources = f"0 1 0 rg q {a} 0 0 {b} 20 30 cm /X Do Q", b"/XObject << /X 5 0 R >>"
+        extra = [stream(b"\0", b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /BitsPerComponent 1 /ImageMask true")]
+    elif how == "inline":
+        content = f"q {a} 0 0 {b} 20 30 cm BI /W 1 /H 1 /BPC 8 /CS /RGB /F /AHx ID 00FF00> EI Q"
+    elif how == "tiles":
+        content, resources = f"/Pattern cs /P scn {box} f", b"/Pattern << /P 5 0 R >>"
+        extra = [stream(b"0 1 0 rg 0 0 5 5 re f", b"/PatternType 1 /PaintType 1 /TilingType 1 /BBox [0 0 5 5] /XStep 5 /YStep 5 /Resources << >>")]
+    elif how == "axial":
+        content, resources = f"{box} W n /S sh", b"/Shading << /S << /ShadingType 2 /ColorSpace /DeviceRGB /Coords [0 0 100 0] /Extend [true true] /Function " + ramp + b" >> >>"
+    elif how == "radial":
+        content, resources = f"{box} W n /S sh", b"/Shading << /S << /ShadingType 3 /ColorSpace /DeviceRGB /Coords [50 50 0 50 50 200] /Extend [true true] /Function " + ramp + b" >> >>"
+    elif how == "shading pattern":
+        content, resources = f"/Pattern cs /P scn {box} f", b"/Pattern << /P << /PatternType 2 /Shading << /ShadingType 2 /ColorSpace /DeviceRGB /Coords [0 0 100 0] /Extend [true true] /Function " + ramp + b" >> >> >>"
+    elif how == "sampled":
+        content, resources = f"/C cs 0.5 scn {box} f", b"/ColorSpace << /C [/Separation /Spot /DeviceRGB 5 0 R] >>"
+        extra = [stream(bytes([0, 255, 0, 0, 255, 0]), b"/FunctionType 0 /Domain [0 1] /Range [0 1 0 1 0 1] /Size [2] /BitsPerSample 8")]
+    elif how == "inks":
+        content = f"1 0 1 0 k {box} f"
+    elif how == "hidden":
+        content = f"0 1 0 rg {box} f /OC /Off BDC 1 0 0 rg 0 0 100 100 re f EMC"
+        off = [CATALOG[:-3] + b" /OCProperties << /OCGs [5 0 R] /D << /OFF [5 0 R] >> >> >>", ONE_PAGE, b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 100 100] /Contents 4 0 R /Resources << /Properties << /Off 5 0 R >> >> >>", stream(content.encode()), b"<< /Type /OCG /Name (Off) >>"]
+        return document(off)
+    elif how == "soft mask":
+        content, resources = "/G gs 0 1 0 rg 0 0 100 100 re f", b"/ExtGState << /G << /SMask << /S /Luminosity /G 5 0 R >> >> >>"
+        extra = [stream(f"1 g {box} f".encode(), b"/Type /XObject /Subtype /Form /BBox [0 0 100 100] /Group << /S /Transparency /CS /DeviceGray >>")]
+    return page(content.encode(), resources, extra)
+
+
+DRAWN = ("fill", "even-odd", "clip", "stroke", "form", "image", "indexed", "stencil", "inline", "tiles", "axial", "radial", "shading pattern", "sampled", "inks", "hidden", "soft mask")

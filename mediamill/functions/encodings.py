@@ -35,6 +35,9 @@ _STANDARD = {
     "emdash", 225: "AE", 227: "ordfeminine", 232: "Lslash", 233: "Oslash", 234: "OE", 235: "ordmasculine", 241: "ae", 245: "dotlessi", 248: "lslash", 249:
     "oslash", 250: "oe", 251: "germandbls",
 }
+# Names of a compact font's string numbers from 150 on, and the letters and marks that follow them.
+_MORE_STRINGS = ("onesuperior", "logicalnot", "mu", "trademark", "Eth", "onehalf", "plusminus", "Thorn", "onequarter", "divide", "brokenbar", "degree", "thorn", "threequarters", "twosuperior", "registered", "minus", "eth", "multiply", "threesuperior", "copyright")
+_MARKED = ("A acute", "A circumflex", "A dieresis", "A grave", "A ring", "A tilde", "C cedilla", "E acute", "E circumflex", "E dieresis", "E grave", "I acute", "I circumflex", "I dieresis", "I grave", "N tilde", "O acute", "O circumflex", "O dieresis", "O grave", "O tilde", "S caron", "U acute", "U circumflex", "U dieresis", "U grave", "Y acute", "Y dieresis", "Z caron")
 _MARKS = {"GRAVE": "grave", "ACUTE": "acute", "CIRCUMFLEX": "circumflex", "TILDE": "tilde", "DIAERESIS": "dieresis", "RING ABOVE": "ring", "CEDILLA": "cedilla", "CARON": "caron", "STROKE": "slash"}
 _LETTERS = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "germandbls", "Ð": "Eth", "ð": "eth", "Þ": "Thorn", "þ": "thorn"}
 
@@ -84,6 +87,33 @@ def table(encoding: str) -> dict[int, str]:
     return out
 
 
+@cache
+def standard_strings() -> dict[int, str]:
+    """Names of the string numbers that every compact font knows, up to the end of its Latin ones.
+
+    They are the standard encoding's in its order, then signs, then letters with marks, first
+    the capitals and then the small ones.
+    """
+    names = ["", *table("Standard").values(), *_MORE_STRINGS]
+    marked = [f"{base}{mark}" for base, mark in (x.split(" ") for x in _MARKED)]
+    return dict(enumerate([*names, *marked, *[f"{m[0].lower()}{m[1:]}" for m in marked]]))
+
+
+@cache
+def characters() -> dict[str, str]:
+    """Characters by glyph name, for all characters of the predefined encodings."""
+    out: dict[str, str] = {}
+    for page in ("cp1252", "mac_roman"):
+        for code in range(32, 256):
+            try:
+                char = bytes([code]).decode(page)
+            except UnicodeDecodeError:
+                continue
+            if name := glyph(char):
+                out.setdefault(name, char)
+    return out
+
+
 def glyph_name(code: Column, encoding: str = "Standard") -> Column:
     """The glyph that a code stands for; null where the encoding has none."""
     pairs = [F.lit(x) for kv in table(encoding).items() for x in kv]

@@ -135,6 +135,20 @@ def _page(data: bytes, number: int) -> dict[str, Any]:
     return _image(pdf_render.render(doc, pages[int(number) - 1], _budget(), sizes[int(number) - 1]))
 
 
+def _marks(data: bytes) -> list[dict[str, Any]]:
+    """Colours of the first page but white, at one pixel a point: how many pixels, and their box."""
+    doc = pdf.Document(data)
+    first = doc.pages()[0]
+    w, h = (max(1, min(2048, round(x))) for x in doc.size(first))
+    px = pdf_render.render(doc, first, _budget(), (w, h)).samples().astype(np.int64)
+    value = px[:, :, 0] << 16 | px[:, :, 1] << 8 | px[:, :, 2]
+    out = []
+    for v in np.unique(value[value != 0xFFFFFF])[:256].tolist():
+        y, x = np.nonzero(value == v)
+        out.append({"colour": f"{v:06X}", "pixels": len(x), "left": int(x.min()), "top": int(y.min()), "right": int(x.max()), "bottom": int(y.max())})
+    return out
+
+
 def _filter(data: bytes, name: str) -> bytes:
     return pdf_filters.apply(name, data, {})
 
@@ -174,6 +188,7 @@ _KERNELS: dict[str, tuple[str, Callable[..., Any]]] = {
     "pdf_pages": ("array<struct<w:double,h:double>>", _pdf_pages),
     "pdf_filter": ("binary", _filter),
     "pdf_page": (IMAGE, _page),
+    "pdf_marks": ("array<struct<colour:string,pixels:int,left:int,top:int,right:int,bottom:int>>", _marks),
     "pdf_sanitize": ("binary", lambda d: pdf_render.sanitize(d, _budget())),
     "page_layout": (f"struct<width:int,height:int,ink:bigint,rules:int,parts:array<{_BOX}>>", _page_layout),
 }
@@ -220,6 +235,7 @@ decode, pixels, luma, clean, convert, signature = (_named(n) for n in ("decode",
 png_info, jpeg_info, icc_info, inflate, compress = (_named(n) for n in ("png_info", "jpeg_info", "icc", "inflate", "compress"))
 pdf_info, pdf_pages, pdf_filter, page_layout = (_named(n) for n in ("pdf_info", "pdf_pages", "pdf_filter", "page_layout"))
 metadata_lean, resampled, ink, page_gray, pdf_facts = (_named(n) for n in ("metadata_lean", "resampled", "ink", "page_gray", "pdf_facts"))
+pdf_marks = _named("pdf_marks")
 inflate_exact, compress_pieces, frame_stream = (_named(n) for n in ("inflate_exact", "compress_pieces", "frame_stream"))
 pdf_page, pdf_sanitize = (_named(n) for n in ("pdf_page", "pdf_sanitize"))
 

@@ -1,9 +1,9 @@
-"""Pages as pixels: paths, clips, images, forms, shadings and transparency of a content stream.
+"""Pages as pixels: paths, text, clips, images, forms, shadings and transparency of a content stream.
 
-The painter covers what pages of scans and drawings use: filled and stroked paths under both
-rules, clips, image and form XObjects, inline images, stencil and soft masks, axial,
-radial and function shadings, tiling and shading patterns, constant alpha and the blend modes.  Text is passed over: its
-fonts' programs are outside the engine.  Edges are smoothed by four samples a pixel each way.
+The painter covers filled and stroked paths under both rules, text in embedded fonts in all
+modes, clips, image and form XObjects, inline images, stencil and soft masks, axial, radial
+and function shadings, tiling and shading patterns, constant alpha and the blend modes.
+Edges are smoothed by four samples a pixel each way.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from typing import Any
 import numpy as np
 
 from ..errors import Deadline, Invalid, Limit, MediaError
-from . import jpeg, pdf, postscript
+from . import fonts, jpeg, pdf, postscript
 from .image import Image, to_rgb
 
 SIDE, MOST_PAGES, MOST_TOTAL = 2048, 32, 64_000_000
@@ -163,7 +163,7 @@ def coverage(polygons: list[np.ndarray], w: int, h: int, even_odd: bool) -> np.n
     return np.minimum(out, 1)
 
 
-def stroke(path: list[np.ndarray], width: float, cap: int, join: int, dash: tuple[list[float], float] | None) -> list[np.ndarray]:
+def stroke(path: list[np.ndarray], width: float, cap: int, join: int, dash: tuple[list[float], float] | None, miter: float = 10.0) -> list[np.ndarray]:
     """Polygons (of one turn) whose union is the stroked path, in its own space."""
     half, out = width / 2, []
 
@@ -202,7 +202,7 @@ def stroke(path: list[np.ndarray], width: float, cap: int, join: int, dash: tupl
                 side = -np.sign(cross)
                 a, b = p + side * half * np.array([-u[1], u[0]]), p + side * half * np.array([-v[1], v[0]])
                 tip = [a, p, b]
-                if join == 0 and 1 + u @ v > 0.02:
+                if join == 0 and 1 + u @ v > 2 / max(miter, 1.0) ** 2:
                     mid = (a + b) / 2 - p
                     tip = [a, p, b, p + mid * (half * half / max(mid @ mid, 1e-12))]
                 tip = np.array(tip)
@@ -255,6 +255,10 @@ class State:
         self.width, self.cap, self.join, self.dash = 1.0, 0, 0, None
         self.mode, self.mask = "Normal", None
         self.fill_pattern: str | None = None
+        self.miter = 10.0
+        # the text's font and size, spaces between characters and words, stretch, leading, mode and rise
+        self.font: fonts.Font | None = None
+        self.size, self.spread, self.word_spread, self.stretch, self.leading, self.text_mode, self.rise = 0.0, 0.0, 0.0, 1.0, 0.0, 0, 0.0
 
     def copy(self) -> "State":
         new = State.__new__(State)
@@ -262,6 +266,26 @@ class State:
         return new
 
 
+#: Operators that set text up or show it, and those that a glyph of shape alone doesn't carry out.
+TEXT_OPERATORS = frozenset(("BT", "ET", "Tc", "Tw", "Tz", "TL", "Tf", "Tr", "Ts", "Td", "TD", "Tm", "T*", "Tj", "'", '"', "TJ"))
+COLOUR_OPERATORS = frozenset(("g", "G", "rg", "RG", "k", "K", "cs", "CS", "sc", "SC", "scn", "SCN", "sh"))
+
+
+class _Text:
+    """Where a text object's line and its next glyph begin, and the outlines that will clip."""
+
+    def __init__(self) -> None:
+        self.line = self.place = np.eye(3)
+        self.clip: list[np.ndarray] = []
+        self.uncoloured = False
+
+    def next(self, x: float, y: float) -> None:
+        self.line = self.place = np.array([[1, 0, 0], [0, 1, 0], [x, y, 1]]) @ self.line
+
+    def advance(self, x: float, y: float) -> None:
+        self.place = np.array([[1, 0, 0], [0, 1, 0], [x, y, 1]]) @ self.place
+
+
 class Painter:
     """A page's pixels while its operators are carried out."""
 
@@ -269,6 +293,8 @@ class Painter:
         self.doc, self.w, self.h, self.deadline = doc, w, h, deadline
         self.px = np.ones((h, w, 3), dtype=np.float32)
         self.hidden = 0
+        self.uncoloured = 0
+        self.fonts: dict[int, fonts.Font | None] = {}
         self.base = np.eye(3)  # from page space to pixels, which patterns refer to
 
     # -- colours -------------------------------------------------------------------------------------------------------
@@ -348,6 +374,7 @@ class Painter:
         doc, stack, path, clip_rule = self.doc, [], [], None
         marked: list[bool] = []
         start = (0.0, 0.0)
+        text = _Text()
         for k, (op, v) in enumerate(pdf.operators(content)):
             if k % 256 == 0:
                 self.deadline.check()
@@ -394,8 +421,17 @@ class Painter:
                     path, clip_rule = [], None
                 elif op in ("W", "W*"):
                     clip_rule = op == "W*"
+                elif op in TEXT_OPERATORS:
+                    self._text(op, v, n, resources, s, text, depth)
+                elif op == "d1":
+                    self.uncoloured += 1
+                    text.uncoloured = True
+                elif self.uncoloured and op in COLOUR_OPERATORS:
+                    continue  # a glyph of shape alone is painted in the text's colour
                 elif op == "w":
                     s.width = n[0]
+                elif op == "M":
+                    s.miter = n[0]
                 elif op == "J":
                     s.cap = int(n[0])
                 elif op == "j":
@@ -442,6 +478,98 @@ class Painter:
                     raise
                 path = [] if op in ("f", "S", "B", "n") else path
         self.hidden -= sum(marked)
+        self.uncoloured -= text.uncoloured
+
+    # -- text ----------------------------------------------------------------------------------------------------------
+
+    def _text(self, op: str, v: list[Any], n: list[float], resources: dict[str, Any], s: State, text: "_Text", depth: int) -> None:
+        if op == "BT":
+            text.line = text.place = np.eye(3)
+            text.clip = []
+        elif op == "ET":
+            if text.clip:
+                c = coverage(text.clip, self.w, self.h, False)
+                s.clip = c if s.clip is None else s.clip * c
+            text.clip = []
+        elif op in ("Tc", "Tw", "TL", "Ts"):
+            setattr(s, {"Tc": "spread", "Tw": "word_spread", "TL": "leading", "Ts": "rise"}[op], n[0])
+        elif op == "Tz":
+            s.stretch = n[0] / 100
+        elif op == "Tr":
+            s.text_mode = int(n[0])
+        elif op == "Tf":
+            s.font, s.size = self._font(v[0], resources), n[0]
+        elif op == "Tm":
+            text.line = text.place = matrix(n)
+        elif op in ("Td", "TD", "T*"):
+            if op == "TD":
+                s.leading = -n[1]
+            text.next(*((0.0, -s.leading) if op == "T*" else n[:2]))
+        elif op == "TJ":
+            self._show(v[0], resources, s, text, depth)
+        else:
+            if op == '"':
+                s.word_spread, s.spread = n[:2]
+            if op in ("'", '"'):
+                text.next(0.0, -s.leading)
+            self._show(v[-1:], resources, s, text, depth)
+
+    def _font(self, name: Any, resources: dict[str, Any]) -> fonts.Font | None:
+        d = self.doc.get((self.doc.get(resources.get("Font")) or {}).get(name))
+        if not isinstance(d, dict):
+            return None
+        if id(d) not in self.fonts:
+            try:
+                self.fonts[id(d)] = fonts.Font(self.doc, d)
+            except (MediaError, ValueError, TypeError, KeyError, IndexError, AttributeError):
+                self.fonts[id(d)] = None
+        return self.fonts[id(d)]
+
+    def _show(self, parts: list[Any], resources: dict[str, Any], s: State, text: "_Text", depth: int) -> None:
+        """Glyphs of strings, with shifts in thousandths between them; all outlines of an operator are painted as one shape."""
+        if s.font is None:
+            return
+        shapes: list[np.ndarray] = []
+        lines: list[np.ndarray] = []
+        down = s.font.vertical
+        for part in parts:
+            if isinstance(part, int | float):
+                shift = -part / 1000 * s.size
+                text.advance(*((0.0, shift) if down else (shift * s.stretch, 0.0)))
+                continue
+            for g in s.font.split(bytes(part)):
+                at = np.array([[s.size * s.stretch, 0, 0], [0, s.size, 0], [0, s.rise, 1]]) @ text.place
+                if g.procedure is not None:
+                    self._procedure(g.procedure, s, at, resources, depth)
+                elif g.path:
+                    m = at if not down else np.array([[1, 0, 0], [0, 1, 0], [-g.advance / 2000, -0.88, 1]]) @ at
+                    shapes += flatten(g.path, m @ s.ctm)
+                    if s.text_mode in (1, 2, 5, 6):
+                        lines += flatten(g.path, m)
+                space = s.spread + (s.word_spread if (g.code, g.n_bytes) == (32, 1) else 0.0)
+                text.advance(*((0.0, -s.size + space) if down else ((g.advance / 1000 * s.size + space) * s.stretch, 0.0)))
+        if not shapes:
+            return
+        if s.text_mode in (0, 2, 4, 6):
+            cover = coverage(shapes, self.w, self.h, False)
+            if s.fill_pattern is not None:
+                self._pattern(self.doc.get(self.doc.get(resources.get("Pattern"))[s.fill_pattern]), resources, s, cover, depth)
+            else:
+                self.paint(s, cover, np.array(s.fill), s.fill_alpha)
+        if lines:
+            path = [step for p in lines for step in [("m", *p[0]), *[("l", *q) for q in p[1:-1]], ("h",)]]
+            self.paint(s, self._stroked(path, s), np.array(s.line), s.line_alpha)
+        if s.text_mode >= 4:
+            text.clip += shapes
+
+    def _procedure(self, body: pdf.Stream, s: State, at: np.ndarray, resources: dict[str, Any], depth: int) -> None:
+        """A Type 3 glyph: its own content under the font's matrix."""
+        if depth > MOST_FORMS or s.text_mode == 3:
+            return
+        inner = s.copy()
+        inner.ctm = matrix(list(s.font.matrix)) @ at @ s.ctm
+        own = s.font.get("Resources")
+        self.run(self.doc.decode(body), own if isinstance(own, dict) else resources, inner, depth + 1)
 
     def _visible(self, group: Any) -> bool:
         """Whether an optional-content group or membership is on."""
@@ -462,13 +590,13 @@ class Painter:
         scale = math.sqrt(abs(np.linalg.det(s.ctm[:2, :2]))) or 1.0
         width = max(s.width, 1 / scale)
         own = flatten(path, np.eye(3))
-        shapes = stroke(own, width, s.cap, s.join, s.dash)
+        shapes = stroke(own, width, s.cap, s.join, s.dash, s.miter)
         turned = [np.column_stack([p, np.ones(len(p))]) @ s.ctm for p in shapes]
         return coverage([p[:, :2] for p in turned], self.w, self.h, False)
 
     def _graphics(self, s: State, d: dict[str, Any], depth: int) -> None:
         get = lambda k: self.doc.get(d.get(k))
-        for key, name in (("LW", "width"), ("CA", "line_alpha"), ("ca", "fill_alpha")):
+        for key, name in (("LW", "width"), ("CA", "line_alpha"), ("ca", "fill_alpha"), ("ML", "miter")):
             if isinstance(get(key), int | float):
                 setattr(s, name, float(get(key)))
         for key, name in (("LC", "cap"), ("LJ", "join")):

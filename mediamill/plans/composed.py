@@ -335,6 +335,74 @@ def sealed_contents(spark, d):
     return _ops(spark, made, "n_nationkey", "revision")
 
 
+def _marks(made, *keys: str):
+    got = made.select(*keys, F.explode(media.pdf_marks(F.col("content"))["value"]).alias("m"))
+    return got.select(*keys, "m.*")
+
+
+def _each(values: tuple[str, ...]) -> str:
+    return ", ".join(f"('{v}')" for v in values)
+
+
+@query(f"""WITH b AS (SELECT n_nationkey, kind, 10 + n_nationkey AS x, 10 * (1 + n_nationkey % 3) AS size, n_nationkey % 4 AS spread FROM nation, (VALUES {_each(composers.FONT_KINDS)}) AS k(kind))
+SELECT n_nationkey, kind, '00FF00' AS colour, (3 * size * size // 2)::INT AS pixels, x::INT AS left, (40 - size)::INT AS top, (x + size * 6 // 10 + spread + greatest(size // 2, size // 2 + size * 4 // 10 - spread) - 1)::INT AS right, (49 + size)::INT AS bottom FROM b""")
+def text_painted(spark, d):
+    """Letters of embedded fonts of every kind: where they stand, how far they advance, where the next line begins."""
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(k) for k in composers.FONT_KINDS])).alias("kind"))
+    key = F.col("n_nationkey").cast("int")
+    made = spread(rows).select("n_nationkey", "kind", composers.column(composers.text_page)("kind", key + 10, (key % 3 + 1) * 10, key % 4).alias("content"))
+    return _marks(made, "n_nationkey", "kind")
+
+
+@query("""WITH b AS (SELECT n_nationkey, mode, 20 * (1 + n_nationkey % 2) AS size FROM nation, range(8) AS m(mode))
+SELECT n_nationkey, mode::INT AS mode, (CASE WHEN mode < 4 THEN 5000 ELSE 10 * size END)::INT AS red FROM b""")
+def text_modes(spark, d):
+    """Text that is filled, stroked, not shown, or kept as the clip of what follows."""
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("mode"))
+    made = spread(rows).select("n_nationkey", "mode", composers.column(composers.text_mode_page)("mode", ((F.col("n_nationkey") % 2 + 1) * 20).cast("int")).alias("content"))
+    return _marks(made, "n_nationkey", "mode").where("colour = 'FF0000'").select("n_nationkey", "mode", F.col("pixels").alias("red"))
+
+
+@query(f"""WITH b AS (SELECT n_nationkey, how, 5 * (n_nationkey % 5 + 1) AS a, 5 * (n_nationkey % 7 + 1) AS b FROM nation, (VALUES {_each(composers.DRAWN)}) AS h(how))
+SELECT n_nationkey, how, '00FF00' AS colour, (a * b)::INT AS pixels, 20 AS left, (70 - b)::INT AS top, (19 + a)::INT AS right, 69 AS bottom FROM b""")
+def drawn_areas(spark, d):
+    """One area painted in seventeen ways: paths, clips, strokes, forms, images, masks, patterns, shadings, colour spaces, layers."""
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(k) for k in composers.DRAWN])).alias("how"))
+    key = F.col("n_nationkey").cast("int")
+    made = spread(rows).select("n_nationkey", "how", composers.column(composers.drawn_page)("how", (key % 5 + 1) * 5, (key % 7 + 1) * 5).alias("content"))
+    return _marks(made, "n_nationkey", "how")
+
+
+_BLENDS = {
+    "Normal": "s", "Multiply": "b * s", "Screen": "b + s - b * s", "Darken": "least(b, s)", "Lighten": "greatest(b, s)", "Difference": "abs(b - s)", "Exclusion": "b + s - 2 * b * s",
+    "HardLight": "CASE WHEN s <= 0.5 THEN 2 * b * s ELSE 1 - 2 * (1 - b) * (1 - s) END", "Overlay": "CASE WHEN b <= 0.5 THEN 2 * b * s ELSE 1 - 2 * (1 - b) * (1 - s) END",
+    "ColorDodge": "CASE WHEN b = 0 THEN 0 WHEN s >= 1 THEN 1 ELSE least(1, b / (1 - s)) END", "ColorBurn": "CASE WHEN b >= 1 THEN 1 WHEN s <= 0 THEN 0 ELSE 1 - least(1, (1 - b) / s) END",
+    "SoftLight": "CASE WHEN s <= 0.5 THEN b - (1 - 2 * s) * b * (1 - b) WHEN b <= 0.25 THEN b + (2 * s - 1) * (((16 * b - 12) * b + 4) * b - b) ELSE b + (2 * s - 1) * (sqrt(b) - b) END",
+}
+_BLEND_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _BLENDS.items())
+
+
+@query(f"""WITH c AS (SELECT n_nationkey, mode, i, (((n_nationkey * 37 + i * 61) % 256) / 255.0)::DOUBLE AS b, (((n_nationkey * 53 + i * 29 + 11) % 256) / 255.0)::DOUBLE AS s FROM nation, (VALUES {_each(tuple(_BLENDS))}) AS m(mode), range(3) AS t(i)),
+v AS (SELECT n_nationkey, mode, i, 255 * (b + 0.75 * ((CASE mode {_BLEND_SQL} END) - b)) AS v FROM c)
+SELECT n_nationkey, mode, i::INT AS channel, true AS alike, round(v / 8)::INT >= 0 AS known FROM v""")
+def blended_colours(spark, d):
+    """Twelve blend modes under an alpha: every channel within one level of the formula, worked out again here in columns."""
+    key = F.col("n_nationkey").cast("int")
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(k) for k in _BLENDS])).alias("mode"))
+    back, front = F.array(*[(key * 37 + i * 61) % 256 for i in range(3)]), F.array(*[(key * 53 + i * 29 + 11) % 256 for i in range(3)])
+    made = spread(rows).select("n_nationkey", "mode", back.alias("back"), front.alias("front"), composers.column(composers.blended_page)("mode", back, front, F.lit(0.75)).alias("content"))
+    marks = made.select("n_nationkey", "mode", "back", "front", media.pdf_marks(F.col("content"))["value"].alias("marks"))
+    # the area's colour is the one that ends before the page does, unless it is the same as the page's
+    area = F.filter("marks", lambda m: m["right"] == 39)
+    inner = marks.withColumn("colour", F.when(F.size(area) > 0, F.get(area, F.lit(0))["colour"]).otherwise(F.get("marks", F.lit(0))["colour"]))
+    each = inner.select("n_nationkey", "mode", "colour", "back", "front", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"))
+    b, s = (F.element_at(c, F.col("channel") + 1) / 255 for c in ("back", "front"))
+    formula = F.expr(f"CASE mode {_BLEND_SQL} END")
+    got = each.withColumns({"b": b, "s": s}).withColumn("v", 255 * (F.col("b") + 0.75 * (formula - F.col("b"))))
+    level = F.conv(F.expr("substring(colour, 2 * channel + 1, 2)"), 16, 10).cast("double")
+    return got.select("n_nationkey", "mode", "channel", (F.abs(level - F.col("v")) <= 1).alias("alike"), (F.col("v") >= -0.5).alias("known"))
+
+
 # --- files, checksums, names -----------------------------------------------------------------------------------------
 
 
