@@ -680,3 +680,178 @@ def drawn_page(how: str, a: int, b: int) -> bytes:
 
 
 DRAWN = ("fill", "even-odd", "clip", "stroke", "form", "image", "indexed", "stencil", "inline", "tiles", "axial", "radial", "shading pattern", "sampled", "inks", "hidden", "soft mask")
+
+
+# --- JPEG from coefficients -------------------------------------------------------------------------------------------
+
+
+class _BitWriter:
+    def __init__(self) -> None:
+        self.bits: list[str] = []
+
+    def put(self, value: int, n: int) -> None:
+        if n:
+            self.bits.append(f"{value & ((1 << n) - 1):0{n}b}")
+
+    def signed(self, v: int) -> None:
+        """A value's bits behind its size: negative ones less one."""
+        n = abs(v).bit_length()
+        self.put(v if v > 0 else v + (1 << n) - 1, n)
+
+    def bytes(self) -> bytes:
+        text = "".join(self.bits)
+        text += "1" * (-len(text) % 8)
+        raw = int(text, 2).to_bytes(len(text) // 8, "big") if text else b""
+        return raw.replace(b"\xff", b"\xff\0")
+
+
+#: Codes of eight bits for every symbol but one, and of four bits for sizes.
+_AC_SYMBOLS = [s for s in range(256) if s != 0xFE]
+
+
+def coefficient_jpeg(blocks: list[list[int]], how: str) -> bytes:
+    """A gray row of blocks from their 64 coefficients in zigzag order, one step each but eight for the first: ``baseline``, ``restart`` (an interval of two blocks) or ``progressive`` (four scans, each coefficient in two parts)."""
+    table = b"\0" + bytes([8] + [1] * 63)
+    dc = b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
+    ac = b"\x10" + bytes([0] * 7 + [255] + [0] * 8) + bytes(_AC_SYMBOLS)
+    frame = struct.pack(">BHHB", 8, 8, 8 * len(blocks), 1) + b"\1\x11\0"
+    out = b"\xff\xd8" + segment(0xDB, table) + segment(0xC2 if how == "progressive" else 0xC0, frame) + segment(0xC4, dc) + segment(0xC4, ac)
+    scan = lambda ss, se, ah, al, body: segment(0xDA, b"\1\1\0" + bytes([ss, se, ah << 4 | al])) + body
+    if how == "progressive":
+        return out + scan(0, 0, 0, 1, _first_dc(blocks, 1)) + scan(1, 63, 0, 1, _first_ac(blocks, 1)) + scan(0, 0, 1, 0, _second_dc(blocks)) + scan(1, 63, 1, 0, _second_ac(blocks)) + b"\xff\xd9"
+    per = 2 if how == "restart" else len(blocks)
+    body = b""
+    for k, at in enumerate(range(0, len(blocks), per)):
+        body += (b"\xff" + bytes([0xD0 + (k - 1) % 8]) if k else b"") + _baseline(blocks[at : at + per])
+    return out + (segment(0xDD, struct.pack(">H", per)) if how == "restart" else b"") + scan(0, 63, 0, 0, body) + b"\xff\xd9"
+
+
+def _symbol(w: _BitWriter, s: int) -> None:
+    w.put(_AC_SYMBOLS.index(s), 8)
+
+
+def _baseline(blocks: list[list[int]]) -> bytes:
+    w, before = _BitWriter(), 0
+    for b in blocks:
+        w.put(abs(b[0] - before).bit_length(), 4)
+        w.signed(b[0] - before)
+        before = b[0]
+        _runs(w, b[1:])
+    return w.bytes()
+
+
+def _runs(w: _BitWriter, values: list[int]) -> bool:
+    """Zeros and values; whether zeros were left at the end, which get a mark."""
+    run = 0
+    for v in values:
+        if not v:
+            run += 1
+            continue
+        while run > 15:
+            _symbol(w, 0xF0)
+            run -= 16
+        _symbol(w, run << 4 | abs(v).bit_length())
+        w.signed(v)
+        run = 0
+    if run:
+        _symbol(w, 0)
+    return run > 0
+
+
+def _first_dc(blocks: list[list[int]], low: int) -> bytes:
+    w, before = _BitWriter(), 0
+    for b in blocks:
+        v = b[0] >> low
+        w.put(abs(v - before).bit_length(), 4)
+        w.signed(v - before)
+        before = v
+    return w.bytes()
+
+
+def _second_dc(blocks: list[list[int]]) -> bytes:
+    w = _BitWriter()
+    for b in blocks:
+        w.put(b[0] & 1, 1)
+    return w.bytes()
+
+
+def _first_ac(blocks: list[list[int]], low: int) -> bytes:
+    """Values without their last bits; blocks that end early are counted together."""
+    w, ended = _BitWriter(), 0
+
+    def flush() -> None:
+        nonlocal ended
+        if ended:
+            n = ended.bit_length() - 1
+            _symbol(w, n << 4)
+            w.put(ended, n)
+            ended = 0
+
+    for b in blocks:
+        values = [abs(v) >> low if v > 0 else -(abs(v) >> low) for v in b[1:]]
+        last = max((i + 1 for i, v in enumerate(values) if v), default=0)
+        if last:
+            flush()
+            _runs(w, values[:last])
+        if last < 63:
+            ended += 1
+    flush()
+    return w.bytes()
+
+
+def _second_ac(blocks: list[list[int]]) -> bytes:
+    """The last bits: values that begin now, and between them a bit of each that began before."""
+    w = _BitWriter()
+    for b in blocks:
+        last = max((k for k in range(1, 64) if abs(b[k]) == 1), default=0)
+        run, bits = 0, []
+        for k in range(1, 64):
+            a = abs(b[k])
+            if not a:
+                run += 1
+                continue
+            while run > 15 and k <= last:
+                _symbol(w, 0xF0)
+                for x in bits:
+                    w.put(x, 1)
+                run, bits = run - 16, []
+            if a > 1:
+                bits.append(a & 1)
+                continue
+            _symbol(w, run << 4 | 1)
+            w.put(int(b[k] > 0), 1)
+            for x in bits:
+                w.put(x, 1)
+            run, bits = 0, []
+        if run or bits:
+            _symbol(w, 0)
+            for x in bits:
+                w.put(x, 1)
+    return w.bytes()
+
+
+def level_blocks(key: int, n: int, how: str) -> bytes:
+    """So many flat blocks, the one at ``i`` of level ``(key * 7 + i * 13) mod 200 + 28``."""
+    return coefficient_jpeg([[(key * 7 + i * 13) % 200 - 100] + [0] * 63 for i in range(n)], how)
+
+
+# --- QR symbols -------------------------------------------------------------------------------------------------------
+
+
+def turned_symbol(version: int, turn: int, flips: int) -> bytes:
+    """A symbol of level H, turned (4 and up: mirrored too), with so many modules of its data flipped."""
+    from .kernels import qr
+
+    grid = qr.encode(b"text %d" % version, 3, version % 8, version)
+    n = len(grid)
+    for k in range(flips):
+        y, x = n - 1 - k // 2, n - 1 - k % 2
+        grid[y, x] ^= True
+    px = np.rot90(qr.picture(grid, 3), turn % 4)
+    px = px[:, ::-1] if turn > 3 else px
+    return png.encode(Image(px.shape[1], px.shape[0], "gray8", np.ascontiguousarray(px)))
+
+
+def character_map(first: int, base: int) -> bytes:
+    """One- and two-byte codes, a range and single codes of each."""
+    return f"/CMapName /Own def 1 begincodespacerange <00> <7f> endcodespacerange 1 begincodespacerange <8140> <9ffc> endcodespacerange 1 begincidrange <20> <7e> {first} endcidrange 1 begincidchar <8141> {base} endcidchar 1 beginbfrange <30> <39> <0061> endbfrange".encode()

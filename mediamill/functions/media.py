@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Deadline, Invalid, guarded
-from ..kernels import deflate, frames, icc, image, jpeg, morph, pdf, pdf_filters, pdf_render, png, qr, sanitize, skim
+from ..kernels import cmap, deflate, frames, icc, image, jpeg, morph, pdf, pdf_filters, pdf_render, png, qr, sanitize, skim
 from ..kernels import meta as meta_kernel
 from ..kernels.image import Image
 
@@ -149,6 +149,12 @@ def _marks(data: bytes) -> list[dict[str, Any]]:
     return out
 
 
+def _codes(data: bytes, text: bytes) -> list[dict[str, Any]]:
+    """A string's codes through a character map: identifier and text of each, null where the map has none."""
+    m = cmap.parse(data)
+    return [{"code": c, "cid": m.cid(c, n), "text": m.text(c, n)} for c, n in m.split(bytes(text))]
+
+
 def _filter(data: bytes, name: str) -> bytes:
     return pdf_filters.apply(name, data, {})
 
@@ -189,6 +195,7 @@ _KERNELS: dict[str, tuple[str, Callable[..., Any]]] = {
     "pdf_filter": ("binary", _filter),
     "pdf_page": (IMAGE, _page),
     "pdf_marks": ("array<struct<colour:string,pixels:int,left:int,top:int,right:int,bottom:int>>", _marks),
+    "character_codes": ("array<struct<code:int,cid:int,text:string>>", _codes),
     "pdf_sanitize": ("binary", lambda d: pdf_render.sanitize(d, _budget())),
     "page_layout": (f"struct<width:int,height:int,ink:bigint,rules:int,parts:array<{_BOX}>>", _page_layout),
 }
@@ -235,7 +242,7 @@ decode, pixels, luma, clean, convert, signature = (_named(n) for n in ("decode",
 png_info, jpeg_info, icc_info, inflate, compress = (_named(n) for n in ("png_info", "jpeg_info", "icc", "inflate", "compress"))
 pdf_info, pdf_pages, pdf_filter, page_layout = (_named(n) for n in ("pdf_info", "pdf_pages", "pdf_filter", "page_layout"))
 metadata_lean, resampled, ink, page_gray, pdf_facts = (_named(n) for n in ("metadata_lean", "resampled", "ink", "page_gray", "pdf_facts"))
-pdf_marks = _named("pdf_marks")
+pdf_marks, character_codes = _named("pdf_marks"), _named("character_codes")
 inflate_exact, compress_pieces, frame_stream = (_named(n) for n in ("inflate_exact", "compress_pieces", "frame_stream"))
 pdf_page, pdf_sanitize = (_named(n) for n in ("pdf_page", "pdf_sanitize"))
 

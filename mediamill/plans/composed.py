@@ -232,6 +232,36 @@ def page_parts(spark, d):
     return got.select("p_partkey", F.size("parts").alias("parts"), "rules", "ink", F.element_at(lefts, (F.size("parts") / 2).cast("int") + 1).alias("middle"))
 
 
+@query("""WITH b AS (SELECT n_nationkey, how, 1 + n_nationkey % 9 AS n FROM nation, (VALUES ('baseline'), ('restart'), ('progressive')) AS h(how)),
+px AS (SELECT n_nationkey, how, n, y, i, x, (n_nationkey * 7 + i * 13) % 200 + 28 AS v FROM b, range(8) AS ys(y), range(9) AS bs(i), range(8) AS xs(x) WHERE i < n)
+SELECT n_nationkey, how, (8 * max(n))::INT AS width, string_agg(printf('%02X', v::INT), '' ORDER BY y, i, x) AS pixels FROM px GROUP BY ALL""")
+def jpeg_blocks(spark, d):
+    """Flat blocks in sequence, with restarts, and in four progressive scans."""
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(h) for h in ("baseline", "restart", "progressive")])).alias("how"))
+    key = F.col("n_nationkey").cast("int")
+    made = spread(rows).select("n_nationkey", "how", composers.column(composers.level_blocks)(key, key % 9 + 1, "how").alias("content"))
+    got = made.select("n_nationkey", "how", media.decode(F.col("content")).alias("r"))
+    return got.select("n_nationkey", "how", "r.value.width", F.hex("r.value.data").alias("pixels"))
+
+
+@query("SELECT n_nationkey, turn::INT AS turn, (n_nationkey % 10 + 1)::INT AS version, 1 AS decoded FROM nation, range(8) AS t(turn)")
+def turned_symbols(spark, d):
+    """Symbols of versions 1 to 10, turned and mirrored, with modules to mend."""
+    rows = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 10 + 1).cast("int").alias("version"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("turn"))
+    made = spread(rows).select("n_nationkey", "turn", "version", composers.column(composers.turned_symbol)("version", "turn", (F.col("n_nationkey") % 5).cast("int")).alias("content"))
+    return made.select("n_nationkey", "turn", "version", media.qr_scan(F.col("content")).alias("r")).select("n_nationkey", "turn", "version", "r.value.decoded")
+
+
+@query("""SELECT p_partkey, pos::INT AS pos, code::INT AS code, cid::INT AS cid, text FROM part, LATERAL (VALUES (0, 32 + p_size, 100 + p_size, CASE WHEN p_size BETWEEN 16 AND 25 THEN chr((97 + p_size - 16)::INT) END), (1, 33089, p_partkey + 5, NULL), (2, 255, NULL, NULL)) AS v(pos, code, cid, text)""")
+def character_maps(spark, d):
+    """Codes of one and two bytes through an embedded character map, and one that it doesn't know."""
+    rows = spread(table(spark, d, "part"))
+    size = F.col("p_size").cast("int")
+    made = rows.select("p_partkey", composers.column(composers.character_map)(F.lit(100), F.col("p_partkey") + 5).alias("content"), F.unhex(F.concat(F.lpad(F.hex(size + 32), 2, "0"), F.lit("8141FF"))).alias("text"))
+    got = made.select("p_partkey", F.posexplode(media.character_codes(F.col("content"), F.col("text"))["value"]).alias("pos", "c"))
+    return got.select("p_partkey", "pos", "c.code", "c.cid", "c.text")
+
+
 # --- errors ----------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from mediamill import composers
 from mediamill.errors import Invalid, Limit, MediaError, guarded
 from mediamill.functions import encodings
 from mediamill.kernels import audio, ccitt, ciphers, cmap, deflate, exif, icc, image, jbig2, jpeg, meta, morph, pdf, pdf_filters, pdf_render, pdf_write, png, postscript, qr, sanitize, skim, xmp
@@ -104,6 +105,15 @@ def test_jpeg_restart_markers():
     assert (jpeg.decode(with_interval)[1].data == jpeg.decode(data)[1].data).all()
 
 
+def test_progressive_scans_give_what_one_scan_does():
+    rng = random.Random(11)
+    for _ in range(25):
+        blocks = [[rng.randint(-90, 90), *[rng.choice((0, 0, 0, 0, 1, -1, 2, -3, rng.randint(-40, 40))) if rng.random() < rng.choice((0.05, 0.6)) else 0 for _ in range(63)]] for _ in range(rng.randint(1, 9))]
+        plain = jpeg.decode(composers.coefficient_jpeg(blocks, "baseline"))[1].data
+        for how in ("restart", "progressive"):
+            assert (jpeg.decode(composers.coefficient_jpeg(blocks, how))[1].data == plain).all()
+
+
 def test_jpeg_tables():
     assert [len(jpeg.ac_values(k)) for k in (0, 1)] == [162, 162]
     assert jpeg.quant_table(jpeg.LUMA_QUANT, 50).tolist() == jpeg.LUMA_QUANT.tolist()
