@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import composers
-from ..functions import digests, encodings, media, tables
+from ..functions import digests, encodings, media, report_json, tables
 from ..sources.files import read_media
 from .queries import query, spread, table
 
@@ -90,7 +90,7 @@ def exif_tags(spark, d):
 
 
 _XMP = [("XMP-xmp:CreatorTool", "'tool & ' || s_suppkey"), ("XMP-photoshop:Credit", "text"), ("XMP-dc:Title", "text"), ("XMP-dc:Title-de", "'T ' || s_suppkey"), ("XMP-dc:Subject", "'aA|' || text"), ("XMP-dc:Creator", "'c ' || s_suppkey")]
-_ODD_TEXT = "(SELECT s_suppkey, '<' || s_name || ' & \"' || s_acctbal::BIGINT || '\"' AS text FROM supplier)"
+_ODD_TEXT = "(SELECT s_suppkey, '<' || s_name || ' & \"' || floor(s_acctbal)::BIGINT || '\"' AS text FROM supplier)"
 
 
 def _odd_text_files(spark, d, compose):
@@ -150,6 +150,40 @@ def oriented_pictures(spark, d):
     return got.select("p_partkey", "how", "r.value.width", "r.value.height", "r.error_class")
 
 
+_J = "to_json({})::VARCHAR"
+_META_JSON = "'[{{\"SourceFile\":' || " + _J.format("'a/' || s_suppkey || '.png'") + " || ',\"XMP-xmp:CreatorTool\":' || " + _J.format("'tool & ' || s_suppkey") + " || ',\"XMP-dc:Title\":' || " + _J.format("text") + " || ',\"XMP-dc:Title-de\":' || " + _J.format("'T ' || s_suppkey") + " || ',\"XMP-dc:Subject\":' || " + _J.format("['aA', text]") + " || '}}]'"
+
+
+@query(f"SELECT s_suppkey, {_META_JSON.replace('{{', '{').replace('}}', '}')} AS json FROM {_ODD_TEXT}")
+def meta_json(spark, d):
+    """The first value of each tag asked for, as one object a file."""
+    files = _odd_text_files(spark, d, composers.xmp_png)
+    read = files.select("s_suppkey", media.metadata(F.col("content"))["value"].alias("m"))
+    path = F.concat(F.lit("a/"), F.col("s_suppkey").cast("string"), F.lit(".png"))
+    return read.select("s_suppkey", report_json.meta_json(path, F.col("m.tags"), F.col("m.warnings"), ["creatortool", "TITLE", "Subject"]).alias("json"))
+
+
+@query("""SELECT p_partkey, '{"streams":[{"codec_type":"video","width":' || (p_size + 3) || ',"height":' || p_size || '}],"format":{"filename":"' || p_name || '","format_name":"jpeg_pipe"}}' AS probe,
+'{"BitsPerSample":8,"ColorComponents":1,"Orientation":1}' AS color, '{}' AS provenance FROM part""")
+def probe_json(spark, d):
+    rows = spread(table(spark, d, "part"))
+    made = rows.select("p_partkey", "p_name", composers.column(composers.oriented_jpeg)(F.col("p_size") + 3, F.col("p_size"), F.lit(1), F.lit(False)).alias("content"))
+    got = made.select("p_partkey", "p_name", media.cover(F.col("content"))["value"].alias("c")).withColumn("report", report_json.cover_report(F.col("c")))
+    return got.select("p_partkey", report_json.probe_json(F.col("p_name"), F.col("report.probe")).alias("probe"), "report.color", "report.provenance")
+
+
+@query("""SELECT s_suppkey, '{"ColorType":2,"BitDepth":8,"ProfileDescription":"' || s_name || '","ProfileID":"0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0"}' AS color FROM supplier""")
+def color_json(spark, d):
+    got = _supplier_files(spark, d, composers.profile_png).select("s_suppkey", media.cover(F.col("content"))["value"].alias("c"))
+    return got.select("s_suppkey", report_json.cover_report(F.col("c"))["color"].alias("color"))
+
+
+@query("""SELECT s_suppkey, '{"PNG:Comment":"' || s_name || '","IFD0:Software":"' || s_name || '"}' AS provenance FROM supplier""")
+def provenance_json(spark, d):
+    got = _supplier_files(spark, d, composers.text_chunks_png).select("s_suppkey", media.cover(F.col("content"))["value"].alias("c"))
+    return got.select("s_suppkey", report_json.cover_report(F.col("c"))["provenance"].alias("provenance"))
+
+
 # --- pixels ----------------------------------------------------------------------------------------------------------
 
 _HEX = "string_agg(printf('%02X', v::INT), '' ORDER BY y, x, c)"
