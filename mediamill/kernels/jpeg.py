@@ -194,6 +194,13 @@ class Huffman:
         if len(table) > 65536:
             raise Invalid("Huffman table")
         self.table = table + [0] * (65536 - len(table))
+        self._fast: list[int] | None = None
+
+    def fast(self) -> list[int]:
+        """The table with runs and values, made when it is first asked for."""
+        if self._fast is None:
+            self._fast = _runs_and_values(self.table)
+        return self._fast
 
 
 class Bits:
@@ -242,27 +249,94 @@ class Bits:
         return self.at - self.n // 8 > len(self.data) + 1
 
 
-def _sequential(r: Bits, c: Component, dc: list[int], ac: list[int], block: list[int]) -> None:
-    s = r.symbol(dc)
-    if s:
-        if s > 15:
-            raise Invalid("coefficient")
-        c.pred += r.signed(s)
-    block[0] = c.pred
-    k = 1
-    while k < 64:
-        rs = r.symbol(ac)
-        s = rs & 15
-        if not s:
-            if rs != 0xF0:
-                return
-            k += 16
-            continue
-        k += rs >> 4
-        if k > 63:
-            raise Invalid("coefficient")
-        block[k] = r.signed(s)
-        k += 1
+def _runs_and_values(table: list[int]) -> list[int]:
+    """For each 16 bits that may come next: the length of code and value, how many places to go on, and the value plus 2**15, in 5, 7 and the other bits.
+
+    A zero run goes on 16 places and the end of a block 64, both without a value.  Entries
+    whose value reaches beyond 16 bits, and those of no code, are 0.
+    """
+    e = np.array(table, dtype=np.int64)
+    window = np.arange(1 << 16, dtype=np.int64)
+    length, symbol = e & 31, e >> 5
+    run, size = symbol >> 4, symbol & 15
+    total = length + size
+    raw = window >> np.maximum(16 - total, 0) & (np.int64(1) << size) - 1
+    value = np.where(raw >> np.maximum(size - 1, 0) > 0, raw, raw - (np.int64(1) << size) + 1)
+    skip = np.where(size > 0, run + 1, np.where(symbol == 0xF0, 16, 64))
+    out = total | skip << 5 | np.where(size > 0, value + (1 << 15), 0) << 12
+    return np.where((e > 0) & (total <= 16), out, 0).tolist()
+
+
+_ZIGZAG_LIST = ZIGZAG.tolist()
+
+
+def _sequential(data: bytes, blocks: list[tuple["Component", int]], tables: dict[int, tuple[list[int], list[int], list[int]]]) -> None:
+    """An interval of sequential blocks (its byte stuffing taken out), each a component and its place: values are gathered and put into the blocks at once."""
+    end = len(data) * 8 + 16
+    data += bytes(64)
+    size = len(data)
+    at = acc = n = 0
+    found: dict[int, tuple[list[int], list[int], Component]] = {}
+    for c, _ in blocks:
+        found.setdefault(c.id, ([], [], c))
+    for c, place in blocks:
+        dc, ac, fast = tables[c.id]
+        places, values, _ = found[c.id]
+        if at * 8 - n > end:
+            raise Invalid("truncated file")
+        while n < 48:
+            acc = (acc & ((1 << n) - 1)) << 128 | int.from_bytes(data[at : at + 16].ljust(16, b"\0"), "big")
+            at, n = at + 16, n + 128
+        e = dc[acc >> (n - 16) & 0xFFFF]
+        if not e:
+            raise Invalid("Huffman code")
+        n -= e & 31
+        s = e >> 5
+        if s:
+            if s > 15:
+                raise Invalid("coefficient")
+            n -= s
+            v = acc >> n & ((1 << s) - 1)
+            c.pred += v if v >> (s - 1) else v - (1 << s) + 1
+        if c.pred:
+            places.append(place)
+            values.append(c.pred)
+        k = 1
+        while k < 64:
+            if n < 48:
+                acc = (acc & ((1 << n) - 1)) << 128 | int.from_bytes(data[at : at + 16].ljust(16, b"\0"), "big")
+                at, n = at + 16, n + 128
+                if at > size + 64:
+                    raise Invalid("truncated file")
+            window = acc >> (n - 16) & 0xFFFF
+            e = fast[window]
+            if e:
+                n -= e & 31
+                k += e >> 5 & 127
+                e >>= 12
+                if e:
+                    if k > 64:
+                        raise Invalid("coefficient")
+                    places.append(place + _ZIGZAG_LIST[k - 1])
+                    values.append(e - 32768)
+                continue
+            e = ac[window]
+            if not e:
+                raise Invalid("Huffman code")
+            n -= e & 31
+            s = e >> 5 & 15
+            k += (e >> 9) + 1
+            if k > 64:
+                raise Invalid("coefficient")
+            n -= s
+            v = acc >> n & ((1 << s) - 1)
+            places.append(place + _ZIGZAG_LIST[k - 1])
+            values.append(v if v >> (s - 1) else v - (1 << s) + 1)
+    if at * 8 - n > end:
+        raise Invalid("truncated file")
+    for places, values, c in found.values():
+        if places:
+            c.blocks.reshape(-1)[places] = np.array(values).astype(np.int16)
 
 
 class Decoder:
@@ -427,17 +501,16 @@ class Decoder:
             dc, ac = self.dc[c.dc], self.ac[c.ac]
             if (dc is None and not (progressive and (first or high))) or (ac is None and (first or not progressive)):
                 raise Invalid("missing Huffman table")
-            tables[c.id] = dc and dc.table, ac and ac.table
+            tables[c.id] = dc and dc.table, ac and ac.table, ac and not progressive and ac.fast()
+        if not progressive:
+            _sequential(r.data, [(c, (y * c.blocks.shape[1] + x) * 64) for unit in units for c, y, x in unit], tables)
+            return
         run = 0
         for unit in units:
             for c, y, x in unit:
-                dc, ac = tables[c.id]
+                dc, ac, _ = tables[c.id]
                 target = c.blocks[y, x]
-                if not progressive:
-                    block = [0] * 64
-                    _sequential(r, c, dc, ac, block)
-                    target[ZIGZAG] = block
-                elif not first:
+                if not first:
                     if high:
                         if r.bits(1):
                             target[0] |= 1 << low
@@ -653,8 +726,9 @@ def fdct(blocks: np.ndarray) -> np.ndarray:
     return np.stack(_forward([rows[:, k, :] for k in range(8)], False), axis=1)
 
 
-def _codes(bits, values) -> dict[int, tuple[int, int]]:
-    out, code, k = {}, 0, 0
+def _code_table(bits, values) -> np.ndarray:
+    """Code and length of each symbol."""
+    out, code, k = np.zeros((256, 2), dtype=np.int64), 0, 0
     for length in range(1, 17):
         for _ in range(bits[length - 1]):
             out[values[k]] = code, length
@@ -663,6 +737,61 @@ def _codes(bits, values) -> dict[int, tuple[int, int]]:
     return out
 
 
+def _sizes(v: np.ndarray) -> np.ndarray:
+    """Bits of each number's absolute value."""
+    return np.ceil(np.log2(np.abs(v) + 1.0)).astype(np.int64)
+
+
+def _behind(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bits that follow a size: of negative numbers, less one."""
+    return np.where(v > 0, v, v + (np.int64(1) << size) - 1)
+
+
+def _entropy_coded(blocks: np.ndarray, owner: np.ndarray, dc: list[np.ndarray], ac: list[np.ndarray]) -> bytes:
+    """Blocks of zigzag coefficients in their order as Huffman codes, a chunk of blocks at a time."""
+    diff = np.zeros(len(blocks), dtype=np.int64)
+    for k in np.unique(owner):
+        at = np.flatnonzero(owner == k)
+        diff[at] = np.diff(blocks[at, 0], prepend=0)
+    second = np.minimum(owner, 1)
+    out, held = [], np.zeros(0, dtype=np.uint8)
+    for lo in range(0, len(blocks), 8192):
+        held = np.concatenate([held, _block_bits(blocks[lo : lo + 8192], diff[lo : lo + 8192], second[lo : lo + 8192], np.stack(dc), np.stack(ac))])
+        whole = len(held) // 8 * 8
+        out.append(np.packbits(held[:whole]).tobytes())
+        held = held[whole:]
+    if len(held):
+        out.append(np.packbits(np.concatenate([held, np.ones(8 - len(held), dtype=np.uint8)])).tobytes())
+    return b"".join(out).replace(b"\xff", b"\xff\x00")
+
+
+def _block_bits(blocks: np.ndarray, diff: np.ndarray, t: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
+    """Each block's difference, then runs with values, then the mark of trailing zeros, bit by bit."""
+    n = len(blocks)
+    size = _sizes(diff)
+    entries = [(np.arange(n) * 256, dc[t, size, 0] << size | _behind(diff, size), dc[t, size, 1] + size)]
+    b, k = np.nonzero(blocks[:, 1:])
+    k += 1
+    v = blocks[b, k].astype(np.int64)
+    before = np.concatenate([[0], np.where(b[1:] == b[:-1], k[:-1], 0)]) if len(b) else k
+    run = k - before - 1
+    size = _sizes(v)
+    symbol = (run & 15) << 4 | size
+    entries.append((b * 256 + 2 * k + 1, ac[t[b], symbol, 0] << size | _behind(v, size), ac[t[b], symbol, 1] + size))
+    long = np.repeat(np.arange(len(b)), run >> 4)
+    entries.append((b[long] * 256 + 2 * k[long], ac[t[b[long]], 0xF0, 0], ac[t[b[long]], 0xF0, 1]))
+    last = np.zeros(n, dtype=np.int64)
+    np.maximum.at(last, b, k)
+    short = np.flatnonzero(last < 63)
+    entries.append((short * 256 + 255, ac[t[short], 0, 0], ac[t[short], 0, 1]))
+    place, code, length = (np.concatenate(x) for x in zip(*entries, strict=True))
+    order = np.argsort(place, kind="stable")
+    code, length = code[order], length[order]
+    ends = np.cumsum(length)
+    shift = np.repeat(ends, length) - 1 - np.arange(int(ends[-1]))
+    return (np.repeat(code, length) >> shift & 1).astype(np.uint8)
+
+
 def _ycc(rgb: np.ndarray) -> list[np.ndarray]:
     r, g, b = (rgb[:, :, k].astype(np.int64) for k in range(3))
     y = (19595 * r + 38470 * g + 7471 * b + 32768) >> 16
@@ -701,46 +830,11 @@ def encode(img: Image, quality: int = 90, subsampling: str | None = None) -> byt
         c = np.sign(c) * ((np.abs(c) + q // 2) // q)
         coded.append(c.reshape(blocks.shape[0], blocks.shape[1], 64)[:, :, ZIGZAG])
     values = [bytes(range(12))] * 2
-    dc = [_codes(DC_BITS[k], values[k]) for k in range(2)]
-    ac = [_codes(AC_BITS[k], ac_values(k)) for k in range(2)]
     factors = [(fx, fy)] + [(1, 1)] * (len(planes) - 1)
-    acc = n = 0
-    out = bytearray()
-    pred = [0] * len(planes)
-    for my in range(coded[0].shape[0] // fy):
-        for mx in range(coded[0].shape[1] // fx):
-            for k, (bx, by) in enumerate(factors):
-                for v in range(by):
-                    for u in range(bx):
-                        block = coded[k][my * by + v, mx * bx + u].tolist()
-                        t = min(k, 1)
-                        diff = block[0] - pred[k]
-                        pred[k] = block[0]
-                        size = abs(diff).bit_length()
-                        code, length = dc[t][size]
-                        acc, n = acc << length | code, n + length
-                        if size:
-                            acc, n = acc << size | (diff if diff > 0 else diff + (1 << size) - 1), n + size
-                        run = 0
-                        for x in block[1:]:
-                            if not x:
-                                run += 1
-                                continue
-                            while run > 15:
-                                code, length = ac[t][0xF0]
-                                acc, n, run = acc << length | code, n + length, run - 16
-                            size = abs(x).bit_length()
-                            code, length = ac[t][run << 4 | size]
-                            acc, n = (acc << length | code) << size | (x if x > 0 else x + (1 << size) - 1), n + length + size
-                            run = 0
-                        if run:
-                            code, length = ac[t][0]
-                            acc, n = acc << length | code, n + length
-                        if n > 4096:
-                            out += (acc >> n % 8).to_bytes(n // 8, "big").replace(b"\xff", b"\xff\x00")
-                            acc, n = acc & ((1 << n % 8) - 1), n % 8
-    fill = -n % 8
-    out += ((acc << fill) | ((1 << fill) - 1)).to_bytes((n + fill) // 8, "big").replace(b"\xff", b"\xff\x00")
+    down, across = coded[0].shape[0] // fy, coded[0].shape[1] // fx
+    units = [c.reshape(down, by, across, bx, 64).transpose(0, 2, 1, 3, 4).reshape(down * across, by * bx, 64) for c, (bx, by) in zip(coded, factors, strict=True)]
+    owner = np.tile(np.repeat(np.arange(len(units)), [u.shape[1] for u in units]), down * across)
+    out = _entropy_coded(np.concatenate(units, axis=1).reshape(-1, 64), owner, [_code_table(DC_BITS[k], values[k]) for k in range(2)], [_code_table(AC_BITS[k], ac_values(k)) for k in range(2)])
     seg = lambda m, d: bytes([0xFF, m]) + struct.pack(">H", len(d) + 2) + d
     count = len(planes)
     head = [b"\xff\xd8", seg(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")]
@@ -749,4 +843,4 @@ def encode(img: Image, quality: int = 90, subsampling: str | None = None) -> byt
     for k in range(min(count, 2)):
         head += [seg(0xC4, bytes([k]) + bytes(DC_BITS[k]) + values[k]), seg(0xC4, bytes([0x10 | k]) + bytes(AC_BITS[k]) + ac_values(k))]
     head.append(seg(0xDA, bytes([count]) + b"".join(bytes([k + 1, min(k, 1) * 17]) for k in range(count)) + b"\0\x3f\0"))
-    return b"".join(head) + bytes(out) + b"\xff\xd9"
+    return b"".join(head) + out + b"\xff\xd9"
