@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .joining import joined
+
 
 def _shifted_any(a: np.ndarray, size: int, axis: int, origin: int) -> np.ndarray:
     """Whether any of ``size`` neighbours along an axis is set; ``origin`` is the brick's centre."""
@@ -53,24 +55,12 @@ def components(a: np.ndarray, connectivity: int = 4) -> tuple[np.ndarray, int]:
     start[:, 1:] &= ~a[:, :-1]
     run = np.cumsum(start.ravel()).reshape(h, w) * a
     total = int(run.max()) if a.size else 0
-    parent = list(range(total + 1))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     pairs = [np.stack([run[:-1][m], run[1:][m]]) for m in [a[:-1] & a[1:]]]
     if connectivity == 8:
         pairs += [np.stack([run[:-1, :-1][m], run[1:, 1:][m]]) for m in [a[:-1, :-1] & a[1:, 1:]]]
         pairs += [np.stack([run[:-1, 1:][m], run[1:, :-1][m]]) for m in [a[:-1, 1:] & a[1:, :-1]]]
-    joined = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), int)
-    for x, y in joined.T.tolist():
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    roots = np.array([find(i) for i in range(total + 1)])
+    x, y = np.concatenate(pairs, axis=1)
+    roots = joined(total + 1, x, y)
     _, names = np.unique(roots, return_inverse=True)
     return names[run], int(names.max()) if total else 0
 

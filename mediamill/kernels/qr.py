@@ -6,6 +6,7 @@ import numpy as np
 
 from ..errors import Deadline
 from ..functions.codes import alignment_centres, format_words
+from .joining import joined
 
 # For levels L, M, Q, H and versions 1 to 40, error-correction words a block and blocks.
 _ECC_WORDS = (
@@ -278,22 +279,8 @@ def label(dark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     change = np.ones((h, w), dtype=bool)
     change[:, 1:] = dark[:, 1:] != dark[:, :-1]
     run = np.cumsum(change.ravel()).reshape(h, w) - 1
-    parent = list(range(int(run[-1, -1]) + 1))
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
     same = dark[1:] == dark[:-1]
-    pairs = np.unique(run[:-1][same].astype(np.int64) * len(parent) + run[1:][same])
-    for p in pairs.tolist():
-        a, b = find(p // len(parent)), find(p % len(parent))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    roots = np.array([find(i) for i in range(len(parent))])
-    _, names = np.unique(roots, return_inverse=True)
+    _, names = np.unique(joined(int(run[-1, -1]) + 1, run[:-1][same], run[1:][same]), return_inverse=True)
     labels = names[run]
     return labels, np.bincount(labels.ravel())
 
@@ -324,9 +311,13 @@ def finders(dark: np.ndarray, deadline: Deadline) -> list[dict]:
             if len(seen) >= MOST_CAPSTONES:
                 break
     out = []
+    wanted = np.zeros(len(sizes), dtype=bool)
+    wanted[[*seen.keys(), *seen.values()]] = True
+    places = np.flatnonzero(wanted[labels.ravel()])
+    order = np.argsort(labels.ravel()[places], kind="stable")
+    places, names = places[order], labels.ravel()[places[order]]
     for ring, stone in seen.items():
-        py, px = np.nonzero(labels == ring)
-        sy, sx = np.nonzero(labels == stone)
+        (py, px), (sy, sx) = (np.divmod(places[np.searchsorted(names, x) : np.searchsorted(names, x, "right")], w) for x in (ring, stone))
         centre = np.array([sx.mean() + 0.5, sy.mean() + 0.5])
         points = np.stack([px + 0.5, py + 0.5], axis=1) - centre
         # the ring's first corner lies farthest out; the others are extreme along and across it
@@ -413,27 +404,27 @@ def _climb(dark: np.ndarray, m: np.ndarray, version: int) -> np.ndarray:
     return m
 
 
-def _grids(dark: np.ndarray, caps: list[dict]) -> list[tuple[float, dict, dict, dict]]:
+def _grids(dark: np.ndarray, caps: list[dict], deadline: Deadline) -> list[tuple[float, dict, dict, dict]]:
     """Triples of finders that stand as a symbol's corners: best match for each corner first."""
     out = []
+    centres, modules = np.array([c["centre"] for c in caps]).reshape(-1, 2), np.array([c["module"] for c in caps])
     for i, a in enumerate(caps):
-        best: tuple[float, int, int] | None = None
-        for j, b in enumerate(caps):
-            for k, c in enumerate(caps):
-                if len({i, j, k}) < 3:
-                    continue
-                u, v = b["centre"] - a["centre"], c["centre"] - a["centre"]
-                lu, lv = np.hypot(*u), np.hypot(*v)
-                if u[0] * v[1] - u[1] * v[0] <= 0 or not 0.6 < lu / lv < 1.67 or abs(u @ v) / (lu * lv) > 0.45:
-                    continue
-                sizes = np.array([a["module"], b["module"], c["module"]])
-                if sizes.max() > 1.7 * sizes.min() or min(lu, lv) < 11 * sizes.min():
-                    continue
-                score = abs(1 - lu / lv) + abs(u @ v) / (lu * lv) + (sizes.max() / sizes.min() - 1)
-                if best is None or score < best[0]:
-                    best = score, j, k
-        if best:
-            out.append((best[0], a, caps[best[1]], caps[best[2]]))
+        deadline.check()
+        arm = centres - centres[i]
+        length = np.hypot(*arm.T)
+        length[i] = np.nan
+        j, k = (x.ravel() for x in np.indices((len(caps), len(caps))))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ratio = length[j] / length[k]
+            slant = np.abs((arm[j] * arm[k]).sum(axis=1)) / (length[j] * length[k])
+            sizes = np.stack([np.full(len(j), modules[i]), modules[j], modules[k]])
+            spread = sizes.max(axis=0) / sizes.min(axis=0)
+            turn = arm[j, 0] * arm[k, 1] - arm[j, 1] * arm[k, 0]
+            good = (j != k) & (turn > 0) & (ratio > 0.6) & (ratio < 1.67) & (slant <= 0.45) & (spread <= 1.7) & (np.minimum(length[j], length[k]) >= 11 * sizes.min(axis=0))
+            score = np.where(good, np.abs(1 - ratio) + slant + spread - 1, np.inf)
+        best = int(score.argmin())
+        if np.isfinite(score[best]):
+            out.append((float(score[best]), a, caps[j[best]], caps[k[best]]))
     out.sort(key=lambda t: t[0])
     return out[:MOST_GRIDS]
 
@@ -447,7 +438,7 @@ def scan(gray: np.ndarray, deadline: Deadline | None = None) -> dict:
     caps = finders(dark, deadline)
     used: set[int] = set()
     candidates = decoded = 0
-    for _, a, b, c in _grids(dark, caps):
+    for _, a, b, c in _grids(dark, caps, deadline):
         if used & {id(a), id(b), id(c)}:
             continue
         candidates += 1
