@@ -358,7 +358,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = written(open_.drop("component").join(label.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "placed")
         dropped(open_)
         open_ = _open(placed)
+        if open_.isEmpty():
+            break
+    else:
+        more = _rest(open_, rows, reps, lite, numerator, denominator)
+        if not more.isEmpty():
+            label = components(links.union(more))
+    dropped(open_)
 
+    grouped = reps.select("one", "two", "id", "node").join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("one", "two", "id", F.coalesce("component", "node").alias("group"))
+    names = written(grouped.groupBy("group").agg(F.min("id").alias("component")), "names")
+    final = written(grouped.select("one", "two", "group").join(names, "group"), "components")
+    dropped(reps, names)
+    out = described.select("id", "text_hash", "n_shingles", "one", "two").join(final, ["one", "two"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    more_columns = ["text_hash", "group"] if detail else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *more_columns)
+
+
+def _rest(open_: DataFrame, rows: DataFrame, reps: DataFrame, lite: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links between members of different components that the rounds over centres left."""
     # of a member's lists, shortest first, the last are not needed
     size = written(open_.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
     ranked = open_.join(size, "key").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("size", "key", "band"))).alias("lists"))
@@ -370,20 +389,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = written(met.mapInArrow(_within(numerator, denominator), "a long, b long").distinct(), "pairs")
     more = _confirmed(met, rows, reps, numerator, denominator)
     long = _long(left.join(windows.where(F.col("size") > LONG), ["key", "window"]), rows, reps, lite, numerator, denominator)
-    if long is not None:
-        more = more.union(long)
-    if not more.isEmpty():
-        label = components(links.union(more))
-    dropped(open_, size, ranked, windows, met)
-
-    grouped = reps.select("one", "two", "id", "node").join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("one", "two", "id", F.coalesce("component", "node").alias("group"))
-    names = written(grouped.groupBy("group").agg(F.min("id").alias("component")), "names")
-    final = written(grouped.select("one", "two", "group").join(names, "group"), "components")
-    dropped(reps, names)
-    out = described.select("id", "text_hash", "n_shingles", "one", "two").join(final, ["one", "two"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
-    more_columns = ["text_hash", "group"] if detail else []
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *more_columns)
+    dropped(size, ranked, windows, met)
+    return more if long is None else more.union(long)
 
 
 def _star_links(posts: DataFrame, number: int, rows: DataFrame, reps: DataFrame, lite: DataFrame, numerator: int, denominator: int) -> DataFrame:

@@ -129,7 +129,8 @@ def test_maximal_segments_take_linear_time():
         assert len(toxicity.maximal(range(0, 3 * n, 3), run)) == n
         return time.perf_counter() - start
 
-    assert seconds(200_000) < 15 * max(seconds(20_000), 0.01)
+    # ten times the length, the best of some runs each: far below the hundredfold of a quadratic scan
+    assert min(seconds(200_000) for _ in range(3)) < 30 * max(min(seconds(20_000) for _ in range(5)), 0.005)
 
 
 def test_toxicity_learns_words_and_prefixes(spark):
