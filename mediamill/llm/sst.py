@@ -37,6 +37,8 @@ from .wordbpe import ChunkEncoder, groups
 
 BLOCK = 1 << 16
 SHARD = 1 << 28
+#: Runs of characters that a worker keeps: this operator keeps nothing else, and few texts share most words.
+CACHE = 600_000
 RESTART = 16
 BITS_A_KEY = 10
 HASHES = 7
@@ -227,7 +229,7 @@ def _wide(value: bytes) -> bytes:
     return value[1:] if value[:1] == b"\4" else np.frombuffer(value, dtype="<u2", offset=1).astype("<u4").tobytes()
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[[str], ChunkEncoder] = ChunkEncoder, most: int = SHARD) -> list[dict]:
+def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[..., ChunkEncoder] = ChunkEncoder, most: int = SHARD) -> list[dict]:
     """Write shards of all texts' ids (with ``end_id`` after each) in the order of the identifiers; returns the manifest.
 
     The manifest has a row for each shard: its address, first and last identifier, entries,
@@ -247,7 +249,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str | None = N
 
         kept = worker_cache("sst")
         if path not in kept:
-            kept[path] = encoder(path)
+            kept[path] = encoder(path, CACHE)
         coder, part, attempt = kept[path], TaskContext.get().partitionId(), uuid.uuid4().hex
         shard, done, n, at = None, [], 0, ""
 
@@ -331,7 +333,7 @@ def lookup(manifest: list[dict], key: int | None) -> list[bytes]:
     return out
 
 
-def token_table(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[[str], ChunkEncoder] = ChunkEncoder) -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[..., ChunkEncoder] = ChunkEncoder) -> DataFrame:
     """``id_col, start, n_tokens, ids_crc32`` of every text, read back from the shards it was written to.
 
     A null or empty text has the end id alone; rows of one identifier follow one another in the

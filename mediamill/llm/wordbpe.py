@@ -189,7 +189,10 @@ class Merger:
 
 
 class ChunkEncoder:
-    """Ids of texts by their runs between white space, with a bounded cache of runs.
+    """Ids of texts by their runs between white space, with a bounded cache of runs in two halves.
+
+    A full half becomes the older one and what it is asked for again moves to the new one, so
+    runs that come often stay.
 
     ``pieces`` gives the ids of lower-cased, split pieces (pre-tokens) that no cache holds:
     merged exactly and all at once.  A file of another kind goes through the library.
@@ -212,6 +215,7 @@ class ChunkEncoder:
         self.fast = self.fast and self.merger.whole
         self.find = regex.compile(PATTERN).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = cache
 
     def pieces(self, words: list[str]) -> list[bytes]:
@@ -234,27 +238,31 @@ class ChunkEncoder:
             every += (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
             rows.append((i, len(every)))
         cache = self.cache
-        distinct = set(every)
-        missing = distinct.difference(cache)
+        missing = set(every).difference(cache)
+        if missing and self.older:
+            again = {r: self.older[r] for r in missing if r in self.older}
+            cache.update(again)
+            missing.difference_update(again)
         if missing:
-            if len(cache) + len(missing) > self.most:
-                kept = {r: cache[r] for r in distinct if r in cache}
-                cache.clear()
-                cache.update(kept)
             self._fill(missing)
         ids = list(map(cache.__getitem__, every))
         lo = 0
         for i, hi in rows:
             out[i] = b"".join(ids[lo:hi])
             lo = hi
+        if len(cache) > self.most // 2:
+            self.older, self.cache = cache, {}
         return out
 
     def _fill(self, runs: set[str]) -> None:
         find, cache = self.find, self.cache
         # a word, a word with one mark behind it, or whatever the pattern makes of it
         split = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[:-1].isalpha() and r[-1] in ".,;:!?" else find(r) for r in runs]
-        unknown = list(dict.fromkeys([p for parts in split for p in parts]))
-        ids = dict(zip(unknown, self.pieces(unknown), strict=True))
+        ids = dict.fromkeys([p for parts in split for p in parts])
+        # a word with a mark behind it is often known without
+        ids.update({p: cache[p] for p in ids if p in cache})
+        unknown = [p for p, known in ids.items() if known is None]
+        ids.update(zip(unknown, self.pieces(unknown), strict=True))
         for r, parts in zip(runs, split, strict=True):
             cache[r] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
 
