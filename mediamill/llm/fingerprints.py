@@ -5,10 +5,16 @@ shorter text is one shingle).  The sketch keeps every distinct shingle hash belo
 fraction of the hash range, so its size follows the text's, sketches of parts merge into
 the sketch of the whole by union, and the share of one sketch's hashes that is in another
 estimates containment even where one text is a thousand times longer than the other.
-The likeness of two sketches is the estimate of their Jaccard similarity.
+Short texts have few hashes below the threshold, or none; so a sketch also keeps the
+:data:`LEAST` smallest hashes, which merge as well: the smallest of a union are among the
+smallest of its parts.
+
+The likeness of two sketches estimates the Jaccard similarity of their shingle sets: over
+all hashes of both below the threshold, or over the :data:`LEAST` smallest of both where
+those are more.  Of texts with fewer shingles than that it is exact.
 
 A fingerprint is a string: the number of hashes, then the kept hashes in ascending order,
-eight hexadecimal digits each.
+nine hexadecimal digits (the upper 36 bits) each; those below the threshold begin with 0.
 """
 
 from __future__ import annotations
@@ -25,79 +31,106 @@ from .textkit import _BYTE_CODE, _BYTES, U64, mix, slices
 
 WIDTH = 16
 SCALE = 16
+LEAST = 16
+_BITS = 36
+_TOP = U64((1 << _BITS) // SCALE)
 
 
 class Sketches:
     """Kept hashes of many texts: ``values`` in ascending order within each text, whose bounds are in ``first``."""
 
-    def __init__(self, texts: pa.Array, width: int = WIDTH, scale: int = SCALE):
-        values: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        top = U64((1 << 64) // scale)
+    def __init__(self, texts: pa.Array, width: int = WIDTH):
+        values: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        counts: list[np.ndarray] = [np.zeros(0, np.int64)]
         for _, _, buf, off in slices(texts):
-            n, size = len(buf), np.diff(off)
-            up, down = _BYTES.get(n + 1)
-            run = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_CODE[buf] * up[:n], out=run[1:])
-            if n >= width:
-                h = mix((run[width:] - run[:-width]) * down[: n - width + 1], salt=width)
-                at = np.flatnonzero(h < top)
-                row = np.searchsorted(off, at, side="right") - 1
-                inside = at + width <= off[row + 1]
-                at, row = at[inside], row[inside]
-                kept = h[at]
-            else:
-                kept, row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-            short = np.flatnonzero((size > 0) & (size < width))
-            if len(short):  # a whole text as one shingle
-                h = mix((run[off[short + 1]] - run[off[short]]) * down[off[short]] + size[short].astype(np.uint64), salt=width)
-                keep = h < top
-                kept, row = np.concatenate([kept, h[keep]]), np.concatenate([row, short[keep]])
-            # the lowest bits are kept: the highest ones are all below the threshold
-            pair = np.unique((row.astype(np.uint64) << U64(32)) | (kept & U64(0xFFFFFFFF)))
-            counts.append(np.bincount((pair >> U64(32)).astype(np.int64), minlength=len(size)))
-            values.append((pair & U64(0xFFFFFFFF)).astype(np.uint32))
-        self.values = np.concatenate(values) if values else np.zeros(0, np.uint32)
-        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            v, n = _kept(buf, off, width)
+            values.append(v)
+            counts.append(n)
+        self.values, self.counts = np.concatenate(values), np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
     def strings(self) -> list[str]:
-        text = self.values.astype(">u4").tobytes().hex()
-        bounds = (self.first * 8).tolist()
+        # nine digits are the last ones of sixteen
+        digits = np.frombuffer(self.values.astype(">u8").tobytes().hex().encode(), dtype=np.uint8).reshape(-1, 16)[:, 7:]
+        text = digits.tobytes().decode()
+        bounds = (self.first * 9).tolist()
         return [f"{n}:{text[a:b]}" for n, a, b in zip(self.counts.tolist(), bounds, bounds[1:], strict=False)]
 
-    def keyed(self) -> np.ndarray:
-        return (np.repeat(np.arange(len(self.counts), dtype=np.uint64), self.counts) << U64(32)) | self.values.astype(np.uint64)
-
-
-def shared_counts(a: Sketches, b: Sketches) -> np.ndarray:
-    """How many hashes the i-th sketches of both have in common."""
-    both = np.intersect1d(a.keyed(), b.keyed(), assume_unique=True)
-    return np.bincount((both >> U64(32)).astype(np.int64), minlength=len(a.counts))
+    def keyed(self, below: bool) -> np.ndarray:
+        """Rows and hashes in one number each; ``below``: of those under the threshold."""
+        keys = (np.repeat(np.arange(len(self.counts), dtype=np.uint64), self.counts) << U64(_BITS)) | self.values
+        return keys[self.values < _TOP] if below else keys
+
+    def of(self, row: int) -> np.ndarray:
+        return self.values[self.first[row] : self.first[row + 1]]
+
+
+def _kept(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kept hashes of a slice of texts, row by row, and how many each has."""
+    n, size = len(buf), np.diff(off)
+    up, down = _BYTES.get(n + 1)
+    run = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODE[buf] * up[:n], out=run[1:])
+    h = mix((run[width:] - run[:-width]) * down[: n - width + 1], salt=width) >> U64(64 - _BITS) if n >= width else np.zeros(0, dtype=np.uint64)
+    at = np.flatnonzero(h < _TOP)
+    row = np.searchsorted(off, at, side="right") - 1
+    inside = at + width <= off[row + 1] if len(at) else np.zeros(0, dtype=bool)
+    pair = np.unique((row[inside].astype(np.uint64) << U64(_BITS)) | h[at[inside]])
+    few = np.bincount((pair >> U64(_BITS)).astype(np.int64), minlength=len(size)) < LEAST
+    # the rows with few: all their hashes, of which the smallest are kept
+    rows = np.flatnonzero(few & (size >= width))
+    shingles = size[rows] - width + 1
+    owner = np.repeat(rows, shingles)
+    place = off[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    more = (owner.astype(np.uint64) << U64(_BITS)) | h[place]
+    short = np.flatnonzero((size > 0) & (size < width))  # a whole text as one shingle
+    if len(short):
+        one = mix((run[off[short + 1]] - run[off[short]]) * down[off[short]] + size[short].astype(np.uint64), salt=width) >> U64(64 - _BITS)
+        more = np.concatenate([more, (short.astype(np.uint64) << U64(_BITS)) | one])
+    more = np.unique(more)
+    owner = (more >> U64(_BITS)).astype(np.int64)
+    rank = np.arange(len(more)) - np.searchsorted(owner, owner)
+    pair = np.union1d(pair, more[rank < LEAST])
+    counts = np.bincount((pair >> U64(_BITS)).astype(np.int64), minlength=len(size))
+    return pair & U64((1 << _BITS) - 1), counts
 
 
 def likeness(a: Sketches, b: Sketches, same: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity; two empty sketches are as alike as their texts are equal (``same``)."""
-    common = shared_counts(a, b)
-    union = a.counts + b.counts - common
-    return np.where(union > 0, common / np.maximum(union, 1), same.astype(float))
-
-
-def parse(fingerprint: str) -> set[str]:
+    """Estimated Jaccard similarity of the i-th sketches of both; two empty ones are as alike as their texts are equal (``same``)."""
+    n = len(a.counts)
+    below = [x.keyed(True) for x in (a, b)]
+    ours, theirs, common = (np.bincount((k >> U64(_BITS)).astype(np.int64), minlength=n) for k in (*below, np.intersect1d(*below, assume_unique=True)))
+    union = ours + theirs - common
+    out = common / np.maximum(union, 1)
+    for i in np.flatnonzero(union < LEAST).tolist():
+        x, y = a.of(i), b.of(i)
+        least = np.union1d(x, y)[:LEAST]
+        out[i] = np.isin(least, np.intersect1d(x, y)).mean() if len(least) else float(same[i])
+    return out
+
+
+def parse(fingerprint: str) -> list[int]:
     body = fingerprint.split(":", 1)[1]
-    return {body[i : i + 8] for i in range(0, len(body), 8)}
+    return [int(body[i : i + 9], 16) for i in range(0, len(body), 9)]
 
 
 def containment(part: str, whole: str) -> float:
-    """Estimated share of ``part``'s shingles that ``whole`` has, from fingerprints; 0 for an empty sketch."""
+    """Estimated share of ``part``'s shingles that ``whole`` has, from fingerprints; 0 for an empty sketch.
+
+    Counted are ``part``'s hashes that ``whole`` would have kept: those below the threshold or
+    no larger than its largest, or all if it has so few that none was left out.
+    """
     a, b = parse(part), parse(whole)
-    return len(a & b) / len(a) if a else 0.0
+    most = max([int(_TOP) - 1, *b]) if len(b) >= LEAST else 1 << _BITS
+    asked = [x for x in a if x <= most]
+    return len(set(asked) & set(b)) / len(asked) if asked else 0.0
 
 
 def merge(one: str, two: str) -> str:
     """Fingerprint of the union of two shingle sets."""
-    both = sorted(parse(one) | parse(two))
-    return f"{len(both)}:{''.join(both)}"
+    both = sorted({*parse(one), *parse(two)})
+    kept = [x for i, x in enumerate(both) if i < LEAST or x < int(_TOP)]
+    return f"{len(kept)}:" + "".join(f"{x:09x}" for x in kept)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

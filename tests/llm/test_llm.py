@@ -390,27 +390,67 @@ def test_table_format(tmp_path):
 # --- 7 and 10 ---------------------------------------------------------------------------------
 
 
-def test_fingerprints(spark):
+def brute_sketch(text, known):
+    """Hashes of a text's shingles, each made by itself, and those that a sketch keeps."""
+    raw = text.encode()
+    shingles = {raw[i : i + 16] for i in range(max(1, len(raw) - 15))} if raw else set()
+    new = [x for x in shingles if x not in known]
+    if new:
+        alone = fingerprints.Sketches(pa.array(new, pa.binary()))
+        known.update({x: int(alone.of(i)[0]) for i, x in enumerate(new)})
+    every = sorted({known[x] for x in shingles})
+    return [h for i, h in enumerate(every) if i < 16 or h < 1 << 32]
+
+
+def brute_likeness(a, b, same):
+    below = [{h for h in x if h < 1 << 32} for x in (a, b)]
+    both = below[0] | below[1]
+    if len(both) < 16:
+        both = set(sorted({*a, *b})[:16])
+    return len(both & set(a) & set(b)) / len(both) if both else float(same)
+
+
+def test_fingerprints_equal_brute_force(spark):
     rng = random.Random(12)
-    texts = [*ODD, *(prose(rng, 150, 900) for _ in range(30))]
-    texts += [texts[-1], texts[-2] + " tail"]
+    texts = [*ODD, *(prose(rng, 150, 900) for _ in range(30)), *(prose(rng, 6, 50) for _ in range(60))]
+    texts += [texts[-1], texts[-2] + " tail", prose(rng, 4000, 9000)]
     ids = rng.sample(range(-50, 500), len(texts))
     got = {r.doc_id: r for r in fingerprints.compare_with_edits(rows(spark, texts, ids)).collect()}
     order = sorted(zip(ids, (t or "" for t in texts), strict=True), reverse=True)
+    known: dict = {}
     for k, (i, t) in enumerate(order):
         n = order[(k + 1) % len(order)][1]
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        a, b = fingerprints.parse(r.fingerprint), fingerprints.parse(r.edited_fingerprint)
-        if a | b:
-            assert r.near_edited == pytest.approx(len(a & b) / len(a | b))
-        assert 0 <= r.near_next <= 1
-    by_text = {}
+        own, edited, following = (brute_sketch(x, known) for x in (t, e, n))
+        assert fingerprints.parse(r.fingerprint) == own and fingerprints.parse(r.edited_fingerprint) == edited
+        assert r.near_edited == pytest.approx(brute_likeness(own, edited, t == e))
+        assert r.near_next == pytest.approx(brute_likeness(own, following, t == n))
+    by_text: dict = {}
     for i, t in order:
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+    assert len(set(by_text.values())) == len(by_text)
     one = fingerprints.compare_with_edits(rows(spark, ["abc def"])).first()
-    assert one.near_next == 1.0
+    assert one.near_next == 1.0 and fingerprints.compare_with_edits(rows(spark, ["a"]).limit(0)).count() == 0
+    again = fingerprints.compare_with_edits(rows(spark, ["b", "a", "b", None], [1, 1, 1, None])).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in again) == [(0, 0), (1, 1), (1, 1), (1, 1)]
+
+
+def test_sketches_merge_into_that_of_the_whole():
+    rng = random.Random(15)
+    for size in (3, 40, 4000):
+        one, two = prose(rng, size, 9000), prose(rng, size, 9000)
+        parts = fingerprints.Sketches(pa.array([one, two])).strings()
+        known: dict = {}
+        every = sorted({*(h for t in (one, two) for h in _all_hashes(t, known))})
+        assert fingerprints.parse(fingerprints.merge(*parts)) == [h for i, h in enumerate(every) if i < 16 or h < 1 << 32]
+
+
+def _all_hashes(text, known):
+    brute_sketch(text, known)
+    raw = text.encode()
+    return {known[raw[i : i + 16]] for i in range(max(1, len(raw) - 15))}
 
 
 def test_containment_of_very_unequal_texts(spark):
