@@ -257,6 +257,56 @@ def test_language_evidence(spark):
     assert language_id.address("https://u@WWW.a.example.Org:80/x") == ("org", "example.org", "www.a.example.org") and language_id.address("nothing") == ("", "", "")
 
 
+def test_language_evidence_by_the_formula(spark):
+    """Every page's posterior worked out from its texts and from all other pages, with plain sums."""
+    rng = random.Random(21)
+    letters = {"aa": "abcdefgh ", "bb": "efghijkl ", "cc": "ijklabmn "}
+    make = {k: (lambda v=v: "".join(rng.choice(v) for _ in range(rng.randint(20, 120)))) for k, v in letters.items()}
+    training = [(i, make[k](), k) for i, k in enumerate(["aa", "bb", "cc"] * 8)] + [(99, "", "aa"), (98, None, "bb")]
+    docs = spark.createDataFrame(training, "doc_id long, text string, lang string")
+    data = []
+    for i in range(60):
+        k = rng.choice(list(letters))
+        text = make[k]() if rng.random() < 0.8 else rng.choice(("", "ef", "ijkl"))
+        tag = rng.choice((f' lang="{k}"', ' lang="aa-XX"', ""))
+        data.append((i // 2, f"http://h{rng.randint(0, 3)}.d{rng.randint(0, 2)}.{rng.choice(('aa', 'bb'))}/x" if rng.random() < 0.9 else None, f"<html{tag}><body>{text}</body></html>"))
+    data += [(None, None, None), (7, "http://h0.d0.aa/", "")]
+    pages = spark.createDataFrame([(*r, "clash", 1.0, "x") for r in data], "page_id long, url string, html string, lang string, probability double, host string")
+    got = sorted((str(r.page_id), str(r.url), round(r.probability, 3), r.lang, r.declared, r.host) for r in language_id.identify(pages, language_id.fit(docs)).collect())
+
+    def buckets(text):
+        raw = (text or "").lower().encode()
+        return [(int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B97F4A7C15 % (1 << 64)) >> 49 for i in range(len(raw) - 3)]
+
+    names = sorted(letters)
+    counts = {k: np.full(1 << 15, 0.5) for k in names}
+    for _, text, k in training:
+        np.add.at(counts[k], buckets(text), 1)
+    table = {k: np.log(v / v.sum()) for k, v in counts.items()}
+    log, groups = [], []
+    for _, url, html in data:
+        b = buckets(language_id.visible(html))
+        log.append(np.array([table[k][b].sum() / 4 * 64 / (64 + len(b)) for k in names]))
+        groups.append((language_id.declared(html), *language_id.address(url)))
+    own = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in log]
+    want = []
+    for i, (page, url, _) in enumerate(data):
+        others = [sum((own[j] for j in range(len(data)) if j != i and groups[j][g] == groups[i][g]), np.zeros(3)) for g in range(4)]
+        everywhere = sum(own[j] for j in range(len(data)) if j != i)
+        prior = (everywhere + 1 / 3) / (everywhere.sum() + 1)
+        for n in (others[2], others[3]):
+            prior = (n + 8 * prior) / (n.sum() + 8)
+        total = log[i] + np.log(prior)
+        for n in (others[0], others[1]):
+            rate = (n.sum() + 0.5) / (everywhere.sum() + 1)
+            total = total + np.log((n + 8 * rate) / (everywhere + 8))
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        want.append((str(page), str(url), round(float(p.max()), 3), names[int(p.argmax())], groups[i][0], groups[i][3]))
+    assert [(a, b, *rest) for a, b, _, *rest in got] == [(a, b, *rest) for a, b, _, *rest in sorted(want)]
+    assert all(abs(x[2] - y[2]) <= 0.002 for x, y in zip(got, sorted(want), strict=True))
+    assert language_id.identify(pages.limit(0), language_id.fit(docs.limit(0))).count() == 0
+
+
 def test_pages_are_read_as_browsers_do():
     p = Page("<p>a<b>b</b>c<p>d &amp; e<br>f<ul><li>x<li>y</ul><script>var t='</p>'</script><!-- <p>no --><td>t &am")
     assert p.content([True] * len(p.nodes)) == "abc d & e f x y t &am"
