@@ -15,6 +15,7 @@ time and the result is the same.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from .textkit import ALNUM, LOWER, U64, Words, slices, span_hash
 SIZE = 8
 MOST_WINDOWS = 2_000_000
 _FILTER_BITS = 20
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 class WindowSet:
@@ -99,20 +101,36 @@ def span_grams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int) -> Iterator[list[tuple[str, str]]]:
-    """Test items in blocks of at most ``most`` windows or bytes each, one after the other through the driver."""
+    """Test items in blocks of at most ``most`` windows each, one after the other through the driver.
+
+    An item of more windows is cut into parts that share ``size - 1`` words, so the parts have
+    the item's windows and no others.
+    """
     rows = texts_of(benchmark, id_col, text_col).select(F.col("id").cast("string"), "text").where("text is not null")
     block: list[tuple[str, str]] = []
     held = 0
     for r in rows.toLocalIterator():
-        n = max(1, len(r["text"]) // 2)  # words need a character and a border, so windows are no more than this
-        if block and held + n > most:
-            yield block
-            block, held = [], 0
-        block.append((r["id"], r["text"]))
-        held += n
+        for part in _parts(r["text"], size, most):
+            n = max(1, len(part) // 2)  # words need a character and a border, so windows are no more than this
+            if block and held + n > most:
+                yield block
+                block, held = [], 0
+            block.append((r["id"], part))
+            held += n
     yield block
 
 
+def _parts(text: str, size: int, most: int) -> Iterator[str]:
+    if len(text) // 2 <= most:
+        yield text
+        return
+    words = _WORD.findall(text)
+    if len(words) <= size:
+        yield text
+    for at in range(0, len(words) - size, most):
+        yield " ".join(words[at : at + most + size])
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, least: int = 2, most_windows: int = MOST_WINDOWS, clean_text: bool = False, rest: bool = False) -> DataFrame:
     """``id_col, n_words, n_hit, n_items, items, contaminated`` for every row of ``docs``, and ``clean`` on demand.
 

@@ -536,8 +536,8 @@ def brute_overlaps(docs, items, size=8):
 @pytest.mark.parametrize("most", [10**6, 300])
 def test_overlaps_equal_brute_force(spark, most):
     rng = random.Random(14)
-    items = [(i, prose(rng, rng.choice((1, 3, 7, 8, 9, 30)), 80)) for i in range(25)] + [(25, None), (26, "..."), (27, "Ünï CODE x")]
-    texts = list(ODD)
+    items = [(i, prose(rng, rng.choice((1, 3, 7, 8, 9, 30)), 80)) for i in range(25)] + [(25, None), (26, "..."), (27, "Ünï CODE x"), (28, prose(rng, 900, 80)), (29, "y" * 3000)]
+    texts = [*ODD, items[-2][1][1000:2500], items[-2][1].upper(), "a " + items[-1][1] + " b"]
     for _ in range(40):
         parts = [prose(rng, rng.randint(0, 30), 80)]
         for _ in range(rng.randint(0, 3)):
