@@ -676,10 +676,30 @@ def drawn_page(how: str, a: int, b: int) -> bytes:
     elif how == "soft mask":
         content, resources = "/G gs 0 1 0 rg 0 0 100 100 re f", b"/ExtGState << /G << /SMask << /S /Luminosity /G 5 0 R >> >> >>"
         extra = [stream(f"1 g {box} f".encode(), b"/Type /XObject /Subtype /Form /BBox [0 0 100 100] /Group << /S /Transparency /CS /DeviceGray >>")]
+    elif how == "alpha mask":
+        content, resources = "/G gs 0 1 0 rg 0 0 100 100 re f", b"/ExtGState << /G << /SMask << /S /Alpha /G 5 0 R >> >> >>"
+        extra = [stream(f"0 g {box} f".encode(), b"/Type /XObject /Subtype /Form /BBox [0 0 100 100] /Group << /S /Transparency /CS /DeviceGray >>")]
+    elif how == "mask over white":
+        content, resources = "/G gs 0 1 0 rg 0 0 100 100 re f", b"/ExtGState << /G << /SMask << /S /Luminosity /G 5 0 R /BC [1] /TR << /FunctionType 2 /Domain [0 1] /C0 [1] /C1 [0] /N 1 >> >> >> >>"
+        extra = [stream(f"0 g {box} f".encode(), b"/Type /XObject /Subtype /Form /BBox [0 0 100 100] /Group << /S /Transparency /CS /DeviceGray >>")]
+    elif how == "group":
+        # two areas over one another, multiplied as a group onto the same colour: nothing changes
+        content, resources = f"0 1 0 rg {box} f /G gs /X Do", b"/ExtGState << /G << /BM /Multiply /ca 0.5 >> >> /XObject << /X 5 0 R >>"
+        extra = [stream(f"0 1 0 rg {box} f {box} f".encode(), b"/Type /XObject /Subtype /Form /BBox [0 0 %d %d] /Group << /S /Transparency >>" % (20 + a, 30 + b))]
+    elif how == "profile":
+        content, resources, extra = f"/P cs 0 1 0 scn {box} f", b"/ColorSpace << /P [/ICCBased 5 0 R] >>", [stream(icc.matrix_profile("own", icc.SRGB, 2.2), b"/N 3")]
+    elif how == "calibrated":
+        white = " ".join(str(x) for x in icc.D50)
+        rows = " ".join(f"{x:.7f}" for x in icc.SRGB.T.ravel())
+        content, resources = f"/P cs 0 1 0 scn {box} f", f"/ColorSpace << /P [/CalRGB << /WhitePoint [{white}] /Gamma [2 2 2] /Matrix [{rows}] >>] >>".encode()
+    elif how == "annotation":
+        more = "/Annots [5 0 R << /Subtype /Stamp /F 2 /Rect [0 0 100 100] /AP << /N 6 0 R >> >>]"
+        extra = [f"<< /Subtype /Stamp /Rect [20 30 {20 + a} {30 + b}] /AP << /N 6 0 R >> >>".encode(), stream(b"0 1 0 rg 0 0 500 300 re f", b"/Type /XObject /Subtype /Form /BBox [0 0 100 50] /Matrix [0 1 -1 0 0 0]")]
+        return page(b"", b"", extra, more=more.encode())
     return page(content.encode(), resources, extra)
 
 
-DRAWN = ("fill", "even-odd", "clip", "stroke", "form", "image", "indexed", "stencil", "inline", "tiles", "axial", "radial", "shading pattern", "sampled", "inks", "hidden", "soft mask")
+DRAWN = ("alpha mask", "mask over white", "group", "profile", "calibrated", "annotation", "fill", "even-odd", "clip", "stroke", "form", "image", "indexed", "stencil", "inline", "tiles", "axial", "radial", "shading pattern", "sampled", "inks", "hidden", "soft mask")
 
 
 # --- JPEG from coefficients -------------------------------------------------------------------------------------------

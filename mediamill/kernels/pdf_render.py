@@ -2,19 +2,21 @@
 
 The painter covers filled and stroked paths under both rules, text in embedded fonts in all
 modes, clips, image and form XObjects, inline images, stencil and soft masks, axial, radial
-and function shadings, tiling and shading patterns, constant alpha and the blend modes.
+and function shadings, tiling and shading patterns, constant alpha, groups, the blend modes,
+embedded profiles and the appearances of annotations.
 Edges are smoothed by four samples a pixel each way.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from typing import Any
 
 import numpy as np
 
 from ..errors import Deadline, Invalid, Limit, MediaError
-from . import fonts, jpeg, pdf, postscript
+from . import fonts, icc, jpeg, pdf, postscript
 from .image import Image, to_rgb
 
 SIDE, MOST_PAGES, MOST_TOTAL = 2048, 32, 64_000_000
@@ -295,6 +297,7 @@ class Painter:
         self.hidden = 0
         self.uncoloured = 0
         self.fonts: dict[int, fonts.Font | None] = {}
+        self.profiles: dict[int, icc.Transform | None] = {}
         self.base = np.eye(3)  # from page space to pixels, which patterns refer to
 
     # -- colours -------------------------------------------------------------------------------------------------------
@@ -321,11 +324,14 @@ class Painter:
     def rgb(self, space: Any, v: np.ndarray) -> np.ndarray:
         """Rows of components (0 to 1, indices as they are) to rows of red, green and blue."""
         kind = space if isinstance(space, str) else str(self.doc.get(space[0]))
-        if kind == "ICCBased":
+        if kind in ("ICCBased", "CalGray", "CalRGB") and not isinstance(space, str):
+            made = self._profiled(space, v) if kind == "ICCBased" else self._calibrated(space, v)
+            if made is not None:
+                return made
             kind = {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}.get(self.channels(space), "DeviceGray")
-        if kind in ("DeviceGray", "CalGray"):
+        if kind == "DeviceGray":
             return np.repeat(v[:, :1], 3, axis=1)
-        if kind in ("DeviceRGB", "CalRGB"):
+        if kind == "DeviceRGB":
             return v[:, :3]
         if kind == "DeviceCMYK":
             return (1 - v[:, :3]) * (1 - v[:, 3:4])
@@ -336,9 +342,7 @@ class Painter:
             rows = np.frombuffer(raw[: len(raw) // n * n], np.uint8).reshape(-1, n) / 255
             return self.rgb(base, rows)[np.clip(v[:, 0].astype(int), 0, len(rows) - 1)]
         if kind == "Lab":
-            from .icc import SRGB, lab_to_xyz, srgb_encode
-
-            return srgb_encode(lab_to_xyz(v) @ np.linalg.inv(SRGB).T)
+            return icc.srgb_encode(icc.lab_to_xyz(v) @ np.linalg.inv(icc.SRGB).T)
         if kind in ("Separation", "DeviceN"):
             base = self.space(space[2], {})
             uniq, back = np.unique(np.round(v, 4), axis=0, return_inverse=True)
@@ -346,6 +350,30 @@ class Painter:
             return self.rgb(base, made)[back.ravel()]
         return np.zeros((len(v), 3))
 
+    def _profiled(self, space: list[Any], v: np.ndarray) -> np.ndarray | None:
+        """Colours through an embedded profile; None where it can't be used."""
+        held = self.doc.get(space[1])
+        if id(held) not in self.profiles:
+            try:
+                self.profiles[id(held)] = icc.to_srgb(self.doc.decode(held), self.channels(space))
+            except (MediaError, ValueError, IndexError, KeyError, TypeError, struct.error):
+                self.profiles[id(held)] = None
+        transform = self.profiles[id(held)]
+        return None if transform is None else transform.convert(np.floor(np.clip(v, 0, 1) * 255 + 0.5).astype(np.uint8)) / 255
+
+    def _calibrated(self, space: list[Any], v: np.ndarray) -> np.ndarray | None:
+        """Colours of a gamma and, with three channels, a matrix, adapted from their white."""
+        d = self.doc.get(space[1])
+        numbers = lambda key, n, other: [float(self.doc.get(x)) for x in (lambda g: g if isinstance(g, list) else [g] * n)(self.doc.get(d.get(key)))] if d.get(key) is not None else other
+        if not isinstance(d, dict):
+            return None
+        if self.channels(space) == 1:
+            return np.repeat(icc.srgb_encode(np.clip(v[:, :1], 0, 1) ** numbers("Gamma", 1, [1.0])[0]), 3, axis=1)
+        linear = np.clip(v[:, :3], 0, 1) ** np.array(numbers("Gamma", 3, [1.0] * 3))
+        xyz = linear @ np.array(numbers("Matrix", 9, np.eye(3).ravel().tolist())).reshape(3, 3)
+        xyz = xyz @ icc.bradford(np.array(numbers("WhitePoint", 3, list(icc.D50))), np.array(icc.D50)).T
+        return icc.srgb_encode(np.clip(xyz @ np.linalg.inv(icc.SRGB).T, 0, 1))
+
     def colour(self, space: Any, operands: list[Any]) -> tuple[float, float, float]:
         v = [float(x) for x in operands if isinstance(x, int | float)]
         n = self.channels(space)
@@ -607,14 +635,7 @@ class Painter:
             s.mode = str(self.doc.get(mode[0]) if isinstance(mode, list) else mode)
         mask = get("SMask")
         if isinstance(mask, dict):
-            form = self.doc.get(mask.get("G"))
-            inner = Painter(self.doc, self.w, self.h, self.deadline)
-            inner.px[:] = 0
-            inner.base = self.base
-            t = State()
-            t.ctm = s.ctm
-            inner._form(form, {}, t, depth + 1)
-            s.mask = inner.px @ np.array([0.3, 0.59, 0.11], dtype=np.float32)
+            s.mask = self._soft_mask(mask, s, depth)
         elif mask is not None:
             s.mask = None
 
@@ -623,10 +644,78 @@ class Painter:
             return
         kind = self.doc.get(obj.dict.get("Subtype"))
         if kind == "Form":
-            self._form(obj, resources, s.copy(), depth + 1)
+            group = self.doc.get(obj.dict.get("Group"))
+            plain = s.fill_alpha >= 1 and s.mode == "Normal" and s.mask is None
+            if isinstance(group, dict) and group.get("S") == "Transparency" and not plain:
+                alpha, colour = self._apart(lambda inner, t: inner._form(obj, resources, t, depth + 1), s)
+                self.paint(s, alpha, colour, s.fill_alpha)
+            else:
+                self._form(obj, resources, s.copy(), depth + 1)
         elif kind == "Image":
             self._image(obj, resources, s)
 
+    def _apart(self, work: Any, s: State) -> tuple[np.ndarray, np.ndarray]:
+        """How much of each pixel a painting covers, and in which colour: it is done over white and over black."""
+        made = []
+        for ground in (1.0, 0.0):
+            inner = Painter(self.doc, self.w, self.h, self.deadline)
+            inner.px[:] = ground
+            inner.base, inner.fonts, inner.profiles, inner.hidden = self.base, self.fonts, self.profiles, self.hidden
+            t = s.copy()
+            t.fill_alpha = t.line_alpha = 1.0
+            t.mode, t.mask, t.clip = "Normal", None, None
+            work(inner, t)
+            made.append(inner.px)
+        alpha = np.clip(1 - (made[0] - made[1]).mean(axis=2), 0, 1)
+        return alpha, np.clip(np.where(alpha[..., None] > 0, made[1] / np.maximum(alpha[..., None], 1e-6), 0), 0, 1)
+
+    def _soft_mask(self, mask: dict[str, Any], s: State, depth: int) -> np.ndarray:
+        """A mask from a group: its coverage, or its luminosity over a backdrop (black if none is named), through a transfer function."""
+        form = self.doc.get(mask.get("G"))
+        if self.doc.get(mask.get("S")) == "Alpha":
+            out, _ = self._apart(lambda inner, t: inner._form(form, {}, t, depth + 1), s)
+        else:
+            inner = Painter(self.doc, self.w, self.h, self.deadline)
+            group = self.doc.get(form.dict.get("Group")) or {}
+            back = self.doc.get(mask.get("BC"))
+            space = self.space(group.get("CS"), {}) if group.get("CS") is not None else "DeviceGray"
+            inner.px[:] = self.colour(space, [self.doc.get(x) for x in back]) if isinstance(back, list) else 0
+            inner.base = self.base
+            t = State()
+            t.ctm = s.ctm
+            inner._form(form, {}, t, depth + 1)
+            out = inner.px @ np.array([0.3, 0.59, 0.11], dtype=np.float32)
+        transfer = self.doc.get(mask.get("TR"))
+        if transfer is not None and not isinstance(transfer, str):
+            levels = np.array([postscript.evaluate(self.doc, transfer, [x / 255])[0] for x in range(256)], dtype=np.float32)
+            out = np.clip(levels, 0, 1)[np.floor(np.clip(out, 0, 1) * 255 + 0.5).astype(int)]
+        return out
+
+    def annotations(self, page: dict[str, Any], s: State) -> None:
+        """Appearances of a page's annotations: each form's box, turned by its matrix, comes to the annotation's rectangle."""
+        for a in self.doc.get(page.get("Annots")) or []:
+            try:
+                a = self.doc.get(a)
+                flags = int(self.doc.get(a.get("F")) or 0)
+                if flags & 0x22 or a.get("Subtype") == "Popup" or not self._visible(self.doc.get(a.get("OC"))):
+                    continue
+                form = self.doc.get((self.doc.get(a.get("AP")) or {}).get("N"))
+                if isinstance(form, dict):
+                    form = self.doc.get(form.get(self.doc.get(a.get("AS"))))
+                if not isinstance(form, pdf.Stream):
+                    continue
+                rect, box, m = self.doc.box(a, "Rect"), self.doc.box(form.dict, "BBox"), self.doc.get(form.dict.get("Matrix"))
+                m = matrix([self.doc.get(x) for x in m]) if isinstance(m, list) else np.eye(3)
+                corners = np.array([[x, y, 1] for x in box[::2] for y in box[1::2]]) @ m
+                low, high = corners[:, :2].min(axis=0), corners[:, :2].max(axis=0)
+                sx, sy = (rect[2] - rect[0]) / (high[0] - low[0]), (rect[3] - rect[1]) / (high[1] - low[1])
+                t = s.copy()
+                t.ctm = np.array([[sx, 0, 0], [0, sy, 0], [rect[0] - low[0] * sx, rect[1] - low[1] * sy, 1]]) @ s.ctm
+                self._form(form, {}, t, 1)
+            except (MediaError, IndexError, KeyError, ValueError, TypeError, AttributeError, ZeroDivisionError) as e:
+                if isinstance(e, Limit):
+                    raise
+
     def _form(self, obj: pdf.Stream, resources: dict[str, Any], s: State, depth: int) -> None:
         if depth > MOST_FORMS:
             return
@@ -866,7 +955,9 @@ def render(doc: pdf.Document, page: dict[str, Any], deadline: Deadline | None =
     p = Painter(doc, w, h, deadline or Deadline())
     p.base = s.ctm
     resources = doc.get(page.get("Resources"))
+    fresh = s.copy()
     p.run(doc.content(page), resources if isinstance(resources, dict) else {}, s)
+    p.annotations(page, fresh)
     out = np.floor(np.clip(p.px, 0, 1) * 255 + 0.5).astype(np.uint8)
     return Image(w, h, "rgb8", out.reshape(h, -1))
 

@@ -430,7 +430,7 @@ def text_modes(spark, d):
 @query(f"""WITH b AS (SELECT n_nationkey, how, 5 * (n_nationkey % 5 + 1) AS a, 5 * (n_nationkey % 7 + 1) AS b FROM nation, (VALUES {_each(composers.DRAWN)}) AS h(how))
 SELECT n_nationkey, how, '00FF00' AS colour, (a * b)::INT AS pixels, 20 AS left, (70 - b)::INT AS top, (19 + a)::INT AS right, 69 AS bottom FROM b""")
 def drawn_areas(spark, d):
-    """One area painted in seventeen ways: paths, clips, strokes, forms, images, masks, patterns, shadings, colour spaces, layers."""
+    """One area painted in many ways: paths, clips, strokes, forms, groups, images, masks, patterns, shadings, colour spaces, layers, annotations."""
     rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(k) for k in composers.DRAWN])).alias("how"))
     key = F.col("n_nationkey").cast("int")
     made = spread(rows).select("n_nationkey", "how", composers.column(composers.drawn_page)("how", (key % 5 + 1) * 5, (key % 7 + 1) * 5).alias("content"))
