@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dropped, texts_of, written
+from .shared import dropped, lean, texts_of, written
 from .textkit import SPACED, U64, Words, grams, inside_one, mix, slices, span_hash
 
 WIDTH = 5
@@ -110,6 +110,7 @@ def _digests(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return n, one, two
 
 
+@lean("minhash")
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, g, first in shingle_sets(b.column(1)):
@@ -175,6 +176,7 @@ def _rows_of(column: pa.Array, width: int = COORDINATES) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
+@lean("minhash")
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree often enough."""
     for b in batches:
@@ -184,6 +186,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
+@lean("minhash")
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets in ascending order, 64 bits a shingle."""
     for b in batches:
@@ -201,6 +204,7 @@ def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
 def _within(numerator: int, denominator: int):
     """Pairs of a short list's members: of different components, sizes alike, often agreeing."""
 
+    @lean("minhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
@@ -222,6 +226,7 @@ def _within(numerator: int, denominator: int):
 def _across(numerator: int, denominator: int):
     """Links between two blocks of a long list, decided on the members' full sets; of those that join the same components one is enough."""
 
+    @lean("minhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [_block_links(b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].values, b.column(3)[k].values, numerator, denominator) for k in range(b.num_rows)]
@@ -275,6 +280,7 @@ def _block_links(post: int, same: bool, left: pa.Array, right: pa.Array, numerat
 def _confirm(numerator: int, denominator: int):
     """Pairs whose full shingle sets are alike enough."""
 
+    @lean("minhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
@@ -482,6 +488,7 @@ def _texts(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
         table[[r.word for r in words]] = np.array([r.bits for r in words], dtype=np.int64).view(np.uint64)
     held = spark.sparkContext.broadcast(table)
 
+    @lean("minhash")
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = held.value
         for b in batches:

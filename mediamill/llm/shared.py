@@ -43,7 +43,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 _places: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a scratch table is written: shuffle files go with the execution, and batches for Python are smaller, as
+#: a task holds one on either side.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,12 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     return out
@@ -90,15 +94,34 @@ def worker_cache(owner: str) -> dict:
         for kept in _caches.values():
             kept.clear()
         _caches.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library: freed memory stays with the process
+        trim()
         _caches[owner] = {}
     return _caches[owner]
 
 
+def trim() -> None:
+    """Give freed memory back to the machine: workers live on from task to task."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: freed memory stays with the process
+
+
+def lean(owner: str) -> Callable:
+    """A function over Arrow batches that begins without other operators' caches and gives its memory back at its end."""
+
+    def wrap(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_cache(owner)
+            yield from work(batches)
+            trim()
+
+        return run
+
+    return wrap
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

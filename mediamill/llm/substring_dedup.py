@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import lean, written
 from .textkit import SPACED, Words, grams, inside_one, slices, span_hash
 
 LENGTH = 20
@@ -65,6 +65,7 @@ def extents(w: Words, length: int, seed: int) -> dict[str, np.ndarray]:
 
 
 def _extent_rows(length: int, seed: int):
+    @lean("substring")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, _, buf, off in slices(b.column(1)):
@@ -80,6 +81,7 @@ def _extent_rows(length: int, seed: int):
 def _window_rows(length: int, seed: int):
     """Windows of the extents that start at the given places of each text."""
 
+    @lean("substring")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column(2).is_valid())
@@ -108,6 +110,7 @@ def _window_rows(length: int, seed: int):
 def _cut(length: int, whole: bool):
     """Counts, spans and kept text from the repeated windows of each text; with ``whole``, texts that lose nothing stay as they are."""
 
+    @lean("substring")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = b.column(2)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, worker_cache, written
+from .shared import dropped, lean, written
 from .textkit import _BYTE_CODE, _BYTES, ALNUM, LOWER, U64, Words, mix, slices
 
 FIT_ROWS = 12_000
@@ -174,9 +174,9 @@ def maximal(at: list[int], run: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first, end, strict=True))
 
 
+@lean("toxicity")
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and texts of each unit in toxic and other texts, and the totals under a null unit."""
-    worker_cache("toxicity")
     for b in batches:
         label = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi, buf, off in slices(b.column(1)):
@@ -200,8 +200,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(lexicon):
+    @lean("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("toxicity")
         lex = lexicon.value
         for b in batches:
             for lo, hi, buf, off in slices(b.column(1)):
@@ -288,6 +288,7 @@ def _calibrate(lexicon: Lexicon, sample: DataFrame) -> None:
 def _levels(held):
     """How often clean tokens have each score, in both scans."""
 
+    @lean("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held.value
         for b in batches:
@@ -349,8 +350,8 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     kept = [c for c in docs.columns if c not in ("score", "predicted", "passages")]
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
 
+    @lean("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("toxicity")
         lex = held.value
         for b in batches:
             texts = b.column(0).field(text_col).cast(pa.string())
