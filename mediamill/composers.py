@@ -875,3 +875,21 @@ def turned_symbol(version: int, turn: int, flips: int) -> bytes:
 def character_map(first: int, base: int) -> bytes:
     """One- and two-byte codes, a range and single codes of each."""
     return f"/CMapName /Own def 1 begincodespacerange <00> <7f> endcodespacerange 1 begincodespacerange <8140> <9ffc> endcodespacerange 1 begincidrange <20> <7e> {first} endcidrange 1 begincidchar <8141> {base} endcidchar 1 beginbfrange <30> <39> <0061> endbfrange".encode()
+
+
+def profiled_pixel(gamma: float, r: int, g: int, b: int) -> bytes:
+    """One pixel with a profile of the usual colorants and a gamma of its own (gray if the three are equal, with a gray profile)."""
+    if r == g == b:
+        made = icc.matrix_profile("gray", icc.SRGB, gamma, b"GRAY")
+        return png.encode(Image(1, 1, "gray8", np.array([[r]], np.uint8)), extra=[(b"iCCP", b"p\0\0" + zlib.compress(made))])
+    made = icc.matrix_profile("colour", icc.SRGB, gamma)
+    return png.encode(Image(1, 1, "rgb8", np.array([[r, g, b]], np.uint8)), extra=[(b"iCCP", b"p\0\0" + zlib.compress(made))])
+
+
+AUDIO = {"wav": broadcast_wave, "aiff": aiff, "flac": flac, "mp4": mp4, "wavpack": wavpack, "tta": tta}
+
+
+def cut_audio(kind: str, text: str, key: int, cut: int) -> bytes:
+    """A file of a kind without so many of its last bytes."""
+    data = AUDIO[kind](text, key)
+    return data[: len(data) - cut]

@@ -296,6 +296,89 @@ def character_maps(spark, d):
     return got.select("p_partkey", "pos", "c.code", "c.cid", "c.text")
 
 
+@query("""SELECT p_partkey, kind, 'rgb8' AS format, true AS alike FROM part, (VALUES ('gray'), ('colour')) AS k(kind)""")
+def profiled_pixels(spark, d):
+    """Pixels through profiles of gammas 1.0 to 3.0: within one level of the gamma's curve and the target's."""
+    rows = spread(table(spark, d, "part"))
+    gamma = F.lit(1.0) + (F.col("p_partkey") % 5) * 0.5
+    own = [(F.col("p_partkey") % 256).cast("int"), (F.col("p_size") * 5).cast("int"), ((F.col("p_partkey") * 7 + 1) % 256).cast("int")]
+    parts = []
+    for kind, values in (("gray", [own[0]] * 3), ("colour", own)):
+        part = rows.select("p_partkey", F.lit(kind).alias("kind"), F.array(*values).alias("v"), gamma.alias("gamma"), composers.column(composers.profiled_pixel)(gamma, *values).alias("content"))
+        parts.append(part.where("kind = 'gray' or not (v[0] = v[1] and v[1] = v[2])").select("p_partkey", "kind", "v", "gamma", media.pixels(F.col("content")).alias("r")))
+    got = parts[0].union(parts[1])
+    levels = [F.conv(F.substring(F.hex("r.value.data"), 2 * i + 1, 2), 16, 10).cast("double") for i in range(3)]
+    linear = [F.pow(F.col("v")[i] / 255, F.col("gamma")) for i in range(3)]
+    curve = [F.when(x <= 0.0031308, 12.92 * x).otherwise(1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055) for x in linear]
+    alike = F.lit(True)
+    for a, b in zip(levels, curve, strict=True):
+        alike = alike & (F.abs(a - 255 * b) <= 1.5)
+    return got.select("p_partkey", "kind", F.col("r.value.format").alias("format"), alike.alias("alike"))
+
+
+@query("""WITH v AS (SELECT p_partkey, (p_size + 16.0)::DOUBLE / 116 AS fy, (p_partkey % 200 - 100)::DOUBLE / 500 AS a, (p_partkey % 160 - 80)::DOUBLE / 200 AS b FROM part)
+SELECT p_partkey, round(0.9642 * CASE WHEN fy + a > 24.0 / 116 THEN pow(fy + a, 3) ELSE (fy + a - 16.0 / 116) * 108.0 / 841 END, 9) AS x, round(CASE WHEN fy > 24.0 / 116 THEN pow(fy, 3) ELSE (fy - 16.0 / 116) * 108.0 / 841 END, 9) AS y, round(0.8249 * CASE WHEN fy - b > 24.0 / 116 THEN pow(fy - b, 3) ELSE (fy - b - 16.0 / 116) * 108.0 / 841 END, 9) AS z FROM v""")
+def lab_values(spark, d):
+    """Lab colours as XYZ."""
+    from ..functions import codes
+
+    rows = table(spark, d, "part")
+    xyz = codes.lab_to_xyz(F.col("p_size").cast("double"), (F.col("p_partkey") % 200 - 100).cast("double"), (F.col("p_partkey") % 160 - 80).cast("double"))
+    return rows.select("p_partkey", *[F.round(xyz[n], 9).alias(n) for n in "xyz"])
+
+
+@query("SELECT n_nationkey, color::INT AS color_type, depth::INT AS depth, 9::BIGINT AS width, 6::BIGINT AS height, 0 AS texts FROM nation, (VALUES (0, 16), (2, 8), (3, 2), (4, 8), (6, 16)) AS k(color, depth)")
+def picture_facts(spark, d):
+    """Headers of pictures read without their pixels."""
+    kinds = spark.createDataFrame([(0, 16), (2, 8), (3, 2), (4, 8), (6, 16)], "color int, depth int")
+    rows = spread(table(spark, d, "nation").select("n_nationkey").join(F.broadcast(kinds)))
+    made = rows.select("n_nationkey", composers.column(composers.any_png)("n_nationkey", "color", "depth", F.lit(False)).alias("content"))
+    got = made.select("n_nationkey", media.png_info(F.col("content"))["value"].alias("r"))
+    return got.select("n_nationkey", "r.color_type", "r.depth", "r.width", "r.height", F.size("r.texts").alias("texts"))
+
+
+@query("SELECT p_partkey, m.marker::INT AS marker, 1::BIGINT AS segments FROM part, (VALUES (225), (254), (196), (218), (192), (219)) AS m(marker) WHERE marker NOT IN (196) UNION ALL SELECT p_partkey, 224, 2 FROM part UNION ALL SELECT p_partkey, 196, 2 FROM part")
+def jpeg_segment_counts(spark, d):
+    """Segments up to the first scan, by marker."""
+    made = spread(table(spark, d, "part")).select("p_partkey", composers.column(composers.exif_jpeg)(F.col("p_name"), F.col("p_partkey"), F.col("p_size")).alias("content"))
+    made.createOrReplaceTempView("pictures_here")
+    spark.udtf.register("jpeg_segments", tables.JpegSegments)
+    return spark.sql("SELECT p_partkey, t.marker, count(*) AS segments FROM pictures_here, LATERAL jpeg_segments(content) t GROUP BY p_partkey, t.marker")
+
+
+@query("SELECT s_suppkey, kind, NULL::VARCHAR AS error_class, kind IN ('wav', 'aiff', 'flac') AS warned FROM supplier, (VALUES ('wav'), ('aiff'), ('flac'), ('mp4')) AS k(kind)")
+def cut_files(spark, d):
+    """Files without their last bytes: what stands before is read, with a warning where the format tells that a part is cut off."""
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("wav", "aiff", "flac", "mp4")]))
+    rows = spread(table(spark, d, "supplier").select("s_suppkey", "s_name", kinds.alias("kind")))
+    cut = F.when(F.col("kind") == "flac", 3010).otherwise(3)
+    made = rows.select("s_suppkey", "kind", composers.column(composers.cut_audio)("kind", "s_name", "s_suppkey", cut).alias("content"))
+    got = made.select("s_suppkey", "kind", media.metadata(F.col("content")).alias("r"))
+    return got.select("s_suppkey", "kind", "r.error_class", (F.size("r.value.warnings") > 0).alias("warned"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER w AS n, sum(length(o_orderpriority)) OVER w AS total FROM orders WHERE length(o_orderpriority) <= 12 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE n <= 5 AND total <= 40")
+def capped_tags(spark, d):
+    """Tags of a file up to its limits of number, of one value and of all values."""
+    from ..operators import reports
+
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("value"))
+    kept = reports.capped(rows, most_tags=5, most_value=12, most_total=40)
+    return kept.select(F.col("file").alias("o_custkey"), F.col("pos").alias("o_orderkey"))
+
+
+@query("""SELECT p_partkey, mime, CASE mime WHEN 'image/png' THEN 'png' WHEN 'image/jpeg' THEN 'jpeg' WHEN 'application/x-own-signature' THEN 'signature' END AS kind, CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 4 END AS channels,
+'-q -jpeg -r 110 -scale-to 2048 -f 1 -l ' || p_size AS arguments FROM part, (VALUES ('image/png'), ('image/jpeg'), ('application/x-own-signature'), ('image/gif')) AS m(mime)""")
+def small_rules(spark, d):
+    """Kinds of MIME types, channels of pixel formats, arguments of a page renderer."""
+    from ..functions import detect, pages
+
+    mimes = F.explode(F.array(*[F.lit(m) for m in ("image/png", "image/jpeg", "application/x-own-signature", "image/gif")]))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", mimes.alias("mime"))
+    form = F.element_at(F.array(*[F.lit(x) for x in ("gray8", "gray_alpha8", "rgb8", "rgba8", "cmyk8")]), (F.col("p_size") % 5 + 1).cast("int"))
+    return rows.select("p_partkey", "mime", detect.sanitizer_kind(F.col("mime")).alias("kind"), detect.channels(form).alias("channels"), F.array_join(pages.render_arguments(F.col("p_size")), " ").alias("arguments"))
+
+
 # --- errors ----------------------------------------------------------------------------------------------------------
 
 
