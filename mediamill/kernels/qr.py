@@ -458,11 +458,38 @@ def _try(dark: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, version:
     n = 17 + 4 * version
     src = np.array([[3.5, 3.5], [n - 3.5, 3.5], [3.5, n - 3.5], [n - 3.5, n - 3.5]])
     m = _homography(src, np.array([a, b, c, b + c - a]))
-    grid = _sample(dark, m, n)
-    if decode_grid(grid) or decode_grid(grid.T):
-        return True
-    grid = _sample(dark, _climb(dark, m, version), n)
-    return decode_grid(grid) or decode_grid(grid.T)
+    maps = [m]
+    if version > 1 and (corner := _alignment(dark, m, n)) is not None:
+        # a perspective has four points: the fourth is the alignment pattern nearest the corner without a finder
+        maps.insert(0, _homography(np.vstack([src[:3], [n - 6.5, n - 6.5]]), np.vstack([a, b, c, corner])))
+    for found in (*maps, *(lambda t=t: _climb(dark, t, version) for t in maps)):
+        grid = _sample(dark, found() if callable(found) else found, n)
+        if decode_grid(grid) or decode_grid(grid.T):
+            return True
+    return False
+
+
+def _alignment(dark: np.ndarray, m: np.ndarray, n: int) -> np.ndarray | None:
+    """Where the last alignment pattern stands, sought around the place that the finders give; None if nothing looks like one."""
+    cells = np.array([(x, y) for y in range(-2, 3) for x in range(-2, 3)], dtype=float)
+    ring = np.abs(cells).max(axis=1)
+    wanted = ring != 1  # dark at the centre and in the outer ring
+    reach = min(8.0, 2 + n / 12)
+    steps = np.arange(-reach, reach + 0.01, 0.25)
+    offsets = np.array([(x, y) for y in steps for x in steps])
+    offsets = offsets[np.argsort((offsets**2).sum(axis=1), kind="stable")]  # nearer places win ties
+    points = np.floor(_map(m, (n - 6.5 + offsets[:, None, :] + cells[None]).reshape(-1, 2))).astype(int)
+    ok = (points >= 0).all(axis=1) & (points[:, 0] < dark.shape[1]) & (points[:, 1] < dark.shape[0])
+    seen = np.zeros(len(points), dtype=bool)
+    seen[ok] = dark[points[ok, 1], points[ok, 0]]
+    score = (seen.reshape(-1, 25) == wanted).sum(axis=1)
+    top = score.max()
+    if top < 22:
+        return None
+    # the middle of the places that fit as well as the best and touch it
+    best = offsets[score.argmax()]
+    near = offsets[(score == top) & (np.abs(offsets - best).max(axis=1) <= 1)]
+    return _map(m, (n - 6.5 + near.mean(axis=0))[None])[0]
 
 
 # --- encoder --------------------------------------------------------------------------------------------------------------

@@ -274,6 +274,22 @@ def test_qr_symbols_are_found_turned_and_mirrored(version, level):
     assert qr.scan(px)["decoded"] == qr.scan(np.rot90(px))["decoded"] == qr.scan(px[:, ::-1])["decoded"] == 1
 
 
+@pytest.mark.parametrize("version", [3, 6, 10])
+def test_qr_symbols_in_perspective(version):
+    grid = qr.encode(b"seen from the side", 1, 2, version)
+    px = qr.picture(grid, 6)
+    side = px.shape[0]
+    corners = np.array([[0, 0], [side, 0], [0, side], [side, side]], dtype=float)
+    seen = np.array([[0, 0], [side * 0.95, side * 0.03], [side * 0.04, side * 0.94], [side * 0.9, side * 0.91]])
+    back = np.linalg.inv(qr._homography(corners, seen))
+    y, x = np.mgrid[0:side, 0:side]
+    p = np.floor(qr._map(back, np.column_stack([x.ravel() + 0.5, y.ravel() + 0.5]))).astype(int)
+    ok = (p >= 0).all(axis=1) & (p < side).all(axis=1)
+    turned = np.full(side * side, 255, np.uint8)
+    turned[ok] = px[p[ok, 1], p[ok, 0]]
+    assert qr.scan(turned.reshape(side, side))["decoded"] == 1
+
+
 def test_qr_counts_and_mends():
     one = qr.picture(qr.encode(b"hello", 3), 4)
     assert qr.scan(np.hstack([one, one]))["decoded"] == 2
