@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from ..errors import Invalid, Limit
 
@@ -48,13 +50,35 @@ def compress(data: bytes, level: int = 6) -> bytes:
     return zlib.compress(data, level)
 
 
-def compress_pieces(data: bytes, piece: int = 1 << 20, level: int = 6) -> bytes:
-    """A zlib stream made of pieces that could each be compressed by itself: each knows the 32 KiB before it."""
-    out, at = bytearray(b"\x78\x9c"), 0
-    while True:
-        part, last = data[at : at + piece], at + piece >= len(data)
-        d = zlib.compressobj(level, zlib.DEFLATED, -15, zdict=data[max(0, at - 32768) : at]) if at else zlib.compressobj(level, zlib.DEFLATED, -15)
-        out += d.compress(part) + d.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH)
-        at += piece
-        if last:
-            return bytes(out) + zlib.adler32(data).to_bytes(4, "big")
+class Compressor:
+    """A zlib stream written part by part to ``out``."""
+
+    def __init__(self, out: Callable[[bytes], object], level: int = 6):
+        self.out, self.stream = out, zlib.compressobj(level)
+
+    def write(self, data: bytes) -> None:
+        if part := self.stream.compress(data):
+            self.out(part)
+
+    def finish(self) -> None:
+        self.out(self.stream.flush())
+
+
+def compress_pieces(data: bytes, piece: int = 1 << 20, level: int = 6, threads: int = 1) -> bytes:
+    """A zlib stream made of pieces that are compressed by themselves, side by side where there are threads: each knows the 32 KiB before it.
+
+    The cuts depend on the data's length alone, so the bytes are the same for any number of threads.
+    """
+    places = range(0, max(len(data), 1), piece)
+
+    def one(at: int) -> bytes:
+        before = {"zdict": data[max(0, at - 32768) : at]} if at else {}
+        d = zlib.compressobj(level, zlib.DEFLATED, -15, **before)
+        return d.compress(data[at : at + piece]) + d.flush(zlib.Z_FINISH if at + piece >= len(data) else zlib.Z_SYNC_FLUSH)
+
+    if threads > 1:
+        with ThreadPoolExecutor(threads) as pool:
+            parts = list(pool.map(one, places))
+    else:
+        parts = [one(at) for at in places]
+    return b"\x78\x9c" + b"".join(parts) + zlib.adler32(data).to_bytes(4, "big")

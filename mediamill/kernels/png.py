@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from ..errors import Deadline, Invalid, Limit
 from . import deflate
-from .image import MAX_ALLOC, Image, check_dimensions
+from .image import CHANNELS, MAX_ALLOC, Image, check_dimensions
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bit depths that each colour type may have, and its channels.
@@ -240,11 +241,10 @@ def decode(data: bytes, deadline: Deadline | None = None) -> tuple[Info, Image]:
     return info, Image(info.width, info.height, kind, out.reshape(info.height, -1))
 
 
-def filtered(img: Image) -> bytes:
-    """Rows, each under the filter whose signed residuals are least in sum, the lower type on ties."""
-    rows, bpp = img.data, img.channels
+def filtered(rows: np.ndarray, bpp: int, before: np.ndarray | None = None) -> bytes:
+    """Rows, each under the filter whose signed residuals are least in sum, the lower type on ties; ``before`` is the row above them."""
     h, w = rows.shape
-    up = np.vstack([np.zeros((1, w), np.uint8), rows[:-1]])
+    up = np.vstack([np.zeros((1, w), np.uint8) if before is None else before[None], rows[:-1]])
     left = np.hstack([np.zeros((h, bpp), np.uint8), rows[:, :-bpp]]) if w > bpp else np.zeros((h, w), np.uint8)
     corner = np.hstack([np.zeros((h, bpp), np.uint8), up[:, :-bpp]]) if w > bpp else np.zeros((h, w), np.uint8)
     a, b, c = left.astype(np.int16), up.astype(np.int16), corner.astype(np.int16)
@@ -263,15 +263,65 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+COLOR_TYPES = {"gray8": 0, "rgb8": 2, "gray_alpha8": 4, "rgba8": 6}
+PART, BAND = 1 << 16, 128
+
+
+class RowWriter:
+    """A picture written as its rows come: header, pixels in parts of 64 KiB, end; only a band of rows is held."""
+
+    def __init__(self, out: Callable[[bytes], object], width: int, height: int, form: str, level: int = 6, extra: list[tuple[bytes, bytes]] | None = None):
+        if form not in COLOR_TYPES:
+            raise Invalid("pixel format")
+        self.out, self.left, self.bpp, self.line = out, height, CHANNELS[form], width * CHANNELS[form]
+        self.before: np.ndarray | None = None
+        self.held = bytearray()
+        self.stream = deflate.Compressor(self._pixels, level)
+        out(SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, COLOR_TYPES[form], 0, 0, 0)))
+        for kind, data in extra or ():
+            out(chunk(kind, data))
+
+    def _pixels(self, data: bytes) -> None:
+        self.held += data
+        while len(self.held) >= PART:
+            self.out(chunk(b"IDAT", bytes(self.held[:PART])))
+            del self.held[:PART]
+
+    def write(self, rows: np.ndarray) -> None:
+        """Rows of samples, as many as are at hand."""
+        if rows.ndim != 2 or rows.shape[1] != self.line or len(rows) > self.left:
+            raise Invalid("rows")
+        for at in range(0, len(rows), BAND):
+            band = rows[at : at + BAND]
+            self.stream.write(filtered(band, self.bpp, self.before))
+            self.before = band[-1]
+        self.left -= len(rows)
+
+    def finish(self) -> None:
+        if self.left:
+            raise Invalid("missing rows")
+        self.stream.finish()
+        if self.held:
+            self.out(chunk(b"IDAT", bytes(self.held)))
+        self.out(chunk(b"IEND", b""))
+
+
 def encode(img: Image, level: int = 6, extra: list[tuple[bytes, bytes]] | None = None) -> bytes:
     """Header, pixels in parts of 64 KiB, end; ``extra`` chunks go between header and pixels."""
-    color = {"gray8": 0, "rgb8": 2, "gray_alpha8": 4, "rgba8": 6}.get(img.format)
-    if color is None:
+    out = bytearray()
+    writer = RowWriter(out.extend, img.width, img.height, img.format, level, extra)
+    writer.write(img.data)
+    writer.finish()
+    return bytes(out)
+
+
+def encode_in_pieces(img: Image, level: int = 6, threads: int = 4) -> bytes:
+    """The picture's rows compressed in pieces side by side; the bytes depend on the picture alone."""
+    if img.format not in COLOR_TYPES:
         raise Invalid("pixel format")
-    body = zlib.compress(filtered(img), level)
-    parts = [chunk(b"IDAT", body[i : i + 65536]) for i in range(0, len(body), 65536)]
-    head = chunk(b"IHDR", struct.pack(">IIBBBBB", img.width, img.height, 8, color, 0, 0, 0))
-    return b"".join([SIGNATURE, head, *(chunk(k, d) for k, d in extra or ()), *parts, chunk(b"IEND", b"")])
+    body = deflate.compress_pieces(filtered(img.data, img.channels), level=level, threads=threads)
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", img.width, img.height, 8, COLOR_TYPES[img.format], 0, 0, 0))
+    return b"".join([SIGNATURE, head, *(chunk(b"IDAT", body[i : i + PART]) for i in range(0, len(body), PART)), chunk(b"IEND", b"")])
 
 
 # The chunks a signature image may have, sizes of its optional ones, and its bounds.

@@ -33,6 +33,20 @@ def test_png_round_trip(fmt):
     assert (back.data == img.data).all()
 
 
+def test_png_rows_and_pieces():
+    img = noise("rgb8", 300, 400)
+    out = bytearray()
+    w = png.RowWriter(out.extend, 300, 400, "rgb8")
+    for at in range(0, 400, 33):
+        w.write(img.data[at : at + 33])
+    w.finish()
+    assert bytes(out) == png.encode(img) and (png.decode(bytes(out))[1].data == img.data).all()
+    one, four = png.encode_in_pieces(img, threads=1), png.encode_in_pieces(img, threads=4)
+    assert one == four and (png.decode(four)[1].data == img.data).all()
+    with pytest.raises(Invalid):
+        png.RowWriter(out.extend, 300, 2, "rgb8").finish()
+
+
 def _png(color, depth, w, h, raw, extra=(), interlace=0):
     head = png.chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, interlace))
     return b"".join([png.SIGNATURE, head, *(png.chunk(k, d) for k, d in extra), png.chunk(b"IDAT", zlib.compress(raw)), png.chunk(b"IEND", b"")])
