@@ -320,6 +320,27 @@ def test_unclosed_elements_take_linear_time():
     assert time.perf_counter() - start < 10 and page.content([True] * len(page.nodes)) == "end"
 
 
+HAND_LABELLED = [
+    (
+        '<!DOCTYPE html><html lang=en><head><title>Rye bread</title><style>p{}</style></head><body>\n<header class="site-header"><a href="/">Bakery News</a><nav><ul><li><a href=/a>Home</a><li><a href=/b>Recipes</a><li><a href=/c>About us</a></ul></nav></header>\n<main><article class="post"><h1>How to bake rye bread</h1><p>Rye flour takes up more water than wheat flour, so the dough stays soft &amp; sticky. Leave it to rest for an hour, then shape it with wet hands.</p>\n<p>Bake the loaf in a very hot oven for ten minutes, turn the heat down, and give it another fifty. It is done when it sounds hollow.</p><ul><li>500 g of rye flour</li><li>400 ml of water</li></ul></article></main>\n<aside class="sidebar"><h3>Popular</h3><ul><li><a href=/1>Ten cakes</a></li><li><a href=/2>Best ovens</a></li></ul></aside>\n<div id="cookie-notice">We use cookies. <button>Accept</button></div><footer>&copy; 2024 Bakery News. All rights reserved.</footer></body></html>',
+        'How to bake rye bread Rye flour takes up more water than wheat flour, so the dough stays soft & sticky. Leave it to rest for an hour, then shape it with wet hands. Bake the loaf in a very hot oven for ten minutes, turn the heat down, and give it another fifty. It is done when it sounds hollow. 500 g of rye flour 400 ml of water',
+    ),
+    (
+        '<html><body><div id="menu"><a href="x">Start</a> | <a href="y">Archive</a> | <a href="z">Contact</a></div>\n<div class="content"><div class="article-body"><h2>The bridge opens at last</h2><p>After four years of work, the new bridge over the river was opened on Monday by the mayor, who thanked the builders for their patience.</p><blockquote>It is longer than the old one, and far safer, said one of them.</blockquote><p>Traffic will be let across from Thursday on; until then, only walkers may use it.</p></div>\n<div class="comments"><h3>Comments</h3><div class="comment"><b>joe</b> Finally! About time, it was.</div><div class="comment"><b>ann</b> Nice bridge, I walked over it.</div><form><textarea></textarea><input type=submit></form></div></div>\n<div class="ad-banner">Buy now: cheap tyres, <a href=q>click here</a></div></body></html>',
+        'The bridge opens at last After four years of work, the new bridge over the river was opened on Monday by the mayor, who thanked the builders for their patience. It is longer than the old one, and far safer, said one of them. Traffic will be let across from Thursday on; until then, only walkers may use it.',
+    ),
+    (
+        '<body><nav class=top><a href=1>One</a><a href=2>Two</a></nav><section class="story"><h1>Notes on a small garden</h1><p>Beans need poles, and peas need nets. Sow both in April, a hand apart, and water them in the evening, never at noon.</p><script>var x = "<p>not text</p>";</script><table><tr><th>Month</th><td>Work</td></tr><tr><th>May</th><td>Thin the carrots out</td></tr></table><p>In June, the first lettuce is ready; cut it before it bolts.</p></section><footer><p>Imprint</p><p>Privacy</p></footer></body>',
+        'Notes on a small garden Beans need poles, and peas need nets. Sow both in April, a hand apart, and water them in the evening, never at noon. Month Work May Thin the carrots out In June, the first lettuce is ready; cut it before it bolts.',
+    ),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), HAND_LABELLED)
+def test_extraction_on_hand_labelled_pages(source, text):
+    assert html_extract.main_texts([source]) == [text]
+
+
 def test_extraction_on_pages_not_trained_on(spark):
     exact = total = 0
     for i in range(150):
@@ -556,6 +577,33 @@ def test_hit_words_are_taken_out(spark):
     assert got.clean == "before , after" and got.n_hit == 8 and not got.contaminated
 
 
+@pytest.mark.parametrize("name", ["toxicity", "language", "counts", "extraction", "fingerprints", "shards", "bpe", "overlaps", "near", "repeats"])
+def test_odd_tables(spark, name):
+    """Empty tables, equal rows, a text of 380,000 characters and columns named like the operator's own."""
+    long = "word and " * 40_000 + "x" * 20_000
+    docs = rows(spark, ["one two", "one two", None, "", long], [1, 1, 2, 3, 4]).withColumns({"lang": F.lit("en"), "text_hash": F.lit("c"), "n_tokens": F.lit("c"), "kept": F.lit("c"), "url": F.lit("http://a.b/"), "hash": F.lit("c"), "rest": F.lit("c"), "own": F.lit("c"), "key": F.lit("c"), "place": F.lit("c")})
+    bench = spark.createDataFrame([(1, "one two"), (1, "one two")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    run = {
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels)),
+        "language": lambda d: language_id.identify(d.withColumnRenamed("text", "html").withColumnRenamed("doc_id", "page_id"), language_id.fit(docs)),
+        "counts": lambda d: token_counts.count_tokens(d, PIECE),
+        "extraction": lambda d: html_extract.extract(d.withColumnRenamed("text", "html").withColumnRenamed("doc_id", "page_id")),
+        "fingerprints": fingerprints.compare_with_edits,
+        "shards": lambda d: sst.token_table(d, WORD),
+        "bpe": lambda d: bpe.round_trip(d, WORD),
+        "overlaps": lambda d: decontaminate.find_overlaps(d, bench),
+        "near": minhash_dedup.near_duplicates,
+        "repeats": substring_dedup.find_repeats,
+    }[name]
+    got = run(docs).collect()
+    ids = [r["page_id"] if "page_id" in r.__fields__ else r["doc_id"] for r in got]
+    assert sorted(ids) == [1, 1, 2, 3, 4]
+    one = [tuple(x for k, x in r.asDict().items() if k not in ("start", "edited_sha256", "edited_fingerprint", "near_edited", "near_next")) for r, i in zip(got, ids, strict=True) if i == 1]
+    assert one[0] == one[1]
+    assert run(docs.limit(0)).count() == 0
+
+
 # --- the queries and the pipeline -------------------------------------------------------------------
 
 
