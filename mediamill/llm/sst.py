@@ -37,8 +37,8 @@ from .wordbpe import ChunkEncoder, groups
 
 BLOCK = 1 << 16
 SHARD = 1 << 28
-#: Runs of characters that a worker keeps: this operator keeps nothing else, and few texts share most words.
-CACHE = 600_000
+#: Runs of characters that a worker keeps: this operator keeps nothing else, and unseen words are what costs most.
+CACHE = 1_200_000
 RESTART = 16
 BITS_A_KEY = 10
 HASHES = 7
